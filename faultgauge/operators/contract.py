@@ -6,6 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from faultgauge import constants as C
+from faultgauge.functions.pinned import pinned
 from faultgauge.functions.rounding import clamp01
 from faultgauge.operators.metrics import METRIC_COLUMNS
 
@@ -51,7 +52,7 @@ def _number(feature: str) -> Column:
     return F.col(feature).try_cast("double")
 
 
-def contract_error(present: Column | None = None) -> Column:
+def contract_error() -> Column:
     """The first failed check of a row, or null. Bad values come before missing names.
 
     Numbers are checked in feature order, then the names that are missing are listed in that order.
@@ -77,7 +78,7 @@ def contract_error(present: Column | None = None) -> Column:
 
 def validate(rows: DataFrame) -> DataFrame:
     """Add ``error``: null where the row satisfies the contract."""
-    return rows.withColumn("error", contract_error())
+    return rows.withColumn("error", pinned(contract_error()))
 
 
 def scaled(feature: str, bounds: dict[str, tuple[float, float]]) -> Column:
@@ -115,4 +116,4 @@ def contract_row(metrics: DataFrame) -> DataFrame:
     checked = validate(named)
     limits = bounds_of()
     ok = F.col("error").isNull()
-    return checked.withColumns({f: F.when(ok, scaled(f, limits)) for f in C.FEATURES})
+    return checked.withColumns({f: pinned(F.when(ok, scaled(f, limits))) for f in C.FEATURES})

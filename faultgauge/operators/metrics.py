@@ -60,7 +60,7 @@ def lexical_counts(files: DataFrame) -> DataFrame:
 
 def python_facts(files: DataFrame) -> DataFrame:
     """Add ``ast``, the grammar facts of Python files; null elsewhere and where parsing fails."""
-    return files.withColumn("ast", ast_facts(F.col("_python_code")))
+    return files.withColumn("ast", pinned(ast_facts(F.col("_python_code"))))
 
 
 def measured_counts() -> Column:
@@ -111,7 +111,7 @@ def file_metrics(files: DataFrame) -> DataFrame:
     counts = (t.n1, t.n2, t.eta1, t.eta2)
 
     def unless_blank(value: Column, empty) -> Column:
-        return F.when(blank, F.lit(empty)).otherwise(value)
+        return pinned(F.when(blank, F.lit(empty)).otherwise(value))
 
     def number(value: Column, empty: float = 0.0) -> Column:
         return unless_blank(value.cast("double"), empty)
@@ -119,10 +119,10 @@ def file_metrics(files: DataFrame) -> DataFrame:
     sloc = F.greatest(F.lit(1), F.col("_lines") - F.col("_blank_lines") - F.col("_comment_lines"))
     return (
         python_facts(counted)
-        .withColumn("_m", measured_counts())
+        .withColumn("_m", pinned(measured_counts()))
         .select(
             *[F.col(c) for c in keep],
-            pinned(unless_blank(F.col("_lines"), 0)).alias("loc"),
+            unless_blank(F.col("_lines"), 0).alias("loc"),
             unless_blank(sloc, 0).alias("sloc"),
             number(m.cyclo, 1.0).alias("cyclomatic_complexity"),
             number(t.n1 + t.n2).alias("length"),
