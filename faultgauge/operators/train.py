@@ -142,7 +142,7 @@ def boosted_grid(recorded: bool = False, scale: float = 1.0) -> dict[str, Booste
     return {name: Boosted(c, scale=scale) for name, c in configs.items()}
 
 
-def out_of_fold(folded: DataFrame, models: dict[str, object], threads: int = 4) -> DataFrame:
+def out_of_fold(folded: DataFrame, models: dict[str, object], threads: int = 8) -> DataFrame:
     """Scores of every row by the fit that has not seen it, for each named model.
 
     Fits are independent and, on small frames, bound by scheduling; a few run side by side.
