@@ -1,7 +1,7 @@
 """Facts about Python files that need the language's own grammar.
 
-The only Python-side step of the measuring job. It turns one text into counts and two token lists;
-the arithmetic on them is shared with the lexical route and stays in Spark.
+The only Python-side step of the measuring job: one text in, nine counts out. The arithmetic on
+them is shared with the lexical route and stays in Spark.
 """
 
 from __future__ import annotations
@@ -18,86 +18,78 @@ from pyspark.sql import functions as F, types as T
 # Workers get this module's functions with the task, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_COUNTS = ["decisions", "branches", "definitions", "classes", "calls"]
-_TOKENS = ["operators", "operands"]
-AST_FACTS = T.StructType(
-    [T.StructField(n, T.IntegerType()) for n in _COUNTS]
-    + [T.StructField(n, T.ArrayType(T.StringType())) for n in _TOKENS]
-)
-
-# node type -> (decisions, branches, operator token)
-_SIMPLE = {
-    ast.IfExp: (1, 2, "if_exp"),
-    ast.For: (1, 1, "for"),
-    ast.AsyncFor: (1, 1, "async_for"),
-    ast.While: (1, 1, "while"),
-    ast.ExceptHandler: (1, 1, "except"),
-    ast.With: (1, 0, "with"),
-    ast.AsyncWith: (1, 0, "async_with"),
-    ast.Assert: (1, 0, "assert"),
+COUNTS = ["decisions", "branches", "definitions", "classes", "calls", "n1", "n2", "eta1", "eta2"]
+AST_FACTS = T.StructType([T.StructField(n, T.IntegerType()) for n in COUNTS])
+
+
+def _adds(decisions: int = 0, branches: int = 0, operators=(), operands=()) -> tuple:
+    return decisions, branches, operators, operands
+
+
+def _call(node: ast.Call) -> tuple:
+    called = getattr(node.func, "id", None) or getattr(node.func, "attr", None)
+    return _adds(operators=("call()",), operands=(called,) if called else ())
+
+
+def _name(kind: object) -> str:
+    return type(kind).__name__
+
+
+# What one syntax node adds: decisions, branches, operator tokens, operand tokens.
+RULES = {
+    ast.If: lambda n: _adds(1, 2 if n.orelse else 1, ("if",)),
+    ast.IfExp: lambda n: _adds(1, 2, ("if_exp",)),
+    ast.For: lambda n: _adds(1, 1, ("for",)),
+    ast.AsyncFor: lambda n: _adds(1, 1, ("async_for",)),
+    ast.While: lambda n: _adds(1, 1, ("while",)),
+    ast.ExceptHandler: lambda n: _adds(1, 1, ("except",)),
+    ast.With: lambda n: _adds(1, 0, ("with",)),
+    ast.AsyncWith: lambda n: _adds(1, 0, ("async_with",)),
+    ast.Assert: lambda n: _adds(1, 0, ("assert",)),
+    ast.comprehension: lambda n: _adds(1 + len(n.ifs), 1 + len(n.ifs), ("comp",)),
+    ast.BoolOp: lambda n: _adds(len(n.values) - 1, len(n.values) - 1, (_name(n.op),) * (len(n.values) - 1)),
+    ast.BinOp: lambda n: _adds(operators=(_name(n.op),)),
+    ast.UnaryOp: lambda n: _adds(operators=(_name(n.op),)),
+    ast.Compare: lambda n: _adds(operators=tuple(_name(op) for op in n.ops)),
+    ast.Call: _call,
+    ast.FunctionDef: lambda n: _adds(operands=(n.name,)),
+    ast.AsyncFunctionDef: lambda n: _adds(operands=(n.name,)),
+    ast.ClassDef: lambda n: _adds(operands=(n.name,)),
+    ast.Name: lambda n: _adds(operands=(n.id,)),
+    ast.Constant: lambda n: _adds(operands=(repr(n.value),)),
 }
 
 
-def _facts_of(node: ast.AST) -> tuple[int, int, list[str], list[str]]:
-    """(decisions, branches, operator tokens, operand tokens) that one syntax node adds."""
-    kind = type(node)
-    if kind in _SIMPLE:
-        decisions, branches, token = _SIMPLE[kind]
-        return decisions, branches, [token], []
-    match node:
-        case ast.If():
-            return 1, 2 if node.orelse else 1, ["if"], []
-        case ast.comprehension():
-            n = 1 + len(node.ifs)
-            return n, n, ["comp"], []
-        case ast.BoolOp():
-            n = len(node.values) - 1
-            return n, n, [type(node.op).__name__] * n, []
-        case ast.BinOp() | ast.UnaryOp():
-            return 0, 0, [type(node.op).__name__], []
-        case ast.Compare():
-            return 0, 0, [type(op).__name__ for op in node.ops], []
-        case ast.Call(func=ast.Name(id=called)) | ast.Call(func=ast.Attribute(attr=called)):
-            return 0, 0, ["call()"], [called]
-        case ast.Call():
-            return 0, 0, ["call()"], []
-        case ast.FunctionDef() | ast.AsyncFunctionDef() | ast.ClassDef():
-            return 0, 0, [], [node.name]
-        case ast.Name():
-            return 0, 0, [], [node.id]
-        case ast.Constant():
-            return 0, 0, [], [repr(node.value)]
-    return 0, 0, [], []
-
-
-def file_facts(code: str) -> dict | None:
-    """Summed facts of one file, or None when it does not parse."""
-    out = dict(decisions=0, branches=0, definitions=0, classes=0, calls=0, operators=[], operands=[])
+def file_facts(code: str) -> tuple | None:
+    """The counts of one file, or None when it does not parse."""
+    decisions = branches = 0
+    operators, operands, kinds = [], [], []
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             tree = ast.parse(code)
         for node in ast.walk(tree):
-            decisions, branches, ops, opnds = _facts_of(node)
-            out["decisions"] += decisions
-            out["branches"] += branches
-            out["operators"] += ops
-            out["operands"] += opnds
-            out["definitions"] += isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef)
-            out["classes"] += isinstance(node, ast.ClassDef)
-            out["calls"] += isinstance(node, ast.Call)
+            rule = RULES.get(type(node))
+            if rule:
+                d, b, ops, opnds = rule(node)
+                decisions += d
+                branches += b
+                operators += ops
+                operands += opnds
+                kinds.append(type(node))
     except Exception:  # bad syntax, null bytes, nesting too deep: the lexical route takes over
         return None
-    return out
+    definitions = kinds.count(ast.FunctionDef) + kinds.count(ast.AsyncFunctionDef)
+    return (
+        decisions, branches, definitions, kinds.count(ast.ClassDef), kinds.count(ast.Call),
+        len(operators), len(operands), len(set(operators)), len(set(operands)),
+    )
 
 
 @F.pandas_udf(AST_FACTS)
 def ast_facts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """One struct of facts per text; all fields null for a null text or one that does not parse."""
-    fields = [*_COUNTS, *_TOKENS]
-    empty = dict.fromkeys(fields)
+    """One struct of counts per text; all fields null for a null text or one that does not parse."""
+    nothing = (None,) * len(COUNTS)
     for codes in batches:
-        rows = [empty if code is None else (file_facts(code) or empty) for code in codes]
-        frame = pd.DataFrame(rows, columns=fields, dtype=object)
-        frame[_COUNTS] = frame[_COUNTS].astype("Int32")
-        yield frame
+        rows = [nothing if code is None else (file_facts(code) or nothing) for code in codes]
+        yield pd.DataFrame(rows, columns=COUNTS, dtype="Int32")

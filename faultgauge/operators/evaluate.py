@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultgauge import constants as C
 from faultgauge.operators.topk import hash_ranks, running_sums
@@ -141,9 +141,9 @@ def calibration_bins(rows: DataFrame, by: list[str], bins: int = 10) -> DataFram
 
 
 def class_distribution(rows: DataFrame, label: str = "label") -> DataFrame:
-    counts = rows.groupBy(label).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select(label, "n", (F.col("n") / F.col("total") * 100).alias("pct"))
+    counts = rows.groupBy(label).agg(F.count("*").alias("n"))  # one row per class
+    total = F.sum("n").over(Window.partitionBy())
+    return counts.select(label, "n", (F.col("n") / total * 100).alias("pct"))
 
 
 def feature_stats(rows: DataFrame, names: list[str]) -> DataFrame:

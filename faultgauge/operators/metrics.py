@@ -68,7 +68,7 @@ def measured_counts() -> Column:
     ast, lex = F.col("ast"), F.col("lex")
     cyclo = ast.decisions + 1
     by_grammar = F.struct(
-        token_counts(ast.operators, ast.operands).alias("tokens"),
+        F.struct(ast.n1.alias("n1"), ast.n2.alias("n2"), ast.eta1.alias("eta1"), ast.eta2.alias("eta2")).alias("tokens"),
         cyclo.alias("cyclo"),
         F.greatest(ast.branches, ast.decisions).alias("branches"),
         (ast.definitions + ast.classes).alias("fan_in"),

@@ -13,7 +13,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultgauge import constants as C
 from faultgauge.operators import contract, evaluate
@@ -227,9 +227,12 @@ def permutation_importance(frame: DataFrame, model: GBTClassificationModel) -> D
     variants.append(placed.select(F.lit("none").alias("feature"), LABEL, *C.FEATURES))
     every = reduce(DataFrame.unionByName, variants)
     measured = evaluate.ranking_measures(_scored(model, contract.assemble(every)), ["feature"])
-    intact = measured.filter(F.col("feature") == "none").select(F.col("roc_auc").alias("intact_auc"))
-    return measured.filter(F.col("feature") != "none").crossJoin(F.broadcast(intact)).select(  # one row
-        "feature", "intact_auc", "roc_auc", (F.col("intact_auc") - F.col("roc_auc")).alias("importance")
+    # one row per feature and one for the intact rows
+    intact = F.max(F.when(F.col("feature") == "none", F.col("roc_auc"))).over(Window.partitionBy())
+    return (
+        measured.withColumn("intact_auc", intact)
+        .filter(F.col("feature") != "none")
+        .select("feature", "intact_auc", "roc_auc", (F.col("intact_auc") - F.col("roc_auc")).alias("importance"))
     )
 
 

@@ -630,9 +630,19 @@ def report_all_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def file_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Result rows without content, factors and recommendations."""
-    rows = X.analysis_files(spark, sf).withColumns({"content": F.lit("x"), "shap_factors": F.lit("x"), "recommendations": F.lit("x")})
-    return rows.drop("content", "shap_factors", "recommendations", "metrics", "ai_explanation", "test_suggestions")
+    """The whole analysis without a model: neutral scores, churn, and texts from metrics alone."""
+    out = analyze.analyze(X.src_files(spark, sf), X.file_commits(spark, sf), None, None, "doc_id")
+    return out.select(
+        "repo", "path", "rank", "risk_score", "risk_level", "metrics.loc", "metrics.cyclomatic_complexity",
+        "metrics.commit_count", "metrics.contributor_count", "ai_explanation", "test_suggestions",
+    )
+
+
+@query
+def repository_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Address, file count, mean risk and tier of each repository, from scored listings."""
+    scored = _listed_scores(spark, sf)
+    return rollup.repository_risk(scored, "repo").withColumn("overall_risk", r6("overall_risk"))
 
 
 # --- top-k and rankings ---------------------------------------------------------------------------

@@ -490,7 +490,25 @@ ORACLE["action_texts"] = f"""WITH {FILES} SELECT analysis_id, file_path, coalesc
   CASE WHEN ai_explanation <> '' THEN coalesce(nullif(test_suggestions, ''), {quoted(C.REVIEW_NEXT_SPRINT)}) END AS action FROM f"""
 ORACLE["report_all_files"] = f"""WITH {FILES} SELECT analysis_id, file_path, risk_level, {pct('risk_score')} AS risk_pct, coalesce(loc, 0) AS loc,
   coalesce(floor(complexity * 10 + 0.5) / 10, 0) AS complexity, coalesce(commit_count, 0) AS commits FROM f"""
-ORACLE["file_report"] = f"WITH {FILES} SELECT analysis_id, file_path, risk_score, risk_level FROM f"
+ORACLE["file_report"] = f"""WITH {SRC}, {COMMITS}, pick AS (SELECT * FROM src WHERE {_SUPPORTED}
+    QUALIFY row_number() OVER (PARTITION BY repo ORDER BY size DESC, path) <= 25),
+  full_files AS (SELECT * FROM pick WHERE regexp_matches(content, '[^{SP[1:-1]}]')), {lexical('full_files', 'doc_id')},
+  n AS (SELECT doc_id, count(*) AS cc, count(DISTINCT author) AS dc FROM commits GROUP BY 1),
+  r AS (SELECT m.*, repo, path, cc, dc, CAST(row_number() OVER (PARTITION BY repo ORDER BY path) AS INTEGER) AS rank
+    FROM m JOIN full_files ON key = full_files.doc_id LEFT JOIN n ON n.doc_id = key),
+  e AS (SELECT *, list_filter([
+     CASE WHEN cyclomatic_complexity > 10 THEN format('high cyclomatic complexity ({{:.1f}}) with deeply nested branches', cyclomatic_complexity) END,
+     CASE WHEN loc > 300 THEN format('large file size ({{}} lines)', loc) END], lambda x: x IS NOT NULL) AS evidence FROM r)
+SELECT repo, path, rank, 0.5::DOUBLE AS risk_score, 'MEDIUM' AS risk_level, loc, cyclomatic_complexity,
+  CAST(CASE WHEN rank <= 5 THEN coalesce(cc, 1) ELSE 1 END AS BIGINT) AS commit_count,
+  CAST(CASE WHEN rank <= 5 THEN coalesce(dc, 1) ELSE 1 END AS BIGINT) AS contributor_count,
+  CASE WHEN rank > 3 THEN '' ELSE concat('The XGBoost model assigned ', regexp_extract(path, '[^/]*$'),
+    ' a 50% defect risk score primarily driven by ', CASE WHEN len(evidence) > 0 THEN array_to_string(evidence, ', and ')
+    ELSE {quoted(C.GENERIC_EVIDENCE)} END, '. ', {quoted(C.EXPLANATION_CLOSE)}) END AS ai_explanation,
+  CASE WHEN rank > 3 THEN '' ELSE array_to_string({_ADVICE}, '; ') END AS test_suggestions FROM e"""
+ORACLE["repository_report"] = f"""WITH {SRC}, g AS (SELECT repo, count(*) AS files,
+    round(avg(CAST(doc_id * 37 % 100 AS DOUBLE) / 100), 12) AS overall_risk FROM src GROUP BY 1)
+SELECT repo, files, round(overall_risk, 6) AS overall_risk, {tier('overall_risk')} AS risk_level FROM g"""
 
 ORACLE["top_files_by_size"] = f"""WITH {SRC}, s AS (SELECT repo, path, CASE WHEN doc_id % 6 <> 0 THEN size END AS size FROM src WHERE {_SUPPORTED})
 SELECT repo, path, size, CAST(row_number() OVER (PARTITION BY repo ORDER BY coalesce(size, 0) DESC, path) AS INTEGER) AS size_rank FROM s
