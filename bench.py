@@ -15,7 +15,7 @@ from faultgauge.plans.catalog import QUERIES  # noqa: E402
 
 HEADLINE = [
     # measuring and explaining files
-    "file_metrics", "html_metrics", "operand_tokens", "cyclomatic_lexical", "ast_fallback", "scale_features",
+    "file_metrics", "html_metrics", "operand_tokens", "cyclomatic_lexical", "scale_features",
     "score_files", "tree_shap", "shap_topk", "file_report", "flagship",
     # roll-ups
     "repo_risk", "repo_scorecard", "language_mix", "hot_dirs", "churn_counts", "analysis_with_files", "dashboard_totals",

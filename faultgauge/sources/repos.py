@@ -33,7 +33,7 @@ def scan_checkout(spark: SparkSession, folder: str, repo: str) -> DataFrame:
     inner = F.substring_index(F.col("path"), folder.strip("/") + "/", -1)
     return files.select(
         F.lit(repo).alias("repo"), inner.alias("path"), F.col("length").alias("size"),
-        F.decode("content", F.lit("UTF-8")).alias("content"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
     )
 
 
