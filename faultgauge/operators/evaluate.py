@@ -35,14 +35,23 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
 
-def confusion(rows: DataFrame, by: list[str], threshold: float | Column = 0.5) -> DataFrame:
+def _outcomes(threshold: float | Column) -> list[Column]:
     predicted, actual = F.col("score") >= threshold, F.col("label") == 1
-    return rows.groupBy(*by).agg(
+    return [
         F.count_if(~predicted & ~actual).alias("tn"),
         F.count_if(predicted & ~actual).alias("fp"),
         F.count_if(~predicted & actual).alias("fn"),
         F.count_if(predicted & actual).alias("tp"),
-    )
+    ]
+
+
+def _brier() -> Column:
+    gap = F.col("score") - F.col("label")
+    return F.avg(gap * gap).alias("brier")
+
+
+def confusion(rows: DataFrame, by: list[str], threshold: float | Column = 0.5) -> DataFrame:
+    return rows.groupBy(*by).agg(*_outcomes(threshold))
 
 
 def rates(counts: DataFrame) -> DataFrame:
@@ -118,13 +127,13 @@ def ranking_measures(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def brier(rows: DataFrame, by: list[str]) -> DataFrame:
-    gap = F.col("score") - F.col("label")
-    return rows.groupBy(*by).agg(F.avg(gap * gap).alias("brier"))
+    return rows.groupBy(*by).agg(_brier())
 
 
 def all_measures(rows: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
-    """The seven measures per group. Each part has one row per group when they are joined."""
-    out = rates(confusion(rows, by, threshold)).join(brier(rows, by), by).join(ranking_measures(rows, by), by)
+    """The seven measures per group. Both parts have one row per group when they are joined."""
+    counted = rows.groupBy(*by).agg(*_outcomes(threshold), _brier())
+    out = rates(counted).join(ranking_measures(rows, by), by)
     return out.select(*by, "tn", "fp", "fn", "tp", "accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc", "brier")
 
 

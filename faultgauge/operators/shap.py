@@ -159,24 +159,31 @@ def with_factors(rows: DataFrame) -> DataFrame:
     )
 
 
+def _shares(means: DataFrame, names: list[str], value: str, share: str) -> DataFrame:
+    """One row of means, one column per feature, to rows of (feature, mean, share of the total)."""
+    total = sum(F.col(n) for n in names)
+    rows = [
+        F.struct(
+            F.lit(n).alias("feature"),
+            F.col(n).alias(value),
+            F.coalesce(F.try_divide(F.col(n), total), F.lit(0.0)).alias(share),
+        )
+        for n in names
+    ]
+    return means.select(F.inline(F.array(*rows)))
+
+
 def global_importance(rows: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Mean absolute contribution per feature, as a share of their total."""
     names = names or C.FEATURES
     means = rows.agg(*[F.avg(F.abs(F.col("contributions")[i])).alias(n) for i, n in enumerate(names)])
-    long = means.unpivot([], names, "feature", "mean_abs_shap")
-    total = sum(F.col(n) for n in names)
-    shares = means.select(*[F.when(total > 0, F.col(n) / total).otherwise(F.col(n)).alias(n) for n in names])
-    return long.join(shares.unpivot([], names, "feature", "shap_share"), "feature")
+    return _shares(means, names, "mean_abs_shap", "shap_share")
 
 
 def gain_importance(nodes: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Mean gain of each feature's splits, as a share of the total; 0 for features never split on."""
     names = names or C.FEATURES
+    gain = lambda i: F.avg(F.when(F.col("feature") == i, F.col("gain")))
     splits = nodes.filter(F.col("left") >= 0)
-    means = splits.agg(*[F.avg(F.when(F.col("feature") == i, F.col("gain"))).alias(n) for i, n in enumerate(names)])
-    filled = means.select(*[F.coalesce(F.col(n), F.lit(0.0)).alias(n) for n in names])
-    total = sum(F.col(n) for n in names)
-    shares = filled.select(*[F.coalesce(F.try_divide(F.col(n), total), F.lit(0.0)).alias(n) for n in names])
-    return filled.unpivot([], names, "feature", "mean_gain").join(
-        shares.unpivot([], names, "feature", "gain_share"), "feature"
-    )
+    means = splits.agg(*[F.coalesce(gain(i), F.lit(0.0)).alias(n) for i, n in enumerate(names)])
+    return _shares(means, names, "mean_gain", "gain_share")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultgauge.session import materialise
@@ -29,7 +31,7 @@ def running_sums(df: DataFrame, group: list[str], order: list[Column], sums: dic
         .withColumn("_piece", F.spark_partition_id())
     )
     pieces = materialise(ranged)
-    key = [*group, "_piece"]
+    key = ["_piece", *group]
     totals = pieces.groupBy(*key).agg(*[F.sum(f"_{n}").alias(f"_{n}_total") for n in names])
     earlier = Window.partitionBy(*group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
@@ -37,11 +39,18 @@ def running_sums(df: DataFrame, group: list[str], order: list[Column], sums: dic
     )
     so_far = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = pieces.withColumns({f"_{n}": F.sum(f"_{n}").over(so_far) for n in names})
-    return local.join(offsets, key).select(
+    return join_null_safe(local, offsets, key).select(
         *df.columns, *[(F.col(f"_{n}") + F.col(f"_{n}_before")).alias(n) for n in names]
     )
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on equal keys, in which a missing key equals a missing key: no group is lost."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, same).drop(*[f"_right_{k}" for k in keys])
+
+
 def rank_rows(df: DataFrame, group: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
     """Number all rows of each group, without a limit on its size."""
     return running_sums(df, group, order, {rank: F.lit(1).cast("bigint")})
@@ -70,7 +79,7 @@ def hash_ranks(df: DataFrame, group: str, key: str, seed: int, digits: int = 3)
     local = Window.partitionBy(group, "_bucket").orderBy("_hash", key)
     return (
         hashed.withColumn("_local", F.row_number().over(local))
-        .join(offsets, [group, "_bucket"])
+        .transform(join_null_safe, offsets, [group, "_bucket"])
         .withColumn("rank", F.col("_local") + F.col("_before"))
         .select(*df.columns, "rank", "group_rows")
     )

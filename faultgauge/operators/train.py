@@ -164,7 +164,7 @@ def out_of_fold(folded: DataFrame, models: dict[str, object], threads: int = 8)
 def cross_validate(frame: DataFrame, models: dict[str, object]) -> DataFrame:
     """Mean of the seven measures over the folds, per model."""
     folded = materialise(evaluate.stratified_folds(frame, KEY, LABEL))
-    scores = out_of_fold(folded, models)
+    scores = materialise(out_of_fold(folded, models))
     by_fold = evaluate.all_measures(scores, ["model", "fold"])
     return evaluate.cv_means(by_fold, ["model"])
 

@@ -96,3 +96,10 @@ def test_median_of_even_and_odd_counts(spark):
     rows = spark.createDataFrame([(1.0, 1.0), (2.0, 5.0), (4.0, 5.0), (9.0, None)], "a double, b double")
     got = {r["feature"]: r["median"] for r in evaluate.feature_stats(rows, ["a", "b"]).collect()}
     assert got == {"a": 3.0, "b": 5.0}
+
+
+def test_rows_without_a_group_are_kept(spark):
+    rows = spark.createDataFrame([(None, 1), (None, 2), (3, 3)], "g int, id int")
+    got = {r["id"]: r["rank"] for r in rank_rows(rows, ["g"], [F.col("id").asc()]).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    assert hash_ranks(rows, "g", "id", 1).count() == 3
