@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultgauge.session import materialise
@@ -30,27 +28,21 @@ def running_sums(df: DataFrame, group: list[str], order: list[Column], sums: dic
         .repartitionByRange(*[F.col(g) for g in group], *order)
         .withColumn("_piece", F.spark_partition_id())
     )
-    pieces = materialise(ranged)
-    key = ["_piece", *group]
-    totals = pieces.groupBy(*key).agg(*[F.sum(f"_{n}").alias(f"_{n}_total") for n in names])
-    earlier = Window.partitionBy(*group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    # One struct as key: it is never null itself, so rows with a missing group find their offset too.
+    pieces = materialise(ranged).withColumn("_key", F.struct("_piece", *group))
+    totals = pieces.groupBy("_key").agg(*[F.sum(f"_{n}").alias(f"_{n}_total") for n in names])
+    same_group = [F.col(f"_key.{g}") for g in group]
+    earlier = Window.partitionBy(*same_group).orderBy("_key._piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *key, *[F.coalesce(F.sum(f"_{n}_total").over(earlier), F.lit(0)).alias(f"_{n}_before") for n in names]
+        "_key", *[F.coalesce(F.sum(f"_{n}_total").over(earlier), F.lit(0)).alias(f"_{n}_before") for n in names]
     )
-    so_far = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = pieces.withColumns({f"_{n}": F.sum(f"_{n}").over(so_far) for n in names})
-    return join_null_safe(local, offsets, key).select(
+    return local.join(offsets, "_key").select(
         *df.columns, *[(F.col(f"_{n}") + F.col(f"_{n}_before")).alias(n) for n in names]
     )
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join on equal keys, in which a missing key equals a missing key: no group is lost."""
-    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
-    return left.join(renamed, same).drop(*[f"_right_{k}" for k in keys])
-
-
 def rank_rows(df: DataFrame, group: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
     """Number all rows of each group, without a limit on its size."""
     return running_sums(df, group, order, {rank: F.lit(1).cast("bigint")})
@@ -62,24 +54,21 @@ def hash_ranks(df: DataFrame, group: str, key: str, seed: int, digits: int = 3)
     The hash is even, so its leading digits cut every group into even buckets. Only the counts per
     (group, bucket) meet in one place: 16**digits rows for each value of ``group``.
     """
-    hashed = df.withColumn("_hash", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).withColumn(
-        "_bucket", F.substring("_hash", 1, digits)
-    )
-    counts = df.select(
-        group, F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, digits).alias("_bucket")
-    ).groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
-    whole = Window.partitionBy(group)
-    earlier = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    hash_of = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    place = F.struct(F.col(group).alias("group"), F.substring(hash_of, 1, digits).alias("bucket"))
+    counts = df.groupBy(place.alias("_place")).agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy("_place.group")
+    earlier = whole.orderBy("_place.bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        group,
-        "_bucket",
+        "_place",
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_n").over(whole).alias("group_rows"),
     )
-    local = Window.partitionBy(group, "_bucket").orderBy("_hash", key)
+    local = Window.partitionBy("_place").orderBy("_hash", key)
     return (
-        hashed.withColumn("_local", F.row_number().over(local))
-        .transform(join_null_safe, offsets, [group, "_bucket"])
+        df.withColumns({"_hash": hash_of, "_place": place})
+        .withColumn("_local", F.row_number().over(local))
+        .join(offsets, "_place")
         .withColumn("rank", F.col("_local") + F.col("_before"))
         .select(*df.columns, "rank", "group_rows")
     )
