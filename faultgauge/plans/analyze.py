@@ -10,6 +10,7 @@ from faultgauge.functions.lexical import is_blank
 from faultgauge.operators import contract, filters, rollup, scoring, shap
 from faultgauge.operators.metrics import file_metrics
 from faultgauge.operators.topk import top_k
+from faultgauge.session import spread_work
 
 
 def select_files(files: DataFrame, repo: str = "repo", k: int = C.MAX_FILES_PER_REPO) -> DataFrame:
@@ -75,9 +76,9 @@ def analyze(
 ) -> DataFrame:
     """``files(repo, path, size, content)`` and ``commits(…, author)`` to one ranked row per file.
 
-    The listing is cut to 25 files per repository before any text is measured, and commits are
-    summed before they are joined, for five files per repository.
+    The listing is cut to 25 files per repository before any text is measured; what is left is dealt
+    out anew, so that a few repositories still use all cores. Commits are summed before they are joined.
     """
     chosen = select_files(files).filter(~is_blank(F.col("content"))).drop("size_rank")
-    ranked = rank_files(predict(chosen, model, leaves))
+    ranked = rank_files(predict(spread_work(chosen, "repo", "path"), model, leaves))
     return payload(explain(rollup.churn_enrich(ranked, commits, commit_key)))
