@@ -14,7 +14,6 @@ from math import factorial
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from faultgauge import constants as C
