@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from faultgauge.session import new_path
@@ -29,7 +30,7 @@ def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that one slice holds about ``limit`` bytes of ``column``, or a single row."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(batch.schema.get_field_index(column))).to_pylist()
+        sizes = pc.binary_length(batch.column(batch.schema.get_field_index(column))).to_pylist()
         start = total = 0
         for i, size in enumerate(sizes):
             if total and total + (size or 0) > limit:
