@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from faultgauge.llm import bpe
+from faultgauge.llm import bpe, syncmers
 from faultgauge.llm.common import table
 
 QUERIES: dict = {}
@@ -22,3 +22,9 @@ def op3_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of every document, and its text decoded from them."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.encode(table(spark, sf, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query
+def op10_syncmers(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return syncmers.fingerprints(table(spark, sf, "documents"))
