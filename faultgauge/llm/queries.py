@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultgauge.llm import bpe, syncmers
+from faultgauge.llm import bpe, syncmers, warc
 from faultgauge.llm.common import table
 
 QUERIES: dict = {}
@@ -28,3 +28,28 @@ def op3_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 def op10_syncmers(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return syncmers.fingerprints(table(spark, sf, "documents"))
+
+
+@query
+def op8_warc_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page written to archives and read back; the pages carry no time, so their ids stand for seconds."""
+    seconds = F.timestamp_seconds(F.lit(1_600_000_000) + F.coalesce("page_id", F.lit(0)))
+    index = warc.capture_index(table(spark, sf, "pages").withColumn("captured", seconds))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE["op8_warc_index"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html,
+         min(page_id) OVER (PARTITION BY sha1(coalesce(html, ''))) AS first,
+         CAST(CAST(unhex(sha1(coalesce(html, ''))) AS BIT) AS VARCHAR) AS bits
+  FROM pages)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST(1 + list_sum(list_transform(range(0, 5),
+           lambda j: CAST(substr(bits, CAST(5 * i + j + 1 AS INT), 1) AS INT) * CAST(pow(2, 4 - j) AS INT))) AS INT), 1)), '')
+         AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p
+"""
