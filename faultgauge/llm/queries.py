@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultgauge.llm import bpe, syncmers, topk, warc
+from faultgauge.llm import bpe, site_tree, syncmers, topk, warc
 from faultgauge.llm.common import table
 
 QUERIES: dict = {}
@@ -74,3 +74,9 @@ s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+
+@query
+def op1_site_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of every page."""
+    return site_tree.extract(table(spark, sf, "pages"))
