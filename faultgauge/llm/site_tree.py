@@ -20,10 +20,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from faultgauge.llm.common import slices
+from faultgauge.llm.common import slices, written
 
 CONTENT_SHARE = 0.9  # of importance; the rest is for layout
 THRESHOLD = 0.5  # branches below are removed
+SMALL_TREE = 50_000  # unimportant branches that a task may hold
 MIN_PAGES = 8  # fewer pages of a host say nothing about a branch
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -216,13 +217,12 @@ def nodes(pages: DataFrame) -> DataFrame:
     return pages.select("page", "url", "html").mapInArrow(run, "host string, path long, page long, content long, layout long")
 
 
-def importance(found: DataFrame) -> DataFrame:
-    """``host, path, pages, importance`` of the merged tree; equal pages count once.
+def importance(once: DataFrame) -> DataFrame:
+    """``host, path, pages, importance`` of the merged tree, from one row for each host, path and page.
 
-    Entropies are divided by the logarithm of the number of pages, so they lie between 0 and 1; the digest of
-    a page stands for it. A path of a single page has importance 1.
+    Entropies are divided by the logarithm of the number of pages, so they lie between 0 and 1. A path of a
+    single page has importance 1.
     """
-    once = found.groupBy("host", "path", "page").agg(F.first("content").alias("content"), F.first("layout").alias("layout"))
 
     def entropy(value: str) -> DataFrame:
         counts = once.groupBy("host", "path", value).agg(F.count("*").alias("c"))
@@ -236,28 +236,42 @@ def importance(found: DataFrame) -> DataFrame:
     )
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, small: int = SMALL_TREE) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages(page_id, url, html)``.
 
     Blocks are joined by an empty line, white space in a block is one space. A null or empty html gives an
     empty text, as does a page without main text; repeated rows give repeated rows; pages without a readable
     host form one site of their own. An empty table gives no rows.
+
+    Up to ``small`` unimportant branches of all sites together are sent to every task; beyond that each page
+    is joined with those that it has itself. Results are the same.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("page", F.xxhash64("url", "html"))
-    found = nodes(rows)
-    tree = importance(found)
-    minor = tree.filter((F.col("pages") >= MIN_PAGES) & (F.col("importance") < THRESHOLD)).select("host", "path")
-    # a page's own unimportant paths: no more of them than the page has elements
-    own = found.join(minor, ["host", "path"], "left_semi").groupBy("page").agg(F.collect_set("path").alias("minor"))
+    # equal pages count once
+    once = nodes(rows).groupBy("host", "path", "page").agg(F.first("content").alias("content"), F.first("layout").alias("layout"))
+    once = written(once, "site-nodes")
+    minor = importance(once).filter((F.col("pages") >= MIN_PAGES) & (F.col("importance") < THRESHOLD))
+    minor = written(minor.select("host", "path"), "site-minor")
+    sites: dict[str, set[int]] | None = None
+    if minor.count() <= small:
+        sites = {}
+        for r in minor.collect():
+            sites.setdefault(r["host"], set()).add(r["path"])
+        joined = rows.select("page_id", "url", "html")
+    else:
+        # no more of them for a page than it has elements
+        own = once.join(minor, ["host", "path"], "left_semi").groupBy("page").agg(F.collect_set("path").alias("minor"))
+        joined = rows.join(own, "page", "left").select("page_id", "url", "html", "minor")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "html", 4 << 20):
-            texts = [main_text(h, frozenset(p or ())) for h, p in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+            urls, htmls = part.column(1).to_pylist(), part.column(2).to_pylist()
+            minors = part.column(3).to_pylist() if sites is None else [sites.get(host(u)) for u in urls]
+            texts = [main_text(h, frozenset(m or ())) for h, m in zip(htmls, minors)]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],
             )
 
     kind = rows.schema["page_id"].dataType.simpleString()
-    joined = rows.join(own, "page", "left").select("page_id", "url", "html", "minor")
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
