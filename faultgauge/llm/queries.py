@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultgauge.llm import bpe, site_tree, syncmers, topk, warc
+from faultgauge.llm import bpe, order_minhash, site_tree, syncmers, topk, warc
 from faultgauge.llm.common import table
 
 QUERIES: dict = {}
@@ -80,3 +80,9 @@ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 2
 def op1_site_tree(spark: SparkSession, sf: str) -> DataFrame:
     """Main text of every page."""
     return site_tree.extract(table(spark, sf, "pages"))
+
+
+@query
+def op4_order_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return order_minhash.classes(table(spark, sf, "documents"))
