@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultgauge.llm import bpe, order_minhash, site_tree, syncmers, topk, warc
+from faultgauge.llm import bpe, order_minhash, quality, site_tree, syncmers, topk, warc
 from faultgauge.llm.common import table
 
 QUERIES: dict = {}
@@ -86,3 +86,9 @@ def op1_site_tree(spark: SparkSession, sf: str) -> DataFrame:
 def op4_order_minhash(spark: SparkSession, sf: str) -> DataFrame:
     """Near-duplicate class of every document."""
     return order_minhash.classes(table(spark, sf, "documents"))
+
+
+@query
+def op7_weak_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Score and decision of the quality classifier for every document."""
+    return quality.classify(table(spark, sf, "documents"))
