@@ -175,7 +175,7 @@ def fit(docs: DataFrame, sample: int = TRAIN_TEXTS) -> np.ndarray:
     counts = {r["votes"]: r["n"] for r in written(patterns, "votes").collect()}
     posterior = label_model(counts)
     share = min(1.0, sample / max(1, sum(counts.values())))
-    line = int((2 * share - 1) * (2**63 - 1))
+    line = min(2**63 - 1, int((2 * share - 1) * 2**63))
     chosen = texts.withColumn("key", F.xxhash64("text")).filter(F.col("key") <= line)
     row = pa.schema([("key", pa.int64()), ("x", pa.binary()), ("y", pa.float64())])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultgauge.llm import bpe, order_minhash, quality, site_tree, syncmers, topk, warc
+from faultgauge.llm import bpe, mixing, order_minhash, quality, site_tree, syncmers, topk, warc
 from faultgauge.llm.common import table
 
 QUERIES: dict = {}
@@ -92,3 +92,19 @@ def op4_order_minhash(spark: SparkSession, sf: str) -> DataFrame:
 def op7_weak_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Score and decision of the quality classifier for every document."""
     return quality.classify(table(spark, sf, "documents"))
+
+
+#: Shares of tokens that the mixture is to have.
+LANGUAGES = {"en": 0.45, "de": 0.2, "fr": 0.2, "es": 0.15}
+
+
+def labelled_languages(spark: SparkSession, sf: str) -> DataFrame:
+    """``doc_id, domain`` of the documents that the table of labels covers."""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("domain"))
+    return docs.join(table(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+@query
+def op6_soft_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """Rates of all documents for a mixture of languages, which are known only for labelled ones."""
+    return mixing.rates(table(spark, sf, "documents"), labelled_languages(spark, sf), LANGUAGES)
