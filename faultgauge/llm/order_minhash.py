@@ -87,7 +87,7 @@ def sketches(words: np.ndarray, seeds: np.ndarray = SEEDS) -> np.ndarray:
 
 
 def _edit_distances(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarray:
-    """Word edit distances of all pairs at once, over the diagonals within ``band``; a value above it means more than ``band``."""
+    """Word edits of the best alignment of each pair that keeps within ``band`` diagonals; the least of all if no more than ``band``."""
     count, width = len(pairs), 2 * band + 1
     n = np.array([len(a) for a, _ in pairs])
     m = np.array([len(b) for _, b in pairs])
@@ -133,9 +133,9 @@ def similar(pairs: list[tuple[np.ndarray, np.ndarray]], similarity: float = SIMI
         both = np.minimum(np.bincount(where[: len(a)], minlength=len(values)), np.bincount(where[len(a) :], minlength=len(values)))
         if longest[i] - both.sum() <= allowed[i]:
             open_.append(i)
-    band = 16
+    band = 8
     while open_:
-        # a narrow band settles most pairs; wider ones take what is left
+        # an alignment in a narrow band is enough to accept; rejecting takes a band as wide as the edits allowed
         rest = []
         open_.sort(key=lambda i: len(pairs[i][0]))
         start = 0
@@ -148,7 +148,7 @@ def similar(pairs: list[tuple[np.ndarray, np.ndarray]], similarity: float = SIMI
                 stop += 1
             chosen = open_[start:stop]
             for i, d in zip(chosen, _edit_distances([pairs[i] for i in chosen], band)):
-                if d <= min(band, allowed[i]):
+                if d <= allowed[i]:
                     out[i] = True
                 elif band < allowed[i]:
                     rest.append(i)
