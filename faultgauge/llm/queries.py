@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultgauge.llm import bpe, mixing, order_minhash, quality, site_tree, syncmers, topk, warc
+from faultgauge.llm import bpe, mixing, order_minhash, quality, site_tree, suffix_dedup, syncmers, topk, warc
 from faultgauge.llm.common import table
 
 QUERIES: dict = {}
@@ -108,3 +108,11 @@ def labelled_languages(spark: SparkSession, sf: str) -> DataFrame:
 def op6_soft_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """Rates of all documents for a mixture of languages, which are known only for labelled ones."""
     return mixing.rates(table(spark, sf, "documents"), labelled_languages(spark, sf), LANGUAGES)
+
+
+@query
+def op5_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without its repeated strings of 400 bytes."""
+    found = suffix_dedup.removed(table(spark, sf, "documents").select("doc_id", "text"))
+    digest = F.sha2(F.col("kept"), 256).alias("kept_sha256")
+    return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", digest)
