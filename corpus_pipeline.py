@@ -5,18 +5,44 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from faultgauge.llm import bpe
+from faultgauge.llm import bpe, mixing, order_minhash, quality, queries, suffix_dedup
 from faultgauge.llm.common import table, written
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, as digests."""
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go."""
+    return quality.accepted(docs)
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays."""
+    return order_minhash.deduplicated(docs)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 400 bytes that occur more than once are cut out everywhere."""
+    return suffix_dedup.deduplicated(docs)
+
+
+def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of languages that fall short of their weight are repeated; every document stays."""
+    return mixing.mixed(docs, queries.labelled_languages(spark, sf_dir), queries.LANGUAGES)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of the token ids of what is left."""
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("byte_bpe", encode)]
+STAGES = [
+    ("quality", good_quality),
+    ("near_copies", one_of_near_copies),
+    ("repeats", without_repeats),
+    ("mixing", to_weights),
+    ("byte_bpe", encoded),
+]
 
-#: Several stages are iterative or read text as bytes; tests hold them against brute force instead.
+#: The classifier, the components and the rates are iterative; tests hold the stages against brute force instead.
 ORACLE_SQL = None
 
 

@@ -239,6 +239,18 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "a long, b long")
 
 
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows ``doc_id, text, node`` of ``docs``, and for each distinct text (``node``) its least id, number of rows and component."""
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
+    # copies count as one text; the one with the least id is read
+    nodes = written(texts.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "nodes")
+    found = signatures(texts).groupBy("node").agg(F.first("words").alias("words"), F.first("sketches").alias("sketches"))
+    pairs = written(candidates(written(found, "signatures")), "pairs")
+    links = written(verified(pairs, texts, nodes), "near")
+    named = nodes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return texts, named
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """``doc_id, class_id, n_class`` of every row of ``docs(doc_id, text)``: near copies are of one class.
 
@@ -248,13 +260,19 @@ def classes(docs: DataFrame) -> DataFrame:
     the class of their text; if no row of that text has an id, it is compared with no other text and the class
     has none either. An empty table gives no rows.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
-    # copies count as one text; the one with the least id is read
-    nodes = written(texts.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "nodes")
-    found = signatures(texts).groupBy("node").agg(F.first("words").alias("words"), F.first("sketches").alias("sketches"))
-    pairs = written(candidates(written(found, "signatures")), "pairs")
-    links = written(verified(pairs, texts, nodes), "near")
-    named = nodes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    texts, named = grouped(docs)
     sums = named.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("n_class"))
     class_of = named.select("node", "component").join(sums, "component").select("node", "class_id", "n_class")
     return texts.select("doc_id", "node").join(class_of, "node").select("doc_id", "class_id", "n_class")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One row of each class, that with the least id (then the least hash of the text), with all columns as they are."""
+    _, named = grouped(docs)
+    # a row without an id stays only where no row of its class has one
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("best")
+    chosen = named.groupBy("component").agg(best).select(F.col("best.doc_id").alias("_id"), F.col("best.node").alias("_node"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), F.col("doc_id").alias("id"))
+    kept = rows.join(chosen, (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+    return kept.dropDuplicates(["node", "id"]).select("row.*")

@@ -223,5 +223,12 @@ def classify(docs: DataFrame, sample: int = TRAIN_TEXTS) -> DataFrame:
     return scored.select("doc_id", "score", ((F.col("score") >= ACCEPT) & F.col("solid")).alias("accepted"))
 
 
+def accepted(docs: DataFrame, sample: int = TRAIN_TEXTS) -> DataFrame:
+    """The rows of ``docs`` whose texts are accepted, with all columns as they are."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    scored = docs.select(row, score(F.col("text"), fit(docs, sample)).alias("score"))
+    return scored.filter((F.col("score") >= ACCEPT) & solid(F.col("row.text"))).select("row.*")
+
+
 def solid(text: Column) -> Column:
     return F.coalesce(F.length(F.trim(text)) > 0, F.lit(False))

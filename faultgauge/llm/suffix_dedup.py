@@ -341,3 +341,21 @@ def removed(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFr
 
     result = joined.select("row", F.octet_length("data").cast("long").alias("n_bytes"), cleaned("data", "spans").alias("c"))
     return result.select("row", "n_bytes", "c.kept", "c.n_removed", "c.n_spans")
+
+
+def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with what is left of each text, and all other columns as they are but ``n_chars``, which is counted anew.
+
+    Parts of characters at a cut are left out. Rows of whose texts nothing but white space is left go.
+    """
+
+    @F.pandas_udf("string")
+    def decoded(data: pd.Series) -> pd.Series:
+        return pd.Series([d.decode("utf-8", "ignore") for d in data], dtype=object)
+
+    found = removed(docs, "text", length)
+    text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(decoded("kept"))
+    rows = found.select("row", "n_removed", text.alias("left"))
+    rows = rows.filter((F.col("n_removed") == 0) | (F.length(F.trim("left")) > 0))
+    new = {"text": F.col("left"), "n_chars": F.length("left").cast(docs.schema["n_chars"].dataType if "n_chars" in docs.columns else "long")}
+    return rows.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
