@@ -13,6 +13,7 @@ from faultgauge.functions import paths
 from faultgauge.functions.rounding import clamp01, mean, percent, round_half_up
 from faultgauge.operators.scoring import risk_tier
 from faultgauge.operators.topk import rank_rows, top_k
+from faultgauge.sources.repos import FILE_KEYS, with_author
 
 
 def by_risk(path: str = "file_path") -> list[Column]:
@@ -102,27 +103,25 @@ def hot_directories(files: DataFrame) -> DataFrame:
     return top_k(means, ["analysis_id"], [F.col("avg_risk").desc(), F.col("directory").asc()], C.TOP_DIRECTORIES)
 
 
-def churn_counts(commits: DataFrame, key: str) -> DataFrame:
+def churn_counts(commits: DataFrame, key: list[str] = FILE_KEYS) -> DataFrame:
     """Commits and distinct authors per file, at least 1 each. Summed per author first."""
-    per_author = commits.groupBy(key, "author").agg(F.count("*").alias("_n"))
-    return per_author.groupBy(key).agg(
+    per_author = with_author(commits).groupBy(*key, "author").agg(F.count("*").alias("_n"))
+    return per_author.groupBy(*key).agg(
         F.greatest(F.lit(1).cast("bigint"), F.sum("_n")).alias("commit_count"),
         F.greatest(F.lit(1).cast("bigint"), F.count("*")).alias("contributor_count"),
     )
 
 
-def churn_enrich(ranked: DataFrame, commits: DataFrame, key: str, rank: str = "rank") -> DataFrame:
-    """Add churn to the five riskiest files of each repository; the others keep 1 and 1.
+def churn_enrich(ranked: DataFrame, commits: DataFrame, top: int | None = None, key: list[str] = FILE_KEYS) -> DataFrame:
+    """Add churn to every file, at least 1 and 1; with ``top``, to the riskiest files of each repository alone.
 
     Commits are reduced to one row per file before the join.
     """
     joined = ranked.join(churn_counts(commits, key), key, "left")
-    chosen = F.col(rank) <= C.ENRICHED_FILES
+    one = F.lit(1).cast("bigint")
+    chosen = F.lit(True) if top is None else F.col("rank") <= top
     return joined.withColumns(
-        {
-            c: F.when(chosen, F.coalesce(F.col(c), F.lit(1).cast("bigint"))).otherwise(F.lit(1).cast("bigint"))
-            for c in ("commit_count", "contributor_count")
-        }
+        {c: F.when(chosen, F.coalesce(F.col(c), one)).otherwise(one) for c in ("commit_count", "contributor_count")}
     )
 
 

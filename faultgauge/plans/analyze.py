@@ -10,7 +10,8 @@ from faultgauge.functions.lexical import is_blank
 from faultgauge.operators import contract, filters, rollup, scoring, shap
 from faultgauge.operators.metrics import file_metrics
 from faultgauge.operators.topk import top_k
-from faultgauge.session import spread_work
+from faultgauge.session import materialise
+from faultgauge.sources.repos import FILE_KEYS
 
 
 def select_files(files: DataFrame, repo: str = "repo", k: int = C.MAX_FILES_PER_REPO) -> DataFrame:
@@ -40,14 +41,17 @@ def predict_metrics(metrics: DataFrame, model: GBTClassificationModel | None, le
     )
 
 
-def rank_files(predicted: DataFrame, repo: str = "repo") -> DataFrame:
-    """Files of a repository by falling risk. At most 25 files per repository come in."""
-    return top_k(predicted, [repo], rollup.by_risk("path"), C.MAX_FILES_PER_REPO)
+def rank_files(predicted: DataFrame) -> DataFrame:
+    """Add ``rank``: files of a repository by falling risk. Only keys and scores are sorted."""
+    place = rollup.rank_by_risk(predicted.select(*FILE_KEYS, "risk_score"), "repo", "path")
+    return predicted.join(place.select(*FILE_KEYS, "rank"), FILE_KEYS)
 
 
-def explain(ranked: DataFrame) -> DataFrame:
-    """Texts for the three riskiest files of a repository, where their risk is elevated; else empty."""
-    told = (F.col("rank") <= C.EXPLAINED_FILES) & F.col("risk_level").isin("HIGH", "MEDIUM")
+def explain(ranked: DataFrame, top: int | None = None) -> DataFrame:
+    """Texts for files of elevated risk, with ``top`` for the riskiest of each repository alone; else empty."""
+    told = F.col("risk_level").isin("HIGH", "MEDIUM")
+    if top is not None:
+        told = told & (F.col("rank") <= top)
     why = scoring.why_text(
         F.col("path"), F.col("risk_score"), F.col("top_risk_factors"), F.col("raw.loc"),
         F.col("raw.cyclomatic_complexity"), F.col("raw.branch_count"), F.col("raw.volume"),
@@ -72,13 +76,19 @@ def payload(rows: DataFrame) -> DataFrame:
 
 def analyze(
     files: DataFrame, commits: DataFrame, model: GBTClassificationModel | None, leaves: shap.Leaves | None,
-    commit_key: str = "path",
+    max_files: int | None = None, churn_top: int | None = None, explain_top: int | None = None,
 ) -> DataFrame:
-    """``files(repo, path, size, content)`` and ``commits(…, author)`` to one ranked row per file.
+    """``files(repo, path, size, content)`` and ``commits(repo, path, commit)`` to one ranked row per file.
 
-    The listing is cut to 25 files per repository before any text is measured; what is left is dealt
-    out anew, so that a few repositories still use all cores. Commits are summed before they are joined.
+    All supported files that are not blank are measured, straight from the scan; texts are in no shuffle.
+    ``max_files`` keeps the largest files of each repository, which are picked from the listing alone;
+    ``churn_top`` and ``explain_top`` keep churn and texts to the riskiest. A path is unique in its repository.
     """
-    chosen = select_files(files).filter(~is_blank(F.col("content"))).drop("size_rank")
-    ranked = rank_files(predict(spread_work(chosen, "repo", "path"), model, leaves))
-    return payload(explain(rollup.churn_enrich(ranked, commits, commit_key)))
+    chosen = filters.supported_files(files)
+    if max_files is not None:
+        largest = select_files(files.select(*FILE_KEYS, "size"), k=max_files)
+        chosen = chosen.join(largest.select(*FILE_KEYS), FILE_KEYS, "left_semi")
+    # written once: both the ranks and the result read it
+    predicted = materialise(predict(chosen.filter(~is_blank(F.col("content"))), model, leaves))
+    enriched = rollup.churn_enrich(rank_files(predicted), commits, churn_top)
+    return payload(explain(enriched, explain_top))

@@ -68,8 +68,8 @@ def content_fallback(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def commit_scan(spark: SparkSession, sf: str) -> DataFrame:
-    listing = X.src_files(spark, sf).select("doc_id", "path")
-    found = repos.commit_scan(listing, X.file_commits(spark, sf), "doc_id")
+    listing = X.src_files(spark, sf).select("doc_id", "repo", "path")
+    found = repos.commit_scan(listing, repos.with_author(X.file_commits(spark, sf)))
     return found.select("doc_id", "path", "event_id", "author")
 
 
@@ -205,7 +205,7 @@ def filter_supported(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def filter_blank(spark: SparkSession, sf: str) -> DataFrame:
-    return filters.non_blank(X.src_files(spark, sf)).select("doc_id", "path")
+    return filters.non_blank(X.with_blank_files(X.src_files(spark, sf))).select("doc_id", "path")
 
 
 @query
@@ -229,7 +229,7 @@ def drop_dirty(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def repo_status(spark: SparkSession, sf: str) -> DataFrame:
     """Outcomes with files grouped by extension and by the blank rule, so that both failures occur."""
-    files = X.src_files(spark, sf)
+    files = X.with_blank_files(X.src_files(spark, sf))
     doc = F.col("doc_id")
     pairs = F.explode(F.array(F.concat(F.lit("a"), (doc % 13).cast("string")), F.concat(F.lit("b"), (doc % 17).cast("string"))))
     return filters.repository_status(files.select("path", "content", pairs.alias("repo")))
@@ -353,19 +353,18 @@ def _all_metrics(rows: DataFrame, key: str) -> DataFrame:
 @query
 def py_ast_facts(spark: SparkSession, sf: str) -> DataFrame:
     """Metrics from the grammar, over generated Python files that parse."""
-    sources = X.python_sources(spark, sf)
-    return _all_metrics(metrics.file_metrics(sources.filter(~F.col("content").contains("rest = ("))), "doc_id")
+    return _all_metrics(metrics.file_metrics(X.python_sources(spark, sf)), "doc_id")
 
 
 @query
 def ast_fallback(spark: SparkSession, sf: str) -> DataFrame:
     """Python files of which every third one does not parse and takes the lexical route."""
-    return _all_metrics(metrics.file_metrics(X.python_sources(spark, sf)), "doc_id")
+    return _all_metrics(metrics.file_metrics(X.python_sources(spark, sf, broken=True)), "doc_id")
 
 
 @query
 def blank_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    files = X.src_files(spark, sf).filter(lexical.is_blank(F.col("content")))
+    files = X.with_blank_files(X.src_files(spark, sf)).filter(lexical.is_blank(F.col("content")))
     return _all_metrics(metrics.file_metrics(files), "doc_id")
 
 
@@ -503,8 +502,7 @@ def explain_gate(spark: SparkSession, sf: str) -> DataFrame:
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """The whole analysis: listing, metrics, score, factors, churn and texts, ranked per repository."""
     model, leaves = models.model_and_leaves(spark, sf)
-    commits = X.file_commits(spark, sf)
-    out = analyze.analyze(X.src_files(spark, sf), commits, model, leaves, "doc_id")
+    out = analyze.analyze(X.src_files(spark, sf), X.file_commits(spark, sf), model, leaves)
     factor = lambda i: F.try_element_at("metrics.top_risk_factors", F.lit(i))["feature"]
     return out.select(
         "repo", "path", "rank", "risk_score", "risk_level", "metrics.loc", "metrics.cyclomatic_complexity",
@@ -536,7 +534,7 @@ def files_with_content(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def churn_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return rollup.churn_counts(X.file_commits(spark, sf), "doc_id")
+    return rollup.churn_counts(X.file_commits(spark, sf))
 
 
 def _listed_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -547,7 +545,7 @@ def _listed_scores(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def churn_enrich(spark: SparkSession, sf: str) -> DataFrame:
     ranked = rollup.rank_by_risk(_listed_scores(spark, sf), "repo", "path")
-    out = rollup.churn_enrich(ranked, X.file_commits(spark, sf), "doc_id")
+    out = rollup.churn_enrich(ranked, X.file_commits(spark, sf), C.ENRICHED_FILES)
     return out.select("repo", "path", "rank", "commit_count", "contributor_count")
 
 
@@ -631,7 +629,7 @@ def report_all_files(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def file_report(spark: SparkSession, sf: str) -> DataFrame:
     """The whole analysis without a model: neutral scores, churn, and texts from metrics alone."""
-    out = analyze.analyze(X.src_files(spark, sf), X.file_commits(spark, sf), None, None, "doc_id")
+    out = analyze.analyze(X.src_files(spark, sf), X.file_commits(spark, sf), None, None)
     return out.select(
         "repo", "path", "rank", "risk_score", "risk_level", "metrics.loc", "metrics.cyclomatic_complexity",
         "metrics.commit_count", "metrics.contributor_count", "ai_explanation", "test_suggestions",

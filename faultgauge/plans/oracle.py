@@ -37,10 +37,17 @@ _BLANK = "concat(" + ", ".join({" ": "' '", "\n": "chr(10)", "\t": "chr(9)"}[c]
 
 SRC = f"""src AS (SELECT doc_id, source AS repo,
   concat(CASE WHEN doc_id % 11 = 0 THEN '' ELSE concat('d', doc_id % 7, '/') END, 'f', doc_id, '.', {EXT}[doc_id % 13 + 1]) AS path,
-  n_chars AS size, CASE WHEN doc_id % 17 = 0 THEN {_BLANK} ELSE text END AS content FROM documents)"""
+  n_chars AS size, text AS content FROM documents)"""
+# one more file, of white space only, for every 17th
+BLANKS = f"""src0 AS (SELECT doc_id, source AS repo,
+  concat(CASE WHEN doc_id % 11 = 0 THEN '' ELSE concat('d', doc_id % 7, '/') END, 'f', doc_id, '.', {EXT}[doc_id % 13 + 1]) AS path,
+  text AS content FROM documents),
+  v AS (SELECT -1 - doc_id AS doc_id, doc_id + 1 AS k, source AS repo FROM documents WHERE doc_id % 17 = 0),
+  src AS (SELECT * FROM src0 UNION ALL SELECT doc_id, repo,
+    concat('void/', CASE WHEN k % 11 = 0 THEN '' ELSE concat('d', k % 7, '/') END, 'f', k, '.', {EXT}[k % 13 + 1]), {_BLANK} FROM v)"""
 HTML = "html_files AS (SELECT page_id, url AS path, html AS content FROM pages)"
-COMMITS = """commits AS (SELECT event_id, event_id % 200 AS doc_id,
-  coalesce(CAST(user_id AS VARCHAR), 'unknown') AS author FROM events)"""
+COMMITS = """commits AS (SELECT event_id, event_id % (SELECT count(*) FROM documents) AS doc_id,
+  CASE WHEN event_id % 13 = 0 OR user_id IS NULL THEN 'unknown' ELSE concat(user_id, '@example.org') END AS author FROM events)"""
 USERS = """u AS (SELECT c_custkey AS user_id, concat(lower(c_mktsegment), '.', c_custkey % 400, '@example.com') AS email,
   c_name AS name FROM customer)"""
 ANALYSES = f"""a0 AS (SELECT o_orderkey AS analysis_id, o_custkey AS user_id,
@@ -233,7 +240,7 @@ _SUPPORTED = r"regexp_matches(lower(path), '\.(" + "|".join(C.SUPPORTED_EXTENSIO
 ORACLE["filter_supported"] = f"""WITH {SRC}, p AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN upper(path) ELSE path END AS path FROM src)
 SELECT doc_id, path FROM p WHERE {_SUPPORTED}"""
 
-ORACLE["filter_blank"] = f"WITH {SRC} SELECT doc_id, path FROM src WHERE regexp_matches(content, '[^{SP[1:-1]}]')"
+ORACLE["filter_blank"] = f"WITH {BLANKS} SELECT doc_id, path FROM src WHERE regexp_matches(content, '[^{SP[1:-1]}]')"
 
 ORACLE["filter_elevated"] = f"""WITH {FILES} SELECT analysis_id, file_path, risk_score, risk_level FROM f
 WHERE risk_score >= 0.4"""
@@ -241,7 +248,7 @@ WHERE risk_score >= 0.4"""
 ORACLE["drop_dirty"] = """SELECT l_orderkey, l_returnflag AS flag, l_linestatus AS status, l_quantity FROM lineitem
 WHERE l_orderkey % 5 <> 0 AND l_orderkey % 7 <> 0 AND l_orderkey % 11 <> 0"""
 
-ORACLE["repo_status"] = f"""WITH {SRC}, p AS (
+ORACLE["repo_status"] = f"""WITH {BLANKS}, p AS (
   SELECT concat('a', doc_id % 13) AS repo, path, content FROM src UNION ALL SELECT concat('b', doc_id % 17), path, content FROM src),
 c AS (SELECT repo, count_if({_SUPPORTED}) AS supported_files,
         count_if({_SUPPORTED} AND regexp_matches(content, '[^{SP[1:-1]}]')) AS readable_files FROM p GROUP BY 1)
@@ -328,10 +335,10 @@ ORACLE["branch_count"] = f"{HTML_M} SELECT key AS page_id, cyclomatic_complexity
 ORACLE["fan_in_out"] = f"{HTML_M} SELECT key AS page_id, int_fan_in, int_fan_out FROM m"
 ORACLE["file_metrics"] = f"{SRC_M} SELECT key AS doc_id, {ALL_METRICS} FROM m"
 ORACLE["html_metrics"] = f"{HTML_M} SELECT key AS page_id, {ALL_METRICS} FROM m"
-ORACLE["blank_metrics"] = f"{SRC_M} SELECT key AS doc_id, {ALL_METRICS} FROM m WHERE language = 'empty'"
+ORACLE["blank_metrics"] = f"WITH {BLANKS}, {lexical('src', 'doc_id')} SELECT key AS doc_id, {ALL_METRICS} FROM m WHERE language = 'empty'"
 
 # The generated Python files: nine operands and six operators per word, from the shape of its lines.
-_WORDS = rf"list_filter(regexp_extract_all(text, '{W}+'), lambda x: regexp_full_match(x, '[a-z]+'))"
+_WORDS = rf"regexp_extract_all(text, '{W}+')"
 _LINE = ("concat('    if ''', w, ''' in rows and seen >= 0:', chr(10), '        seen = seen + len(''', w, ''')', chr(10))")
 _PY = f"""g0 AS (SELECT doc_id, {_WORDS} AS words FROM documents),
   gen AS (SELECT doc_id, len(words) AS n, len(list_distinct(words)) AS dw, 'gen/x.py' AS path,
@@ -343,10 +350,10 @@ _AST = """SELECT doc_id, CAST(3 + 2 * n AS INTEGER) AS loc, CAST(3 + 2 * n AS IN
   round((4 + 15 * n) * log2(CAST(CASE WHEN n > 0 THEN 11 + dw ELSE 3 END AS DOUBLE)), 6) AS volume,
   round(CASE WHEN n > 0 THEN 3.0::DOUBLE * ((4 + 9 * n) / (5 + dw)::DOUBLE) ELSE 0 END, 6) AS difficulty,
   CAST(6 * n AS DOUBLE) AS num_operators, CAST(4 + 9 * n AS DOUBLE) AS num_operands, CAST(2 * n AS DOUBLE) AS branch_count,
-  1.0::DOUBLE AS int_fan_in, CAST(greatest(0, n - 1) AS DOUBLE) AS int_fan_out, 'python' AS language FROM gen WHERE doc_id % 3 <> 0"""
+  1.0::DOUBLE AS int_fan_in, CAST(greatest(0, n - 1) AS DOUBLE) AS int_fan_out, 'python' AS language FROM gen"""
 ORACLE["py_ast_facts"] = f"WITH {_PY} {_AST}"
 ORACLE["ast_fallback"] = f"""WITH {_PY}, bad AS (SELECT * FROM gen WHERE doc_id % 3 = 0), {lexical('bad', 'doc_id')}
-{_AST} UNION ALL SELECT key, {ALL_METRICS} FROM m"""
+{_AST} WHERE doc_id % 3 <> 0 UNION ALL SELECT key, {ALL_METRICS} FROM m"""
 
 # --- scoring and explanation -----------------------------------------------------------------------
 
@@ -407,7 +414,8 @@ SELECT * FROM r WHERE rank <= 3 AND risk_level <> 'LOW'"""
 ORACLE["files_with_content"] = f"""WITH {SRC} SELECT repo, path, size FROM src
 WHERE doc_id % 4 <> 0 AND regexp_matches(content, '[^{SP[1:-1]}]')"""
 
-ORACLE["churn_counts"] = f"""WITH {COMMITS} SELECT doc_id, count(*) AS commit_count, count(DISTINCT author) AS contributor_count FROM commits GROUP BY 1"""
+ORACLE["churn_counts"] = f"""WITH {SRC}, {COMMITS} SELECT repo, path, count(*) AS commit_count, count(DISTINCT author) AS contributor_count
+FROM commits JOIN src USING (doc_id) GROUP BY 1, 2"""
 
 ORACLE["churn_enrich"] = f"""WITH {SRC}, {COMMITS}, n AS (SELECT doc_id, count(*) AS cc, count(DISTINCT author) AS dc FROM commits GROUP BY 1),
 r AS (SELECT repo, path, doc_id, row_number() OVER (PARTITION BY repo ORDER BY doc_id * 37 % 100 / 100 DESC, path) AS rank FROM src)
@@ -490,22 +498,21 @@ ORACLE["action_texts"] = f"""WITH {FILES} SELECT analysis_id, file_path, coalesc
   CASE WHEN ai_explanation <> '' THEN coalesce(nullif(test_suggestions, ''), {quoted(C.REVIEW_NEXT_SPRINT)}) END AS action FROM f"""
 ORACLE["report_all_files"] = f"""WITH {FILES} SELECT analysis_id, file_path, risk_level, {pct('risk_score')} AS risk_pct, coalesce(loc, 0) AS loc,
   coalesce(floor(complexity * 10 + 0.5) / 10, 0) AS complexity, coalesce(commit_count, 0) AS commits FROM f"""
-ORACLE["file_report"] = f"""WITH {SRC}, {COMMITS}, pick AS (SELECT * FROM src WHERE {_SUPPORTED}
-    QUALIFY row_number() OVER (PARTITION BY repo ORDER BY size DESC, path) <= 25),
+ORACLE["file_report"] = f"""WITH {SRC}, {COMMITS}, pick AS (SELECT * FROM src WHERE {_SUPPORTED}),
   full_files AS (SELECT * FROM pick WHERE regexp_matches(content, '[^{SP[1:-1]}]')), {lexical('full_files', 'doc_id')},
   n AS (SELECT doc_id, count(*) AS cc, count(DISTINCT author) AS dc FROM commits GROUP BY 1),
-  r AS (SELECT m.*, repo, path, cc, dc, CAST(row_number() OVER (PARTITION BY repo ORDER BY path) AS INTEGER) AS rank
+  r AS (SELECT m.*, repo, path, cc, dc, row_number() OVER (PARTITION BY repo ORDER BY path) AS rank
     FROM m JOIN full_files ON key = full_files.doc_id LEFT JOIN n ON n.doc_id = key),
   e AS (SELECT *, list_filter([
      CASE WHEN cyclomatic_complexity > 10 THEN format('high cyclomatic complexity ({{:.1f}}) with deeply nested branches', cyclomatic_complexity) END,
      CASE WHEN loc > 300 THEN format('large file size ({{}} lines)', loc) END], lambda x: x IS NOT NULL) AS evidence FROM r)
 SELECT repo, path, rank, 0.5::DOUBLE AS risk_score, 'MEDIUM' AS risk_level, loc, cyclomatic_complexity,
-  CAST(CASE WHEN rank <= 5 THEN coalesce(cc, 1) ELSE 1 END AS BIGINT) AS commit_count,
-  CAST(CASE WHEN rank <= 5 THEN coalesce(dc, 1) ELSE 1 END AS BIGINT) AS contributor_count,
-  CASE WHEN rank > 3 THEN '' ELSE concat('The XGBoost model assigned ', regexp_extract(path, '[^/]*$'),
+  CAST(coalesce(cc, 1) AS BIGINT) AS commit_count,
+  CAST(coalesce(dc, 1) AS BIGINT) AS contributor_count,
+  concat('The XGBoost model assigned ', regexp_extract(path, '[^/]*$'),
     ' a 50% defect risk score primarily driven by ', CASE WHEN len(evidence) > 0 THEN array_to_string(evidence, ', and ')
-    ELSE {quoted(C.GENERIC_EVIDENCE)} END, '. ', {quoted(C.EXPLANATION_CLOSE)}) END AS ai_explanation,
-  CASE WHEN rank > 3 THEN '' ELSE array_to_string({_ADVICE}, '; ') END AS test_suggestions FROM e"""
+    ELSE {quoted(C.GENERIC_EVIDENCE)} END, '. ', {quoted(C.EXPLANATION_CLOSE)}) AS ai_explanation,
+  array_to_string({_ADVICE}, '; ') AS test_suggestions FROM e"""
 ORACLE["repository_report"] = f"""WITH {SRC}, g AS (SELECT repo, count(*) AS files,
     round(avg(CAST(doc_id * 37 % 100 AS DOUBLE) / 100), 12) AS overall_risk FROM src GROUP BY 1)
 SELECT repo, files, round(overall_risk, 6) AS overall_risk, {tier('overall_risk')} AS risk_level FROM g"""

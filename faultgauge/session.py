@@ -58,14 +58,3 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
-def spread_work(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal rows out evenly before a step that is heavy on the CPU.
-
-    Adaptive execution merges shuffle partitions by bytes, which would leave the texts of many small
-    repositories to a few cores; it keeps a partition count that is asked for.
-    """
-    spark = df.sparkSession
-    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(wanted, spark.sparkContext.defaultParallelism), *keys)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from faultgauge.operators.scoring import risk_tier
 from faultgauge.session import spread
@@ -19,21 +19,30 @@ def text_table(spark: SparkSession, sf_dir: str, name: str, key: str, *columns:
     return spread(table(spark, sf_dir, name).select(key, *columns), key)
 
 
-def src_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One source file per document: listing columns and content."""
-    doc = F.col("doc_id")
+def file_path() -> Column:
+    """The path of a document's file; negative ids belong to files that hold nothing."""
+    doc = F.abs("doc_id")
     ext = F.element_at(F.array(*[F.lit(e) for e in EXTENSION_CYCLE]), (doc % 13 + 1).cast("int"))
     name = F.concat(F.lit("f"), doc.cast("string"), F.lit("."), ext)
     folder = F.concat(F.lit("d"), (doc % 7).cast("string"), F.lit("/"))
+    path = F.when(doc % 11 == 0, name).otherwise(F.concat(folder, name))
+    return F.when(F.col("doc_id") < 0, F.concat(F.lit("void/"), path)).otherwise(path)
+
+
+def src_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One source file per document: listing columns and content."""
     return text_table(spark, sf_dir, "documents", "doc_id", "text", "source", "n_chars").select(
-        "doc_id",
-        F.col("source").alias("repo"),
-        F.when(doc % 11 == 0, name).otherwise(F.concat(folder, name)).alias("path"),
-        F.col("n_chars").alias("size"),
-        F.when(doc % 17 == 0, F.lit(BLANK_TEXT)).otherwise(F.col("text")).alias("content"),
+        "doc_id", F.col("source").alias("repo"), file_path().alias("path"), F.col("n_chars").alias("size"),
+        F.col("text").alias("content"),
     )
 
 
+def with_blank_files(files: DataFrame) -> DataFrame:
+    """``src_files`` and, for every 17th of them, one more file that holds white space only."""
+    more = files.filter(F.col("doc_id") % 17 == 0).withColumn("doc_id", -1 - F.col("doc_id"))
+    return files.unionByName(more.withColumns({"path": file_path(), "content": F.lit(BLANK_TEXT)}))
+
+
 def html_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_table(spark, sf_dir, "pages", "page_id", "url", "html").select(
         "page_id", F.col("url").alias("path"), F.col("html").alias("content")
@@ -41,12 +50,15 @@ def html_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
-        "event_id",
-        (F.col("event_id") % 200).alias("doc_id"),
-        F.coalesce(F.col("user_id").cast("string"), F.lit("unknown")).alias("author"),
-        "ts",
+    """``repo, path, event_id, commit`` with the author inside; commits go round all documents, every 13th has no author."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("repo"), file_path().alias("path"))
+    email = F.concat(F.col("user_id").cast("string"), F.lit("@example.org"))
+    author = F.when(F.col("event_id") % 13 != 0, F.struct(email.alias("email")))
+    events = table(spark, sf_dir, "events").select(
+        "event_id", (F.col("event_id") % F.lit(documents.count())).alias("doc_id"),
+        F.struct(author.alias("author"), F.col("ts").alias("date")).alias("commit"),
     )
+    return events.join(documents, "doc_id").select("repo", "path", "event_id", "commit")
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,12 +138,12 @@ def labelled_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.join(labels, "doc_id").withColumn("path", F.lit(""))
 
 
-def python_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Valid Python, one file per document: a function with one branch per lower-case ASCII word.
+def python_sources(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFrame:
+    """Python, one file per document: a function with one branch per run of letters, digits and underscores.
 
-    Every third document keeps an unclosed bracket at the end, so that it does not parse.
+    If ``broken``, every third document keeps an unclosed bracket at the end, so that it does not parse.
     """
-    words = F.regexp_extract_all(F.col("text"), F.lit(r"(?<![\p{L}\p{N}_])[a-z]++(?![\p{L}\p{N}_])"), F.lit(0))
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[\p{L}\p{N}_]++"), F.lit(0))
     branch = lambda w: F.concat(
         F.lit("    if '"), w, F.lit("' in rows and seen >= 0:\n        seen = seen + len('"), w, F.lit("')\n")
     )
@@ -142,7 +154,7 @@ def python_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("def scan_"), F.col("doc_id").cast("string"), F.lit("(rows):\n    seen = 0\n"),
             F.array_join(F.transform(words, branch), ""),
             F.lit("    return seen\n"),
-            F.when(F.col("doc_id") % 3 == 0, F.lit("rest = (\n")).otherwise(""),
+            F.when(F.lit(broken) & (F.col("doc_id") % 3 == 0), F.lit("rest = (\n")).otherwise(""),
         ).alias("content"),
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from faultgauge.functions import paths
@@ -27,16 +29,26 @@ def scan_tree(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TREE_SCHEMA).json(path)
 
 
-def scan_checkout(spark: SparkSession, folder: str, repo: str) -> DataFrame:
-    """Listing and text of a checked-out source tree."""
-    files = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(folder)
-    inner = F.substring_index(F.col("path"), folder.strip("/") + "/", -1)
+def scan_checkouts(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
+    """Listing and text of checked-out source trees, in one scan: ``folders`` is repository -> root folder."""
+    files = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(list(folders.values()))
+    # the file's address without its scheme; a root is cut off as a prefix, the longest one that fits
+    place = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
+    repo, inner = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, folder in sorted(folders.items(), key=lambda x: len(x[1])):
+        root = "/" + re.sub("^[a-z0-9]+:", "", folder).strip("/") + "/"
+        fits = place.startswith(root)
+        repo, inner = F.when(fits, name).otherwise(repo), F.when(fits, F.substr(place, F.lit(len(root) + 1))).otherwise(inner)
     return files.select(
-        F.lit(repo).alias("repo"), inner.alias("path"), F.col("length").alias("size"),
+        repo.alias("repo"), inner.alias("path"), F.col("length").alias("size"),
         F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
     )
 
 
+def scan_checkout(spark: SparkSession, folder: str, repo: str) -> DataFrame:
+    return scan_checkouts(spark, {repo: folder})
+
+
 def content_with_fallback(listing: DataFrame, primary: DataFrame, fallback: DataFrame, keys: list[str]) -> DataFrame:
     """Content from the first place that has it, else an empty text. Keys are unique on every side."""
     first = primary.select(*keys, F.col("content").alias("_first"))
@@ -49,11 +61,21 @@ def content_with_fallback(listing: DataFrame, primary: DataFrame, fallback: Data
     )
 
 
-def commit_scan(listing: DataFrame, commits: DataFrame, key: str) -> DataFrame:
+FILE_KEYS = ["repo", "path"]
+
+
+def with_author(commits: DataFrame) -> DataFrame:
+    """Add ``author``, the email in the nested ``commit``; a commit without one is by ``unknown``."""
+    return commits.withColumn("author", F.coalesce(F.col("commit.author.email"), F.lit("unknown")))
+
+
+def commit_scan(listing: DataFrame, commits: DataFrame, key: list[str] = FILE_KEYS) -> DataFrame:
     """All commits of the listed files; a file without any keeps one row with nulls.
 
+    Paths of different repositories are different files.
+
     As in the roll-ups, the many side is joined so that Spark may split a much-changed file.
     """
     matched = commits.join(listing, key)
-    bare = listing.join(commits.select(key).distinct(), key, "left_anti")
+    bare = listing.join(commits.select(*key).distinct(), key, "left_anti")
     return matched.unionByName(bare, allowMissingColumns=True)

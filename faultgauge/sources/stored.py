@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, functions as F
 
 ANALYSIS_DEFAULTS = {"overall_risk": 0.0, "risk_level": "LOW"}
@@ -9,21 +11,27 @@ FILE_DEFAULTS = {"risk_score": 0.0, "risk_level": "LOW"}
 
 
 def persist(analyses: DataFrame, files: DataFrame, folder: str) -> None:
-    """Append analyses and their files, with defaults for what is not given.
+    """Append analyses, then their files, with defaults for what is not given.
 
-    An id is drawn once per row and the time is that of the write; both tables are cut by date, so
-    that history reads skip what they do not need. The write commits as a whole or not at all.
+    Each analysis gets an id of its own (``row_id``); its files, given by ``analysis_id``, take that id from the
+    written analyses as ``parent_row_id``. Both tables carry the time of the call and are cut by its date.
+    The two writes commit one after the other; files of an analysis that was not written are not kept.
     """
-    stamped = _stamp(analyses.fillna(ANALYSIS_DEFAULTS))
-    stamped.write.mode("append").partitionBy("created_date").parquet(f"{folder}/analyses")
-    children = _stamp(files.fillna(FILE_DEFAULTS))
+    spark = analyses.sparkSession
+    now = datetime.now(timezone.utc)
+    parents = _stamp(analyses.fillna(ANALYSIS_DEFAULTS), now)
+    parents.write.mode("append").partitionBy("created_date").parquet(f"{folder}/analyses")
+    # read back: an id that is drawn again by a repeated task is not the one that was written
+    drawn = spark.read.parquet(f"{folder}/analyses").filter(F.col("created_at") == F.lit(now))
+    ids = drawn.select("analysis_id", F.col("row_id").alias("parent_row_id"))
+    children = _stamp(files.fillna(FILE_DEFAULTS), now).join(ids, "analysis_id")
     children.write.mode("append").partitionBy("created_date").parquet(f"{folder}/analysis_files")
 
 
-def _stamp(rows: DataFrame) -> DataFrame:
+def _stamp(rows: DataFrame, now: datetime) -> DataFrame:
     return (
         rows.withColumn("row_id", F.uuid())
-        .withColumn("created_at", F.current_timestamp())
+        .withColumn("created_at", F.lit(now))
         .withColumn("created_date", F.to_date("created_at"))
     )
 

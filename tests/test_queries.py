@@ -48,10 +48,10 @@ def test_flagship(spark):
     for r in rows:
         by_repo.setdefault(r.repo, []).append(r)
         assert r.risk_level == ("HIGH" if r.risk_score >= 0.7 else "MEDIUM" if r.risk_score >= 0.4 else "LOW")
-        assert bool(r.ai_explanation) == (r.rank <= 3 and r.risk_level != "LOW")
+        assert bool(r.ai_explanation) == (r.risk_level != "LOW")
     for files in by_repo.values():
         files.sort(key=lambda r: r["rank"])
-        assert [r["rank"] for r in files] == list(range(1, len(files) + 1)) and len(files) <= 25
+        assert [r["rank"] for r in files] == list(range(1, len(files) + 1))
         assert all(a.risk_score >= b.risk_score for a, b in zip(files, files[1:]))
 
 
