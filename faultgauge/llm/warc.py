@@ -93,7 +93,7 @@ def packed(data: bytes) -> bytes:
     return deflate.compress(data) + deflate.flush()
 
 
-def write_archives(pages: DataFrame, folder: str) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write a record per row of ``pages(page_id, url, html, captured, first)``; lists ``archive, records``.
 
     ``first`` is the least id with this payload; a row whose own id differs from it becomes a revisit.
@@ -112,7 +112,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                 payload = html.encode()
                 sink.write(packed(record(page_id, url, captured, payload, first, page_id != first)))
                 held, count = held + len(payload), count + 1
-                if held >= ARCHIVE_BYTES:
+                if held >= archive_bytes:
                     sink.close()
                     made.append((name, count))
                     sink = None
@@ -240,7 +240,7 @@ def merge_runs(entries: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, ENTRY)
 
 
-def capture_index(pages: DataFrame, captured: str = "captured") -> DataFrame:
+def capture_index(pages: DataFrame, captured: str = "captured", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write all of ``pages(page_id, url, html, <captured>)`` to archives, read them back, merge their index.
 
     One row per page, with ``page_id, url, url_key, captured, archive, offset, payload_bytes, payload_digest,
@@ -257,7 +257,7 @@ def capture_index(pages: DataFrame, captured: str = "captured") -> DataFrame:
     )
     # one row for each distinct payload; a hot one is summed up before the shuffle and split by the skew join
     least = rows.groupBy("payload").agg(F.min("page_id").alias("first"))
-    listed = written(write_archives(rows.join(least, "payload", "left").drop("payload"), folder), "archive-list")
+    listed = written(write_archives(rows.join(least, "payload", "left").drop("payload"), folder, archive_bytes), "archive-list")
     spread = listed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "archive")
     # written: the sampling of ranges must not read the archives a second time
     return merge_runs(written(read_archives(spread, folder), "archive-index"))
