@@ -95,7 +95,7 @@ def scan(docs: DataFrame, shape: Shape) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
-        for part in slices(batches, "data"):
+        for part in slices(batches, "data", 4 << 20):
             nodes, fs, us, spots = [], [], [], []
             for node, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 end = len(data) - shape.length
@@ -130,7 +130,7 @@ def contexts(docs: DataFrame, wanted: DataFrame, shape: Shape) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "data"):
+        for part in slices(batches, "data", 1 << 20):
             rows = []
             for node, data, asked in zip(*[c.to_pylist() for c in part.columns]):
                 of_place = {w["spot"] >> 32: w for w in asked}
@@ -327,8 +327,10 @@ def removed(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFr
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     data = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
-    rows = docs.select(row, data.alias("data"), F.xxhash64(data).alias("node"))
-    long = rows.filter(F.octet_length("data") >= length).select("node", "data")
+    long = docs.select(F.xxhash64(data).alias("node"), data.alias("data")).filter(F.octet_length("data") >= length)
+    # a row travels with its text once; the bytes are taken from it afterwards
+    rows = docs.select(row, F.xxhash64(data).alias("node"))
+    data = F.coalesce(F.col(f"row.`{text}`"), F.lit("")).cast("binary")
     spans = repeats(long, length).groupBy("node").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     joined = rows.join(spans, "node", "left")
 
@@ -339,7 +341,7 @@ def removed(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFr
         ]
         return pd.DataFrame(out, columns=["kept", "n_removed", "n_spans"])
 
-    result = joined.select("row", F.octet_length("data").cast("long").alias("n_bytes"), cleaned("data", "spans").alias("c"))
+    result = joined.select("row", F.octet_length(data).cast("long").alias("n_bytes"), cleaned(data, "spans").alias("c"))
     return result.select("row", "n_bytes", "c.kept", "c.n_removed", "c.n_spans")
 
 
