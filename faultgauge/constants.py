@@ -180,6 +180,8 @@ BOOSTED_CONFIGS = {
     "n=100, d=3, lr=0.03, w=1.0": dict(trees=100, depth=3, rate=0.03, rows=0.8, cols=0.8, weight=1.0),
     "n=150, d=4, lr=0.03, w=2.07": dict(trees=150, depth=4, rate=0.03, rows=0.8, cols=0.8, weight=2.07),
 }
+# the configuration of the first model, a baseline for the others
+FIRST_CONFIG = dict(trees=200, depth=6, rate=0.05, rows=0.8, cols=0.8, weight=2.07)
 FINAL_CONFIG = "n=100, d=3, lr=0.03, w=1.0"
 
 # The wider grid of the recorded experiments (the first three repeat entries above).

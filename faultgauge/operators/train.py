@@ -49,10 +49,15 @@ def with_weights(train: DataFrame, balanced: bool = False, positive: float = 1.0
 
 
 class Boosted:
-    """Gradient-boosted trees with one configuration; ``scale`` shortens the ensemble for quick runs."""
+    """Gradient-boosted trees with one configuration. ``key`` names what a fit on given rows depends on.
 
-    def __init__(self, config: dict, features: list[str] | None = None, scale: float = 1.0):
-        self.config, self.features, self.scale = config, features or C.FEATURES, scale
+    ``share`` of the trees are fitted: all of them, unless many configurations are only to be gone through.
+    """
+
+    def __init__(self, config: dict, features: list[str] | None = None, share: float = 1.0):
+        self.config = {**config, "trees": max(1, round(config["trees"] * share))}
+        self.features = features or C.FEATURES
+        self.key = ("boosted", *sorted(self.config.items()), *self.features)
 
     def fit(self, train: DataFrame):
         c = self.config
@@ -60,7 +65,7 @@ class Boosted:
             labelCol=LABEL,
             featuresCol="features",
             weightCol="weight",
-            maxIter=max(1, round(c["trees"] * self.scale)),
+            maxIter=c["trees"],
             maxDepth=c["depth"],
             stepSize=c["rate"],
             subsamplingRate=c["rows"],
@@ -125,84 +130,85 @@ def _scored(model, rows: DataFrame, margin: bool = False) -> DataFrame:
     return out.drop("features", "rawPrediction", "probability", "prediction")
 
 
-def baselines(trees: int = 100) -> dict[str, object]:
+def baselines(share: float = 1.0) -> dict[str, object]:
     return {
         "majority": Majority(),
         "random": RandomGuess(),
         "logistic": Logistic(),
         "logistic, balanced": Logistic(balanced=True),
-        "forest, depth 3": Forest(3, trees=trees),
-        "forest, depth 5": Forest(5, trees=trees),
-        "forest, depth 3, balanced": Forest(3, balanced=True, trees=trees),
+        "forest, depth 3": Forest(3, trees=max(1, round(100 * share))),
+        "forest, depth 5": Forest(5, trees=max(1, round(100 * share))),
+        "forest, depth 3, balanced": Forest(3, balanced=True, trees=max(1, round(100 * share))),
+        "boosted, first configuration": Boosted(C.FIRST_CONFIG, share=share),
     }
 
 
-def boosted_grid(recorded: bool = False, scale: float = 1.0) -> dict[str, Boosted]:
-    configs = {**C.BOOSTED_CONFIGS, **(C.RECORDED_CONFIGS if recorded else {})}
-    return {name: Boosted(c, scale=scale) for name, c in configs.items()}
+def boosted_grid(share: float = 1.0) -> dict[str, Boosted]:
+    return {name: Boosted(c, share=share) for name, c in {**C.BOOSTED_CONFIGS, **C.RECORDED_CONFIGS}.items()}
 
 
-def out_of_fold(folded: DataFrame, models: dict[str, object], threads: int = 8) -> DataFrame:
+def out_of_fold(folded: DataFrame, models: dict[str, object], fits: dict | None = None, threads: int = 8) -> DataFrame:
     """Scores of every row by the fit that has not seen it, for each named model.
 
-    Fits are independent and, on small frames, bound by scheduling; a few run side by side.
+    Fits are independent and, on small frames, bound by scheduling; a few run side by side. ``fits`` belongs to
+    this frame and keeps the scores of a configuration for the next time that it is asked for.
     """
-    jobs = [(name, model, k) for name, model in models.items() for k in range(C.N_FOLDS)]
+    known = {} if fits is None else fits
+    wanted = {getattr(m, "key", (name,)): m for name, m in models.items()}
+    jobs = [(key, model, k) for key, model in wanted.items() if key not in known for k in range(C.N_FOLDS)]
 
     def run(job) -> DataFrame:
-        name, model, k = job
+        _, model, k = job
         apply, _ = model.fit(folded.filter(F.col("fold") != k))
         held_out = apply(folded.filter(F.col("fold") == k))
         columns = [KEY, LABEL, "fold", "score"] + (["margin"] if "margin" in held_out.columns else [])
-        return held_out.select(F.lit(name).alias("model"), *columns)
+        return held_out.select(*columns)
 
     with ThreadPoolExecutor(threads) as pool:
         parts = list(pool.map(run, jobs))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    union = lambda a, b: a.unionByName(b, allowMissingColumns=True)
+    for key in wanted:
+        if key not in known:
+            known[key] = materialise(reduce(union, [part for job, part in zip(jobs, parts) if job[0] == key]))
+    named = [known[getattr(m, "key", (name,))].withColumn("model", F.lit(name)) for name, m in models.items()]
+    return reduce(union, named)
 
 
-def cross_validate(frame: DataFrame, models: dict[str, object]) -> DataFrame:
-    """Mean of the seven measures over the folds, per model."""
-    folded = materialise(evaluate.stratified_folds(frame, KEY, LABEL))
-    scores = materialise(out_of_fold(folded, models))
-    by_fold = evaluate.all_measures(scores, ["model", "fold"])
+def cross_validate(folded: DataFrame, models: dict[str, object], fits: dict | None = None) -> DataFrame:
+    """Mean of the seven measures over the folds of ``folded``, per model."""
+    by_fold = evaluate.all_measures(out_of_fold(folded, models, fits), ["model", "fold"])
     return evaluate.cv_means(by_fold, ["model"])
 
 
-def train_final(frame: DataFrame, scale: float = 1.0) -> tuple[GBTClassificationModel, DataFrame]:
-    """The final model, fitted on the development part, and the scored test part."""
-    parts = materialise(evaluate.stratified_split(frame, KEY, LABEL))
-    apply, model = Boosted(C.BOOSTED_CONFIGS[C.FINAL_CONFIG], scale=scale).fit(parts.filter(F.col("part") == "dev"))
-    return model, apply(parts.filter(F.col("part") == "test"))
+def at_both_thresholds(scored: DataFrame, best: float) -> DataFrame:
+    """Measures at 0.50 and at the threshold that was best out of fold."""
+    rows = [
+        evaluate.all_measures(scored.withColumn("at", F.lit(name)), ["at"], t).withColumn("threshold", F.lit(float(t)))
+        for name, t in (("standard", 0.5), ("best", best))
+    ]
+    return rows[0].unionByName(rows[1])
 
 
-def holdout(frame: DataFrame, scale: float = 1.0) -> DataFrame:
-    """Measures of the held-out part at 0.50 and at the threshold that was best out of fold."""
+def holdout(frame: DataFrame) -> DataFrame:
+    """Measures of the final configuration on the held-out part."""
     parts = materialise(evaluate.stratified_split(frame, KEY, LABEL))
     dev, test = (parts.filter(F.col("part") == p) for p in ("dev", "test"))
-    config = Boosted(C.BOOSTED_CONFIGS[C.FINAL_CONFIG], scale=scale)
+    config = Boosted(C.BOOSTED_CONFIGS[C.FINAL_CONFIG])
     folded = materialise(evaluate.stratified_folds(dev, KEY, LABEL))
     sweep = evaluate.threshold_sweep(out_of_fold(folded, {"final": config}), ["model"])
     best = evaluate.best_threshold(sweep, ["model"]).first()["threshold"]
     apply, _ = config.fit(dev)
-    scored = materialise(apply(test))
-    rows = [
-        evaluate.all_measures(scored.withColumn("at", F.lit(name)), ["at"], t).withColumn("threshold", F.lit(float(t)))
-        for name, t in (("standard", 0.5), ("best", best))
-    ]
-    return rows[0].unionByName(rows[1])
+    return at_both_thresholds(materialise(apply(test)), best)
 
 
-def class_weight_sweep(frame: DataFrame, scale: float = 1.0) -> DataFrame:
+def class_weight_sweep(folded: DataFrame, fits: dict | None = None, share: float = 1.0) -> DataFrame:
     base = C.BOOSTED_CONFIGS["n=80, d=2, lr=0.03, w=1.0"]
-    models = {f"w={w}": Boosted({**base, "weight": w}, scale=scale) for w in C.POSITIVE_WEIGHTS}
-    return cross_validate(frame, models)
+    return cross_validate(folded, {f"w={w}": Boosted({**base, "weight": w}, share=share) for w in C.POSITIVE_WEIGHTS}, fits)
 
 
-def feature_ablation(frame: DataFrame, scale: float = 1.0) -> DataFrame:
+def feature_ablation(folded: DataFrame, fits: dict | None = None, share: float = 1.0) -> DataFrame:
     base = C.BOOSTED_CONFIGS["n=80, d=2, lr=0.03, w=1.0"]
-    models = {name: Boosted(base, names, scale) for name, names in C.FEATURE_SUBSETS.items()}
-    return cross_validate(frame, models)
+    return cross_validate(folded, {name: Boosted(base, names, share) for name, names in C.FEATURE_SUBSETS.items()}, fits)
 
 
 def permutation_importance(frame: DataFrame, model: GBTClassificationModel) -> DataFrame:
@@ -237,15 +243,21 @@ def permutation_importance(frame: DataFrame, model: GBTClassificationModel) -> D
 
 
 def platt_calibration(scores: DataFrame) -> DataFrame:
-    """Brier score before and after a logistic fit of the label on the out-of-fold margin."""
+    """Brier score before and after a logistic fit of the label on the out-of-fold margin.
+
+    A row is calibrated by the fit over the other folds; slope and intercept are their means.
+    """
     rows = VectorAssembler(inputCols=["margin"], outputCol="features").transform(scores)
-    model = LogisticRegression(labelCol=LABEL, featuresCol="features").fit(rows)
-    after = model.transform(rows).withColumn("calibrated", vector_to_array("probability")[1])
+    parts = []
+    for k in range(C.N_FOLDS):
+        model = LogisticRegression(labelCol=LABEL, featuresCol="features").fit(rows.filter(F.col("fold") != k))
+        after = model.transform(rows.filter(F.col("fold") == k)).withColumn("calibrated", vector_to_array("probability")[1])
+        parts.append(after.withColumns({"slope": F.lit(float(model.coefficients[0])), "intercept": F.lit(float(model.intercept))}))
     before_gap, after_gap = F.col("score") - F.col(LABEL), F.col("calibrated") - F.col(LABEL)
-    return after.agg(
+    return reduce(DataFrame.unionByName, parts).agg(
         F.count("*").alias("rows"),
         F.avg(before_gap * before_gap).alias("brier_before"),
         F.avg(after_gap * after_gap).alias("brier_after"),
-        F.lit(float(model.coefficients[0])).alias("slope"),
-        F.lit(float(model.intercept)).alias("intercept"),
+        F.avg("slope").alias("slope"),
+        F.avg("intercept").alias("intercept"),
     )

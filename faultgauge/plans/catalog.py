@@ -9,7 +9,7 @@ from faultgauge.functions import lexical, paths
 from faultgauge.operators import contract, evaluate, filters, metrics, rollup, scoring, shap, train
 from faultgauge.operators.topk import top_k
 from faultgauge.plans import analyze, models, training
-from faultgauge.session import materialise, new_path
+from faultgauge.session import new_path
 from faultgauge.sources import artifacts, fixtures as X, repos, stored
 
 QUERIES: dict = {}
@@ -139,7 +139,7 @@ def lookup_owned(spark: SparkSession, sf: str) -> DataFrame:
 
 def _trained(spark: SparkSession, sf: str) -> str:
     folder = new_path(spark, "artifacts")
-    training.run(models.training_data(spark, sf), folder, models.QUERY_SCALE, models.QUERY_FOREST_TREES)
+    training.run(models.training_data(spark, sf), folder, models.COMPARED_SHARE)
     return folder
 
 
@@ -776,24 +776,31 @@ def baseline_majority(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def baselines(spark: SparkSession, sf: str) -> DataFrame:
-    return train.cross_validate(models.training_data(spark, sf), train.baselines(models.QUERY_FOREST_TREES))
+    folded, fits = models.folded_data(spark, sf)
+    return train.cross_validate(folded, train.baselines(models.COMPARED_SHARE), fits)
 
 
 @query
 def gbt_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return train.cross_validate(models.training_data(spark, sf), train.boosted_grid(True, models.QUERY_SCALE))
+    folded, fits = models.folded_data(spark, sf)
+    grid = train.boosted_grid(models.COMPARED_SHARE)
+    trees = F.create_map(*[F.lit(x) for name, m in grid.items() for x in (name, m.config["trees"])])
+    return train.cross_validate(folded, grid, fits).withColumn("trees", trees[F.col("model")])
+
+
+def _final_scores(spark: SparkSession, sf: str) -> DataFrame:
+    folded, fits = models.folded_data(spark, sf)
+    return train.out_of_fold(folded, {"final": train.Boosted(C.BOOSTED_CONFIGS[C.FINAL_CONFIG])}, fits)
 
 
 @query
 def oof_scores(spark: SparkSession, sf: str) -> DataFrame:
-    folded = materialise(evaluate.stratified_folds(models.training_data(spark, sf), train.KEY, train.LABEL))
-    final = train.Boosted(C.BOOSTED_CONFIGS[C.FINAL_CONFIG], scale=models.QUERY_SCALE)
-    return train.out_of_fold(folded, {"final": final}).select("doc_id", "label", "fold", "score", "margin")
+    return _final_scores(spark, sf).select("doc_id", "label", "fold", "score", "margin")
 
 
 @query
 def holdout_eval(spark: SparkSession, sf: str) -> DataFrame:
-    return train.holdout(models.training_data(spark, sf), models.QUERY_SCALE)
+    return train.holdout(models.training_data(spark, sf))
 
 
 @query
@@ -817,12 +824,12 @@ def gain_importance(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def class_weight_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    return train.class_weight_sweep(models.training_data(spark, sf), models.QUERY_SCALE)
+    return train.class_weight_sweep(*models.folded_data(spark, sf), models.COMPARED_SHARE)
 
 
 @query
 def feature_ablation(spark: SparkSession, sf: str) -> DataFrame:
-    return train.feature_ablation(models.training_data(spark, sf), models.QUERY_SCALE)
+    return train.feature_ablation(*models.folded_data(spark, sf), models.COMPARED_SHARE)
 
 
 @query
@@ -833,6 +840,4 @@ def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def platt_calibration(spark: SparkSession, sf: str) -> DataFrame:
-    folded = materialise(evaluate.stratified_folds(models.training_data(spark, sf), train.KEY, train.LABEL))
-    final = train.Boosted(C.BOOSTED_CONFIGS[C.FINAL_CONFIG], scale=models.QUERY_SCALE)
-    return train.platt_calibration(train.out_of_fold(folded, {"final": final}))
+    return train.platt_calibration(_final_scores(spark, sf))

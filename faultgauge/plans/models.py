@@ -6,16 +6,16 @@ from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 
 from faultgauge import constants as C
-from faultgauge.operators import shap, train
-from faultgauge.session import new_path
+from faultgauge.operators import evaluate, shap, train
+from faultgauge.session import materialise, new_path
 from faultgauge.sources import artifacts, fixtures
 
-# Queries fit a twentieth of the trees of each configuration; the training job fits them all.
-QUERY_SCALE = 0.05
-QUERY_FOREST_TREES = 10
+#: Queries that compare many configurations fit this share of their trees; the final configuration is always whole.
+COMPARED_SHARE = 0.05
 
 _frames: dict[tuple[str, str], DataFrame] = {}
 _paths: dict[tuple[str, str], str] = {}
+_folded: dict[tuple[str, str], tuple[DataFrame, dict]] = {}
 
 
 def training_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,12 +25,20 @@ def training_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frames[key]
 
 
+def folded_data(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict]:
+    """The training frame cut into folds, and the scores of the configurations fitted on it so far."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _folded:
+        folds = evaluate.stratified_folds(training_data(spark, sf_dir), train.KEY, train.LABEL)
+        _folded[key] = materialise(folds), {}
+    return _folded[key]
+
+
 def model_path(spark: SparkSession, sf_dir: str) -> str:
-    """Path of the saved model, fitted on all labelled files with a shortened final configuration."""
+    """Path of the saved model, the final configuration fitted on all labelled files."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _paths:
-        config = {**C.BOOSTED_CONFIGS[C.FINAL_CONFIG], "rate": 0.3}
-        _, model = train.Boosted(config, scale=0.1).fit(training_data(spark, sf_dir))
+        _, model = train.Boosted(C.BOOSTED_CONFIGS[C.FINAL_CONFIG]).fit(training_data(spark, sf_dir))
         path = new_path(spark, "model")
         model.save(path)
         _paths[key] = path
