@@ -166,6 +166,31 @@ REVIEW_NEXT_SPRINT = (
     "Review this file during your next sprint and ensure test coverage for all public methods."
 )
 
+# --- fixed values: sentences, in two parts around a value ------------------------------------------
+
+ADVICE_NESTED = (
+    "Refactor deeply nested conditional branches (Cyclomatic Complexity is ", ", exceeding safe threshold of 10).",
+)
+ADVICE_COMPLEX = ("Consider breaking complex logic into smaller helper functions (Complexity: ", ").")
+ADVICE_SPLIT = ("Split this file into smaller, modular components (Current size is ", " lines).")
+ADVICE_BLOAT = ("Review module responsibilities to prevent file bloat (Current size: ", " lines).")
+ADVICE_BRANCHES = ("Implement branch-coverage unit tests to verify all ", " decision paths.")
+ADVICE_DIFFICULTY = ("Simplify operator-to-operand ratios (Halstead Difficulty is ", ").")
+ADVICE_COUPLING = ("Reduce external coupling and dependency calls (Fan-Out is ", ").")
+EVIDENCE_COMPLEX = ("high cyclomatic complexity (", ")")
+EVIDENCE_SIZE = ("file size (", " lines)")
+EVIDENCE_BRANCHES = ("a high branch count (", " paths)")
+EVIDENCE_VOLUME = ("high code volume (", " Halstead volume)")
+EVIDENCE_DENSITY = "high operator and operand density"
+EVIDENCE_NESTED = ("high cyclomatic complexity (", ") with deeply nested branches")
+EVIDENCE_LARGE = ("large file size (", " lines)")
+EXPLANATION_FILE = ("The XGBoost model assigned ", " a ")
+EXPLANATION_SCORE = ("", "% defect risk score primarily driven by ")
+DEFAULT_SUGGESTION = (
+    "Add unit tests covering the primary execution branches in `",
+    "`; refactor complex methods to reduce nesting; verify error-handling paths.",
+)
+
 # --- fixed values: training ------------------------------------------------------------------------
 
 SEED = 42

@@ -39,43 +39,21 @@ def score(rows: DataFrame, model: GBTClassificationModel | None) -> DataFrame:
     return scored.withColumn("risk_level", risk_tier(F.col("risk_score")))
 
 
+def told(sentence: tuple[str, str], value: Column) -> Column:
+    """A sentence with a value between its two parts."""
+    return F.concat(F.lit(sentence[0]), value, F.lit(sentence[1]))
+
+
 def recommendations(cyclo: Column, loc: Column, branches: Column, difficulty: Column, fan_out: Column) -> Column:
     """Up to three advices from measured values; the default when none applies."""
+    lines, whole = loc.cast("string"), lambda x: x.cast("bigint").cast("string")
     advice = F.array_compact(
         F.array(
-            F.when(
-                cyclo > 15,
-                F.concat(F.lit("Refactor deeply nested conditional branches (Cyclomatic Complexity is "),
-                         tenths_text(cyclo), F.lit(", exceeding safe threshold of 10).")),
-            ).when(
-                cyclo > 8,
-                F.concat(F.lit("Consider breaking complex logic into smaller helper functions (Complexity: "),
-                         tenths_text(cyclo), F.lit(").")),
-            ),
-            F.when(
-                loc > 400,
-                F.concat(F.lit("Split this file into smaller, modular components (Current size is "),
-                         loc.cast("string"), F.lit(" lines).")),
-            ).when(
-                loc > 200,
-                F.concat(F.lit("Review module responsibilities to prevent file bloat (Current size: "),
-                         loc.cast("string"), F.lit(" lines).")),
-            ),
-            F.when(
-                branches > 20,
-                F.concat(F.lit("Implement branch-coverage unit tests to verify all "),
-                         branches.cast("bigint").cast("string"), F.lit(" decision paths.")),
-            ),
-            F.when(
-                difficulty > 30,
-                F.concat(F.lit("Simplify operator-to-operand ratios (Halstead Difficulty is "),
-                         tenths_text(difficulty), F.lit(").")),
-            ),
-            F.when(
-                fan_out > 15,
-                F.concat(F.lit("Reduce external coupling and dependency calls (Fan-Out is "),
-                         fan_out.cast("bigint").cast("string"), F.lit(").")),
-            ),
+            F.when(cyclo > 15, told(C.ADVICE_NESTED, tenths_text(cyclo))).when(cyclo > 8, told(C.ADVICE_COMPLEX, tenths_text(cyclo))),
+            F.when(loc > 400, told(C.ADVICE_SPLIT, lines)).when(loc > 200, told(C.ADVICE_BLOAT, lines)),
+            F.when(branches > 20, told(C.ADVICE_BRANCHES, whole(branches))),
+            F.when(difficulty > 30, told(C.ADVICE_DIFFICULTY, tenths_text(difficulty))),
+            F.when(fan_out > 15, told(C.ADVICE_COUPLING, whole(fan_out))),
         )
     )
     return F.when(F.size(advice) == 0, F.array(F.lit(C.DEFAULT_RECOMMENDATION))).otherwise(
@@ -93,17 +71,11 @@ def metric_recommendations(raw: str = "raw") -> Column:
 
 def evidence_phrase(feature: Column, loc: Column, cyclo: Column, branches: Column, volume: Column) -> Column:
     return (
-        F.when(feature == "CYCLO", F.concat(F.lit("high cyclomatic complexity ("), tenths_text(cyclo), F.lit(")")))
-        .when(feature == "LOC", F.concat(F.lit("file size ("), loc.cast("string"), F.lit(" lines)")))
-        .when(
-            feature == "BRANCH_COUNT",
-            F.concat(F.lit("a high branch count ("), branches.cast("bigint").cast("string"), F.lit(" paths)")),
-        )
-        .when(
-            feature.isin("VOLUME", "LENGTH"),
-            F.concat(F.lit("high code volume ("), round_half_even(volume).cast("string"), F.lit(" Halstead volume)")),
-        )
-        .when(feature.isin("NUM_OPERATORS", "NUM_OPERANDS"), F.lit("high operator and operand density"))
+        F.when(feature == "CYCLO", told(C.EVIDENCE_COMPLEX, tenths_text(cyclo)))
+        .when(feature == "LOC", told(C.EVIDENCE_SIZE, loc.cast("string")))
+        .when(feature == "BRANCH_COUNT", told(C.EVIDENCE_BRANCHES, branches.cast("bigint").cast("string")))
+        .when(feature.isin("VOLUME", "LENGTH"), told(C.EVIDENCE_VOLUME, round_half_even(volume).cast("string")))
+        .when(feature.isin("NUM_OPERATORS", "NUM_OPERANDS"), F.lit(C.EVIDENCE_DENSITY))
     )
 
 
@@ -117,9 +89,8 @@ def why_text(
     )
     from_metrics = F.array_compact(
         F.array(
-            F.when(cyclo > 10, F.concat(F.lit("high cyclomatic complexity ("), tenths_text(cyclo),
-                                        F.lit(") with deeply nested branches"))),
-            F.when(loc > 300, F.concat(F.lit("large file size ("), loc.cast("string"), F.lit(" lines)"))),
+            F.when(cyclo > 10, told(C.EVIDENCE_NESTED, tenths_text(cyclo))),
+            F.when(loc > 300, told(C.EVIDENCE_LARGE, loc.cast("string"))),
         )
     )
     evidence = (
@@ -128,8 +99,7 @@ def why_text(
         .otherwise(F.array(F.lit(C.GENERIC_EVIDENCE)))
     )
     return F.concat(
-        F.lit("The XGBoost model assigned "), file_label(path), F.lit(" a "),
-        round_half_even(score * 100).cast("string"), F.lit("% defect risk score primarily driven by "),
+        told(C.EXPLANATION_FILE, file_label(path)), told(C.EXPLANATION_SCORE, round_half_even(score * 100).cast("string")),
         F.array_join(evidence, ", and "), F.lit(". " + C.EXPLANATION_CLOSE),
     )
 
@@ -140,8 +110,5 @@ def file_label(path: Column) -> Column:
 
 def suggestion_text(path: Column, advice: Column) -> Column:
     return F.when(F.size(F.coalesce(advice, F.array().cast("array<string>"))) > 0, F.array_join(advice, "; ")).otherwise(
-        F.concat(
-            F.lit("Add unit tests covering the primary execution branches in `"), file_label(path),
-            F.lit("`; refactor complex methods to reduce nesting; verify error-handling paths."),
-        )
+        told(C.DEFAULT_SUGGESTION, file_label(path))
     )
