@@ -24,7 +24,7 @@ from faultgauge.llm.common import slices, texts
 
 NO_RANK = np.int32(2**31 - 1)
 #: Pieces of text whose ids a worker remembers; it forgets all of them beyond that.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 400_000
 
 #: What the pattern takes for white space.
 WHITE = frozenset(c for c in map(chr, range(0x3001)) if regex.match(r"\s", c))

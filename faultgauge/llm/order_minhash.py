@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from faultgauge.llm.common import slices, written
+from faultgauge.llm.common import bounded_batches, slices, written
 from faultgauge.llm.components import components
 
 WORDS = 5  # in a k-mer
@@ -241,6 +241,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows ``doc_id, text, node`` of ``docs``, and for each distinct text (``node``) its least id, number of rows and component."""
+    bounded_batches(docs.sparkSession)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
     # copies count as one text; the one with the least id is read
     nodes = written(texts.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "nodes")

@@ -14,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from faultgauge.llm.common import slices, written
+from faultgauge.llm.common import bounded_batches, slices, written
 from faultgauge.llm.order_minhash import mix, word_hashes
 
 TRAIN_TEXTS = 6_000  # distinct texts that the scorer is fitted on, about; votes are counted over all
@@ -164,6 +164,7 @@ def fit(docs: DataFrame, sample: int = TRAIN_TEXTS) -> np.ndarray:
 
     Only the counts of vote patterns and the weights reach the driver.
     """
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
 
     @F.pandas_udf("string")

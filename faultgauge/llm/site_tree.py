@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from faultgauge.llm.common import slices, written
+from faultgauge.llm.common import bounded_batches, slices, written
 
 CONTENT_SHARE = 0.9  # of importance; the rest is for layout
 THRESHOLD = 0.5  # branches below are removed
@@ -246,6 +246,7 @@ def extract(pages: DataFrame, small: int = SMALL_TREE) -> DataFrame:
     Up to ``small`` unimportant branches of all sites together are sent to every task; beyond that each page
     is joined with those that it has itself. Results are the same.
     """
+    bounded_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("page", F.xxhash64("url", "html"))
     # equal pages count once
     once = nodes(rows).groupBy("host", "path", "page").agg(F.first("content").alias("content"), F.first("layout").alias("layout"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from faultgauge.llm.common import slices, written
+from faultgauge.llm.common import bounded_batches, slices, written
 from faultgauge.llm.difference_cover import ranks
 from faultgauge.llm.ordering import placed
 
@@ -325,6 +325,7 @@ def removed(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFr
     text is empty. A row that repeats another one's text has all of it removed if it has ``length`` bytes; a
     shorter text loses nothing. An empty table gives no rows. Clashing column names do no harm.
     """
+    bounded_batches(docs.sparkSession)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     data = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
     long = docs.select(F.xxhash64(data).alias("node"), data.alias("data")).filter(F.octet_length("data") >= length)

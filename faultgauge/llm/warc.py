@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
-from faultgauge.llm.common import slices, written
+from faultgauge.llm.common import bounded_batches, slices, written
 from faultgauge.session import new_path
 
 UNSAFE = re.compile(r"[\x00-\x20\x7f]")  # not allowed in a header line's address
@@ -250,6 +250,7 @@ def capture_index(pages: DataFrame, captured: str = "captured", archive_bytes: i
     is a revisit if any row with an id has its payload. White space and control characters of a url are kept as %XX. An empty table gives no rows.
     """
     spark = pages.sparkSession
+    bounded_batches(spark)
     folder = new_path(spark, "archives")
     rows = pages.select(
         "page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.col(captured).alias("captured"),
