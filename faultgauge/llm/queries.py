@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultgauge.llm import bpe, mixing, order_minhash, quality, site_tree, suffix_dedup, syncmers, topk, warc
+from faultgauge.llm import bpe, mixing, order_minhash, quality, separators, site_tree, suffix_dedup, syncmers, topk, warc
 from faultgauge.llm.common import table
 
 QUERIES: dict = {}
@@ -116,3 +116,10 @@ def op5_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = suffix_dedup.removed(table(spark, sf, "documents").select("doc_id", "text"))
     digest = F.sha2(F.col("kept"), 256).alias("kept_sha256")
     return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", digest)
+
+
+@query
+def op2_separator_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Token counts of all documents, found in flat token files."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return separators.document_counts(table(spark, sf, "documents"), path, public_tokenizers.PATTERN)
