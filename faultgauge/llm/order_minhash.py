@@ -2,10 +2,13 @@
 
 A sketch draws the two labelled k-mers (five words and the number of their occurrence in the text) that a hash
 makes least, and keeps them in the order in which they stand: two texts agree on it with a probability that
-follows their edit similarity, as k-mers in another order do not count. Texts that share a sketch are compared
-with one member of their bucket (and with one of a narrower bucket, of two sketches), so a bucket of any size
-costs a comparison or two for each member. A pair counts if an alignment of its words, computed in a band,
-needs edits for at most a fifth of the longer text.
+follows their edit similarity, as k-mers in another order do not count. Texts that share a sketch are first
+compared with one member of their bucket (and with one of a narrower bucket, of two sketches). Then, in rounds,
+further members become heads of the buckets that more than one class shares, those with most links first, until
+any two texts of a bucket are of one class or have been compared. A bucket of one class ends after a round or
+two; one of texts that are not alike takes comparisons by the square of its size, most of them by word counts
+alone. A pair counts if an alignment of its words, computed in a band, needs edits for at most a fifth of the
+longer text.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from faultgauge.llm.common import bounded_batches, slices, written
 from faultgauge.llm.components import components
@@ -25,7 +28,10 @@ SIMILARITY = 0.8
 BASE = np.uint64(0x100000001B3)
 CELLS = 1 << 21  # of an alignment table in memory at a time
 
-SIGNATURE = pa.schema([("node", pa.int64()), ("words", pa.int64()), ("sketches", pa.list_(pa.int64()))])
+BAG = 128  # counts of words by their hash
+MORE_HEADS = 4  # times as many heads of a bucket in each round
+
+SIGNATURE = pa.schema([("node", pa.int64()), ("words", pa.int64()), ("sketches", pa.list_(pa.int64())), ("bag", pa.binary())])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -86,6 +92,23 @@ def sketches(words: np.ndarray, seeds: np.ndarray = SEEDS) -> np.ndarray:
     return mix(one * np.uint64(0xE7037ED1A0B428DB) + other).view(np.int64)
 
 
+def bag(words: np.ndarray) -> bytes:
+    """Counts of words by hash, two bytes each; nothing for a text that has more of a kind than those hold."""
+    counts = np.bincount((words % np.uint64(BAG)).astype(np.int64), minlength=BAG)
+    return counts.astype("<u2").tobytes() if counts.max() < 1 << 16 else b""
+
+
+def may_align(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """False only for pairs of bags whose texts cannot align: words that one text lacks need an edit each."""
+    out = np.ones(len(a), bool)
+    known = np.flatnonzero([bool(x and y) for x, y in zip(a, b)])
+    if len(known):
+        x, y = (np.frombuffer(b"".join(side[i] for i in known), "<u2").reshape(-1, BAG).astype(np.int64) for side in (a, b))
+        longest = np.maximum(x.sum(1), y.sum(1))
+        out[known] = longest - np.minimum(x, y).sum(1) <= np.floor(longest * (1 - SIMILARITY) + 1e-9)
+    return out
+
+
 def _edit_distances(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarray:
     """Word edits of the best alignment of each pair that keeps within ``band`` diagonals; the least of all if no more than ``band``."""
     count, width = len(pairs), 2 * band + 1
@@ -158,17 +181,22 @@ def similar(pairs: list[tuple[np.ndarray, np.ndarray]], similarity: float = SIMI
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``node, words, sketches`` of every row with a text; ``node`` is the hash of the text that ``docs`` brings."""
+    """``node, words, sketches, bag`` of every row with a text; ``node`` is the hash of the text that ``docs`` brings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            rows = [(len(w), sketches(w)) for w in map(word_hashes, part.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))],
-                schema=SIGNATURE,
-            )
+            rows = [(len(w), sketches(w), bag(w)) for w in map(word_hashes, part.column(1).to_pylist())]
+            columns = [pa.array([r[i] for r in rows], SIGNATURE.types[i + 1]) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], schema=SIGNATURE)
 
-    return docs.select("node", "text").mapInArrow(run, "node long, words long, sketches array<long>")
+    return docs.select("node", "text").mapInArrow(run, "node long, words long, sketches array<long>, bag binary")
+
+
+def near(a: str, b: str) -> Column:
+    """Two texts whose lengths allow an alignment."""
+    return (F.col(f"{a}.node") != F.col(f"{b}.node")) & (
+        F.least(f"{a}.words", f"{b}.words") >= F.lit(SIMILARITY - 1e-9) * F.greatest(f"{a}.words", f"{b}.words")
+    )
 
 
 def candidates(found: DataFrame) -> DataFrame:
@@ -183,12 +211,6 @@ def candidates(found: DataFrame) -> DataFrame:
     wide = narrow.groupBy("wide").agg(F.min("head").alias("top"), F.sum("n").alias("n")).filter("n > 1").drop("n")
     heads = narrow.join(wide, "wide").select("narrow", "head", "top", "n")
 
-    def near(a: str, b: str):
-        # other lengths cannot be similar enough
-        return (F.col(f"{a}.node") != F.col(f"{b}.node")) & (
-            F.least(f"{a}.words", f"{b}.words") >= F.lit(SIMILARITY - 1e-9) * F.greatest(f"{a}.words", f"{b}.words")
-        )
-
     tops = heads.filter(near("head", "top")).select(F.col("head.node").alias("x"), F.col("top.node").alias("y"))
     member = each.select("narrow", F.struct("node", "words").alias("own"))
     inner = (
@@ -239,16 +261,74 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "a long, b long")
 
 
+def by_bags(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that the counts of their words do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            fine = may_align(part.column(2).to_pylist(), part.column(3).to_pylist())
+            yield part.select([0, 1]).filter(pa.array(fine))
+
+    bags = found.select("node", "bag")
+    both = pairs.join(bags.toDF("a", "x"), "a").join(bags.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def linked(found: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, component`` of the texts that have links: any two that share a sketch are of one component or were compared.
+
+    A head is compared with all members of its bucket that are of other components then. Each round has
+    more heads, dealt by salt; a bucket is used up when it holds one component or all but one have been heads.
+    """
+    pairs = written(candidates(found), "pairs")
+    links = written(verified(pairs, texts, nodes), "near")
+    class_of = written(components(links), "classes")
+    each = found.select("node", "words", F.posexplode("sketches").alias("i", "wide"))
+    each = each.select("node", "words", F.xxhash64("i", "wide").alias("bucket"))
+    shared = each.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = written(each.join(shared.select("bucket"), "bucket").withColumn("done", F.lit(False)), "members")
+    heads = 1
+    while True:
+        degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+        state = members.join(class_of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        state = written(state, "state")
+        buckets = state.groupBy("bucket").agg(
+            F.min("component").alias("least"), F.max("component").alias("most"), F.count_if(~F.col("done")).alias("left")
+        )
+        state = state.join(buckets.filter("least <> most and left > 1").select("bucket"), "bucket", "left_semi")
+        state = written(state.join(degrees, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), "state")
+        if state.isEmpty():
+            return class_of
+        salt = F.pmod(F.xxhash64("node", F.lit(heads)), F.lit(heads)).alias("salt")
+        first = F.min(F.struct(-F.col("degree"), F.xxhash64("node"), "node", "words", "component"))
+        chosen = state.filter(~F.col("done")).groupBy("bucket", salt).agg(first.alias("head"))
+        chosen = written(chosen.select("bucket", "head.node", "head.words", "head.component"), "heads")
+        met = (
+            state.select("bucket", F.struct("node", "words", "component").alias("own"))
+            .join(chosen.select("bucket", F.struct("node", "words", "component").alias("head")), "bucket")
+            .filter((F.col("own.component") != F.col("head.component")) & near("own", "head"))
+            .select(F.least("own.node", "head.node").alias("a"), F.greatest("own.node", "head.node").alias("b"))
+        )
+        new = written(met.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        pairs = pairs.union(new)
+        more = written(verified(written(by_bags(new, found), "alike"), texts, nodes), "near")
+        if not more.isEmpty():
+            links = links.union(more)
+            class_of = written(components(class_of.toDF("a", "b").union(more)), "classes")
+        was = chosen.select("bucket", "node", F.lit(True).alias("was"))
+        members = state.join(was, ["bucket", "node"], "left")
+        members = members.select("node", "words", "bucket", (F.col("done") | F.col("was").isNotNull()).alias("done"))
+        heads *= MORE_HEADS
+
+
 def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows ``doc_id, text, node`` of ``docs``, and for each distinct text (``node``) its least id, number of rows and component."""
     bounded_batches(docs.sparkSession)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
     # copies count as one text; the one with the least id is read
     nodes = written(texts.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "nodes")
-    found = signatures(texts).groupBy("node").agg(F.first("words").alias("words"), F.first("sketches").alias("sketches"))
-    pairs = written(candidates(written(found, "signatures")), "pairs")
-    links = written(verified(pairs, texts, nodes), "near")
-    named = nodes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    found = signatures(texts).groupBy("node").agg(*[F.first(c).alias(c) for c in ("words", "sketches", "bag")])
+    named = nodes.join(linked(written(found, "signatures"), texts, nodes), "node", "left").withColumn("component", F.coalesce("component", "node"))
     return texts, named
 
 

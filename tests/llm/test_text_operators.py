@@ -266,6 +266,29 @@ def test_recall_of_near_copies(spark):
     assert got == {i: i // 3 * 3 for i in range(120)}
 
 
+def test_star_of_edits_is_one_class(spark):
+    """Edits that align with one text but not with each other: every one that shares a sketch with it is of its class."""
+    rnd, base = random.Random(6), prose(700, 300)
+    texts = [base] + [[w if rnd.random() > 0.12 else f"new{rnd.randrange(10**9)}" for w in base] for _ in range(250)]
+    hashes = [order_minhash.word_hashes(" ".join(t)) for t in texts]
+    drawn = [order_minhash.sketches(h) for h in hashes]
+    fits = order_minhash.similar([(hashes[0], h) for h in hashes])
+    want = {i for i in range(len(texts)) if fits[i] and (drawn[i] == drawn[0]).any()}
+    assert len(want) > 200
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(rows).collect()}
+    assert {got[i] for i in want} == {0}
+
+
+def test_bags_rule_out_only_what_cannot_align():
+    rnd = random.Random(7)
+    a = [np.array([rnd.randrange(60) for _ in range(rnd.randint(1, 50))], np.uint64) for _ in range(300)]
+    b = [np.array([w if rnd.random() > rnd.choice([0.1, 0.2, 0.5]) else rnd.randrange(60) for w in x], np.uint64) for x in a]
+    fine = order_minhash.may_align([order_minhash.bag(x) for x in a], [order_minhash.bag(x) for x in b])
+    assert fine[order_minhash.similar(list(zip(a, b)))].all() and not fine.all()
+    assert order_minhash.may_align([b"", b""], [order_minhash.bag(a[0]), b""]).all()
+
+
 # --- quality ----------------------------------------------------------------------------------------
 
 
