@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import json
 import math
+import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from faultgauge.llm.common import written
@@ -22,8 +24,9 @@ BUCKETS = 4096  # of word hashes
 LABELLED = 4_000  # labelled rows that the classifier is fitted on, about
 EVIDENCE = 20.0  # a text counts as so many independent words
 SMOOTHING = 0.5
-ROUNDS = 60
+ROUNDS = 60  # of plain descent; beyond, steps are scaled by the curvature
 CLOSE = 1e-4  # greatest relative gap to stop at
+STALLED = 1e-4  # three scaled steps that take less than this share off the squares of the gaps end the descent
 WRITE_EVERY = 12  # rounds between two written tables of rates
 
 
@@ -99,11 +102,12 @@ def stepped(rate: Column, share: list[Column], steps: list[list[float]], least:
     return rate
 
 
-def fit_rates(found: DataFrame, targets: list[float], least: float = 0.0) -> list[list[float]]:
-    """The steps that lead from rates of 1 to the fitted ones, from ``found(n_tokens, p)``.
+def fit_rates(found: DataFrame, targets: list[float], least: float = 0.0) -> tuple[list[list[float]], list[float]]:
+    """The steps that lead from rates of 1 to the fitted ones, from ``found(n_tokens, p)``, and the relative gaps left.
 
     ``targets`` are token totals. A step is a list of one number for each domain: a rate falls by their sum
-    weighted with the document's posterior, but not below ``least``.
+    weighted with the document's posterior, but not below ``least``. The descent goes on until all gaps are below
+    ``CLOSE``, or until their squares no longer shrink: then no rates meet the targets.
     """
     d = len(targets)
     share = [F.col("p")[i] for i in range(d)]
@@ -111,24 +115,69 @@ def fit_rates(found: DataFrame, targets: list[float], least: float = 0.0) -> lis
     cells = [(i, j) for i in range(d) for j in range(i, d)]
     gram = found.agg(*[F.sum(n * share[i] * share[j]).alias(f"g{i}_{j}") for i, j in cells]).first()
     if gram[0] is None:
-        return []
+        return [], []
     g = [[0.0] * d for _ in range(d)]
     for (i, j), x in zip(cells, gram):
         g[i][j] = g[j][i] = x / (targets[i] * targets[j])
     # a row sum bounds the greatest eigenvalue of the relative problem
-    rate_of_descent = 1.0 / max(max(sum(row) for row in g), 1e-300)
+    bound = max(max(sum(row) for row in g), 1e-300)
     steps: list[list[float]] = []
     state, since = found.select("n_tokens", "p", F.lit(1.0).alias("rate")), 0
-    for _ in range(ROUNDS):
-        rate = stepped(F.col("rate"), share, steps[since:], least)
+
+    def gaps_after(more: list[list[float]]) -> list[float]:
+        rate = stepped(F.col("rate"), share, steps[since:] + more, least)
         totals = state.agg(*[F.sum(n * rate * share[i]).alias(f"t{i}") for i in range(d)]).first()
-        gaps = [(t - wanted) / wanted for t, wanted in zip(totals, targets)]
-        if max(abs(x) for x in gaps) < CLOSE:
-            break
-        steps.append([rate_of_descent * gap / wanted for gap, wanted in zip(gaps, targets)])
+        return [(t - wanted) / wanted for t, wanted in zip(totals, targets)]
+
+    def curvature(slope: list[float]) -> np.ndarray:
+        """How the gaps follow a step, by the documents that it can move: those above the bound or pushed upwards."""
+        rate = stepped(F.col("rate"), share, steps[since:], least)
+        push = sum((F.lit(s) * p for s, p in zip(slope, share)), F.lit(0.0))
+        free = state.select("n_tokens", "p", rate.alias("rate")).filter((F.col("rate") > least) | (push < 0))
+        found_ = free.agg(*[F.coalesce(F.sum(n * share[i] * share[j]), F.lit(0.0)).alias(f"g{i}_{j}") for i, j in cells]).first()
+        out = np.zeros((d, d))
+        for (i, j), x in zip(cells, found_):
+            out[i, j] = out[j, i] = x / (targets[i] * targets[j])
+        return out
+
+    def take(step: list[float]) -> None:
+        nonlocal state, since
+        steps.append(step)
         if len(steps) - since == WRITE_EVERY:
             rate = stepped(F.col("rate"), share, steps[since:], least)
             state, since = written(state.select("n_tokens", "p", rate.alias("rate")), "rates"), len(steps)
+
+    gaps = gaps_after([])
+    for _ in range(ROUNDS):
+        if max(abs(x) for x in gaps) < CLOSE:
+            return steps, gaps
+        take([gap / bound / wanted for gap, wanted in zip(gaps, targets)])
+        gaps = gaps_after([])
+    # domains of very unequal size: steps scaled by the curvature, damped up to a plain one, which always helps
+    damping, slow = 1e-6 * bound, 0
+    while max(abs(x) for x in gaps) >= CLOSE and slow < 3:
+        here = curvature([gap / wanted for gap, wanted in zip(gaps, targets)])
+        before = sum(x * x for x in gaps)
+        while True:
+            scaled = np.linalg.solve(here + damping * np.eye(d), gaps) if damping < bound else np.array(gaps) / bound
+            step = [float(x) / wanted for x, wanted in zip(scaled, targets)]
+            tried = gaps_after([step])
+            if sum(x * x for x in tried) < before:
+                break
+            if damping >= bound:
+                return steps, gaps
+            damping = min(bound, 100 * damping)
+        take(step)
+        gaps, damping = tried, max(damping / 10, 1e-12 * bound)
+        slow = slow + 1 if sum(x * x for x in gaps) > (1 - STALLED) * before else 0
+    return steps, gaps
+
+
+def reported(steps_and_gaps: tuple[list[list[float]], list[float]], domains: list[str]) -> list[list[float]]:
+    """The steps; gaps that no rates close are told."""
+    steps, gaps = steps_and_gaps
+    if any(abs(x) >= CLOSE for x in gaps):
+        warnings.warn("targets are not met: " + ", ".join(f"{d} {x:+.2%}" for d, x in zip(domains, gaps)), stacklevel=3)
     return steps
 
 
@@ -160,7 +209,7 @@ def rates(
     model = fit(docs, labelled, domains, sample)
     found = written(memberships(docs, model, "doc_id"), "memberships")
     shares = [weights[d] for d in domains]
-    steps = fit_rates(found, wanted_totals(found, shares, grow), least)
+    steps = reported(fit_rates(found, wanted_totals(found, shares, grow), least), domains)
     rate = stepped(F.lit(1.0), [F.col("p")[i] for i in range(len(domains))], steps, least)
     out = found.select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)], rate.alias("rate"))
     return out.withColumn("copies", copies(F.col("rate"), F.col("doc_id"), F.col("n_tokens")))
@@ -174,7 +223,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], sampl
     domains = sorted(weights)
     model = fit(docs, labelled, domains, sample)
     found = written(memberships(docs, model), "memberships")
-    steps = fit_rates(found, wanted_totals(found, [weights[d] for d in domains], True), 1.0)
+    steps = reported(fit_rates(found, wanted_totals(found, [weights[d] for d in domains], True), 1.0), domains)
     kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept")
     scored = docs.select(kept, posterior(F.col("text"), model)["p"].alias("p"))
     rate = stepped(F.lit(1.0), [F.col("p")[i] for i in range(len(domains))], steps, 1.0)

@@ -372,3 +372,16 @@ def test_mixing_without_labels(spark):
     assert np.allclose(got.p_a, 0.5) and len(got) == len(rows)
 
 
+def test_small_domains_reach_their_targets(spark):
+    rows = [(i, " ".join(f"{'b' if i % 1000 == 0 else 'a'}{(i + k) % 20}" for k in range(30))) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, t[0]) for i, t in rows if i < 1100], "doc_id long, domain string")
+    got = mixing.rates(docs, known, {"a": 0.85, "b": 0.15}, grow=True, least=1.0).toPandas()
+    totals = [(got.n_tokens * got.rate * got[f"p_{d}"]).sum() for d in "ab"]
+    assert totals[1] / sum(totals) == pytest.approx(0.15, rel=1e-3) and (got.rate >= 1).all()
+
+
+def test_gaps_that_no_rates_close_are_told(spark):
+    docs, known, rows = mixture(spark)
+    with pytest.warns(UserWarning, match="targets are not met"):
+        mixing.rates(docs, known.filter("doc_id < 0"), {"a": 0.9, "b": 0.1})
