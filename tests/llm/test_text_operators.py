@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -206,6 +207,23 @@ def test_places_names_and_marks(spark):
     assert [r.marked for r in got] == [sum(x[2] for x in order[:j]) for j in range(len(order))]
 
 
+def test_pipeline_cuts_shared_passages_of_over_fifty_words(spark):
+    rows, passages = [], []
+    for i, words in enumerate(range(51, 64, 3)):
+        passages.append(" ".join(prose(800 + i, words)))
+        for j in (0, 1):
+            own = [" ".join(prose(900 + 4 * i + 2 * j + k, 70)) for k in (0, 1)]
+            rows.append((2 * i + j, f"{own[0]} {passages[i]} {own[1]}"))
+    assert all(250 < len(p) < 400 for p in passages)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id: r.text for r in corpus_pipeline.without_repeats(spark, docs, "").collect()}
+    assert len(kept) == len(rows)
+    for i, text in rows:
+        own = text.replace(passages[i // 2], "")
+        # a shared space or letter beside the passage may go with it
+        assert passages[i // 2][:100] not in kept[i] and len(own) - 8 <= len(kept[i]) <= len(own)
+
+
 # --- near copies ------------------------------------------------------------------------------------
 
 
