@@ -139,7 +139,7 @@ def lookup_owned(spark: SparkSession, sf: str) -> DataFrame:
 
 def _trained(spark: SparkSession, sf: str) -> str:
     folder = new_path(spark, "artifacts")
-    training.run(models.training_data(spark, sf), folder, models.COMPARED_SHARE)
+    training.run(models.training_data(spark, sf), folder)
     return folder
 
 
@@ -777,13 +777,13 @@ def baseline_majority(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def baselines(spark: SparkSession, sf: str) -> DataFrame:
     folded, fits = models.folded_data(spark, sf)
-    return train.cross_validate(folded, train.baselines(models.COMPARED_SHARE), fits)
+    return train.cross_validate(folded, train.baselines(), fits)
 
 
 @query
 def gbt_grid(spark: SparkSession, sf: str) -> DataFrame:
     folded, fits = models.folded_data(spark, sf)
-    grid = train.boosted_grid(models.COMPARED_SHARE)
+    grid = train.boosted_grid()
     trees = F.create_map(*[F.lit(x) for name, m in grid.items() for x in (name, m.config["trees"])])
     return train.cross_validate(folded, grid, fits).withColumn("trees", trees[F.col("model")])
 
@@ -824,12 +824,12 @@ def gain_importance(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def class_weight_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    return train.class_weight_sweep(*models.folded_data(spark, sf), models.COMPARED_SHARE)
+    return train.class_weight_sweep(*models.folded_data(spark, sf))
 
 
 @query
 def feature_ablation(spark: SparkSession, sf: str) -> DataFrame:
-    return train.feature_ablation(*models.folded_data(spark, sf), models.COMPARED_SHARE)
+    return train.feature_ablation(*models.folded_data(spark, sf))
 
 
 @query

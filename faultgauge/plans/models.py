@@ -10,9 +10,6 @@ from faultgauge.operators import evaluate, shap, train
 from faultgauge.session import materialise, new_path
 from faultgauge.sources import artifacts, fixtures
 
-#: Queries that compare many configurations fit this share of their trees; the final configuration is always whole.
-COMPARED_SHARE = 0.05
-
 _frames: dict[tuple[str, str], DataFrame] = {}
 _paths: dict[tuple[str, str], str] = {}
 _folded: dict[tuple[str, str], tuple[DataFrame, dict]] = {}

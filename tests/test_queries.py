@@ -8,6 +8,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as spark_entry  # noqa: E402
 from faultgauge import constants as C  # noqa: E402
+from faultgauge.plans import catalog  # noqa: E402
 from tools.check_sql import compare, connect  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -86,3 +87,27 @@ def test_artifacts_agree(spark):
     assert len(checks) == 4 and all(r.holds for r in checks)
     info = {r.part: r.document for r in QUERIES["model_info"](spark, SF).collect()}
     assert "decision_threshold" in info["metadata"] and "roc_auc" in info["metrics"] and "best" in info["holdout"]
+
+
+def test_compared_configurations_have_all_their_trees(spark, monkeypatch):
+    asked, run_with = [], []
+    monkeypatch.setattr(catalog.models, "folded_data", lambda spark, sf: (None, {}))
+    monkeypatch.setattr(catalog.models, "training_data", lambda spark, sf: None)
+    monkeypatch.setattr(catalog, "new_path", lambda spark, name: name)
+    monkeypatch.setattr(catalog.training, "run", lambda frame, folder, share=1.0: run_with.append(share))
+
+    def stop(folded, models, fits=None):
+        asked.append(models)
+        raise InterruptedError
+
+    monkeypatch.setattr(catalog.train, "cross_validate", stop)
+    for name in ("baselines", "gbt_grid", "class_weight_sweep", "feature_ablation"):
+        with pytest.raises(InterruptedError):
+            QUERIES[name](spark, SF)
+    assert len(asked) == 4
+    assert asked[0]["forest, depth 3"].trees == 100 and asked[0]["boosted, first configuration"].config["trees"] == C.FIRST_CONFIG["trees"]
+    grid = {**C.BOOSTED_CONFIGS, **C.RECORDED_CONFIGS}
+    assert {name: m.config["trees"] for name, m in asked[1].items()} == {name: c["trees"] for name, c in grid.items()}
+    assert all(m.config["trees"] == 80 for models in asked[2:] for m in models.values())
+    catalog._trained(spark, SF)
+    assert run_with == [1.0]
