@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultgauge.llm import bpe, mixing, order_minhash, quality, separators, site_tree, suffix_dedup, syncmers, topk, warc
+from faultgauge.llm import bpe, exact_dedup, merkle, mixing, order_minhash, quality, separators, site_tree, suffix_dedup, syncmers, topk, warc
 from faultgauge.llm.common import table
 
 QUERIES: dict = {}
@@ -123,3 +123,82 @@ def op2_separator_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Token counts of all documents, found in flat token files."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return separators.document_counts(table(spark, sf, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query
+def op11_heavy_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Group of equal texts of every document, and the row that stays."""
+    return exact_dedup.groups(table(spark, sf, "documents"))
+
+
+ORACLE["op11_heavy_split"] = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents
+WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+#: CRC-32 (reflected polynomial 0xEDB88320) of a list of bytes in DuckDB; ``crc`` holds the table of its 256 remainders.
+CRC_TABLE = """crc AS (
+  SELECT list_transform(range(0, 256), lambda b: list_reduce(list_prepend(b, range(0, 8)),
+    lambda r, k: CASE WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)) AS remainders)"""
+
+
+def crc32_sql(bytes_sql: str) -> str:
+    return (
+        f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes_sql}), "
+        "lambda r, b: xor(r >> 8, remainders[xor(r & 255, b) + 1])), 4294967295)"
+    )
+
+
+@query
+def op13_postorder_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Proof of every document, tested on texts of which every second one has lost its line ends."""
+    docs = table(spark, sf, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    lost = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.proofs(merkle.build(docs, presented={"text": lost}))
+
+
+def _manifest_sql(levels: int = 12) -> str:
+    """Level by level over whole tables; trees of up to 3 ^ levels leaves."""
+
+    def field(name: str, value: str | None = None) -> str:
+        v = f"CAST({value or name} AS VARCHAR)"
+        return f"CASE WHEN {v} IS NULL THEN '-' ELSE concat(strlen({v}), ':', {v}) END"
+
+    def leaf(text: str) -> str:
+        return f"sha256(concat({', '.join([*map(field, merkle.FIELDS[:-1]), field('text', text)])}))"
+
+    lost = f"CASE WHEN {crc32_sql('''list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))''')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END"
+    steps = [CRC_TABLE, f"""docs AS MATERIALIZED (
+  SELECT *, {leaf('text')} AS leaf, {leaf(lost)} AS shown FROM documents, crc)""", """d0 AS MATERIALIZED (
+  SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, leaf, shown AS folded, '' AS proof,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i
+  FROM docs)""", "a0 AS MATERIALIZED (SELECT tree, i, leaf AS h FROM d0)"]
+
+    def climb(nodes: str, rows: str) -> None:
+        for k in range(levels):
+            steps.append(f"""{nodes}{k}s AS MATERIALIZED (
+  SELECT *, count(*) OVER (PARTITION BY tree) AS c, concat(lag(h, 2) OVER run, lag(h) OVER run) AS l, concat(lead(h) OVER run, lead(h, 2) OVER run) AS r
+  FROM {nodes}{k} WINDOW run AS (PARTITION BY tree, i // 3 ORDER BY i))""")
+            steps.append(f"""{nodes}{k + 1} AS MATERIALIZED (
+  SELECT tree, i // 3 AS i, CASE WHEN any_value(c) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h
+  FROM {nodes}{k}s GROUP BY tree, i // 3)""")
+            steps.append(f"""{rows}{k + 1} AS MATERIALIZED (
+  SELECT d.* REPLACE (d.i // 3 AS i, proof || l || r AS proof, CASE WHEN c = 1 THEN folded ELSE sha256(l || folded || r) END AS folded)
+  FROM {rows}{k} d JOIN {nodes}{k}s s ON s.tree = d.tree AND s.i = d.i)""")
+
+    climb("a", "d")
+    steps.append(f"b0 AS MATERIALIZED (SELECT 0 AS tree, tree AS i, h FROM a{levels})")
+    steps.append(f"""e0 AS MATERIALIZED (
+  SELECT d.doc_id, d.leaf, a.h AS subroot, d.folded, d.proof, 0 AS tree, d.tree AS i FROM d{levels} d JOIN a{levels} a ON a.tree = d.tree)""")
+    climb("b", "e")
+    return f"""WITH {', '.join(steps)}
+SELECT doc_id, leaf, subroot, b.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = b.h AS verified
+FROM e{levels} JOIN b{levels} b ON true"""
+
+
+ORACLE["op13_postorder_manifest"] = _manifest_sql()
