@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from faultgauge.llm import bpe, exact_dedup, merkle, mixing, order_minhash, quality, separators, site_tree, suffix_dedup, syncmers, topk, warc
+from faultgauge.llm import bpe, exact_dedup, merkle, mixing, order_minhash, quality, separators, site_tree, spelling, suffix_dedup, syncmers, topk, warc
 from faultgauge.llm.common import table
 
 QUERIES: dict = {}
@@ -202,3 +202,41 @@ FROM e{levels} JOIN b{levels} b ON true"""
 
 
 ORACLE["op13_postorder_manifest"] = _manifest_sql()
+
+
+@query
+def op12_reduced_alphabet(spark: SparkSession, sf: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    return spelling.variants(table(spark, sf, "documents"))
+
+
+_RUN_BYTES = "flatten(list_transform(string_split(key, ''), lambda c: CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)] ELSE [195, CAST(ord(c) - 64 AS BIGINT)] END))"
+
+ORACLE["op12_reduced_alphabet"] = f"""
+WITH RECURSIVE {CRC_TABLE},
+tokens AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS t FROM documents),
+runs AS (
+  SELECT doc_id, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c
+  FROM tokens WHERE length(t) >= 6 GROUP BY ALL),
+hashed AS (SELECT run, c, {crc32_sql(_RUN_BYTES)} AS h FROM (SELECT *, concat(doc_id, ':', run) AS key FROM runs), crc),
+words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word,
+         CAST(sum(c) AS BIGINT) AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(c) >= 5),
+cuts AS (
+  SELECT word, n, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS rest
+  FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS k FROM near),
+forms AS (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near,
+         CASE WHEN r.m >= 5 * w.n THEN r.other END AS form, CASE WHEN r.m >= 5 * w.n THEN r.m END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.k = 1),
+steps AS (
+  SELECT word, word AS root, form AS onward FROM forms
+  UNION ALL SELECT s.word, s.onward, f.form FROM steps s JOIN forms f ON f.word = s.onward)
+SELECT f.word, f.form, s.root, f.n, f.n_near, f.form_n FROM forms f JOIN steps s ON s.word = f.word AND s.onward IS NULL
+"""
