@@ -17,7 +17,7 @@ from hashlib import sha256
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructType
 
 from faultgauge.llm.common import written
 from faultgauge.llm.ordering import placed
@@ -27,6 +27,7 @@ LEVELS = 5  # of a block
 SPAN = ARITY**LEVELS  # leaves of a block
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 PATH = ArrayType(StructType().add("left", StringType()).add("right", StringType()))
+NODE = StructType().add("level", IntegerType()).add("position", LongType()).add("digest", StringType())
 PROOF = StructType().add("leaf", StringType()).add("proof", StringType()).add("folded", StringType())
 
 
@@ -157,6 +158,21 @@ def _proofs(log: pd.Series, n: pd.Series, whole: pd.Series, above: pd.Series, pr
     return pd.Series(out, dtype=object)
 
 
+@F.pandas_udf(ArrayType(NODE))
+def _nodes(log: pd.Series, n: pd.Series, whole: pd.Series, block: pd.Series, total: pd.Series, depth: pd.Series) -> pd.Series:
+    """The nodes of a block at their positions in the log of its whole tree; ``depth`` levels lie below the block's leaves."""
+    out = []
+    for nodes, leaves, w, b, size, below in zip(log, n, whole, block, total, depth):
+        rows = []
+        for level, found in enumerate(levels_of(_hex(nodes), leaves, w)):
+            if level or not below:  # the leaves of a later round are the tops of the one before
+                index = b * (SPAN // ARITY**level) + np.arange(len(found))
+                places = position(size, below + level, index)
+                rows += [{"level": below + level, "position": p, "digest": d} for p, d in zip(places.tolist(), found)]
+        out.append(rows)
+    return pd.Series(out, dtype=object)
+
+
 @dataclass
 class Manifest:
     """``sources(tree, source, n)``; the rounds of the source trees, and those of the tree over their roots (tree 0).
@@ -228,6 +244,16 @@ def build(docs: DataFrame, key: str = "doc_id", source: str = "source", fields:
     return Manifest(sources, rounds, _rounds(over, many))
 
 
+def nodes(manifest: Manifest) -> DataFrame:
+    """``source, level, position, digest``: the whole log of each source's tree; leaves have level 0."""
+    trees = manifest.sources.select("tree", "source", F.col("n").alias("total"))
+    parts = []
+    for k, blocks in enumerate(manifest.rounds):
+        found = _nodes("log", "leaves", _whole(), "block", "total", F.lit(k * LEVELS))
+        parts.append(blocks.join(trees, "tree").select("source", F.explode(found).alias("node")).select("source", "node.*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _above(rounds: list[DataFrame], paths: DataFrame) -> DataFrame:
     """``tree, block, above`` of the first round's blocks, from ``paths(tree, above)`` of the trees' roots, downwards."""
     whole = lambda r: r.filter(_whole()).select("tree", "block").join(paths, "tree")
