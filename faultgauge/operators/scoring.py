@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from faultgauge import constants as C
 from faultgauge.functions.paths import base_name
 from faultgauge.functions.rounding import clamp01, round_half_even, tenths_text
+from faultgauge.operators.forest import Forest
 
 
 def risk_tier(score: Column) -> Column:
@@ -20,12 +21,14 @@ def final_score(probability: Column) -> Column:
     return clamp01(F.coalesce(probability, F.lit(C.DEFAULT_SCORE)))
 
 
-def score(rows: DataFrame, model: GBTClassificationModel | None) -> DataFrame:
+def score(rows: DataFrame, model: GBTClassificationModel | Forest | None) -> DataFrame:
     """Add ``risk_score`` and ``risk_level`` to assembled rows. Without a model every score is neutral.
 
-    The margin of the boosted trees is kept for the explanation check.
+    The margin of the boosted trees is kept for the explanation check. A forest needs the scaled features alone.
     """
-    if model is None:
+    if isinstance(model, Forest):
+        scored = model.transform(rows).withColumn("risk_score", final_score(F.col("probability"))).drop("probability")
+    elif model is None:
         scored = rows.withColumn("risk_score", final_score(F.lit(None).cast("double"))).withColumn(
             "margin", F.lit(0.0)
         )

@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, functions as F
 from faultgauge import constants as C
 from faultgauge.functions.lexical import is_blank
 from faultgauge.operators import contract, filters, rollup, scoring, shap
+from faultgauge.operators.forest import Forest
 from faultgauge.operators.metrics import file_metrics
 from faultgauge.operators.topk import top_k
 from faultgauge.session import materialise
 from faultgauge.sources.repos import FILE_KEYS
 
+Model = GBTClassificationModel | Forest | None
+
 
 def select_files(files: DataFrame, repo: str = "repo", k: int = C.MAX_FILES_PER_REPO) -> DataFrame:
     """The k largest supported files of each repository. Blank files still take a place."""
@@ -20,12 +23,12 @@ def select_files(files: DataFrame, repo: str = "repo", k: int = C.MAX_FILES_PER_
     return top_k(filters.supported_files(files), [repo], order, k, "size_rank")
 
 
-def predict(files: DataFrame, model: GBTClassificationModel | None, leaves: shap.Leaves | None) -> DataFrame:
+def predict(files: DataFrame, model: Model, leaves: shap.Leaves | None) -> DataFrame:
     """Metrics, contract, score, factors and recommendations of every file with content."""
     return predict_metrics(file_metrics(files), model, leaves)
 
 
-def predict_metrics(metrics: DataFrame, model: GBTClassificationModel | None, leaves: shap.Leaves | None) -> DataFrame:
+def predict_metrics(metrics: DataFrame, model: Model, leaves: shap.Leaves | None) -> DataFrame:
     """The same from given metrics. A row that fails the contract gets the neutral result."""
     rows = scoring.score(contract.assemble(contract.contract_row(metrics)), model).drop("features")
     ok = F.col("error").isNull()
@@ -75,7 +78,7 @@ def payload(rows: DataFrame) -> DataFrame:
 
 
 def analyze(
-    files: DataFrame, commits: DataFrame, model: GBTClassificationModel | None, leaves: shap.Leaves | None,
+    files: DataFrame, commits: DataFrame, model: Model, leaves: shap.Leaves | None,
     max_files: int | None = None, churn_top: int | None = None, explain_top: int | None = None,
 ) -> DataFrame:
     """``files(repo, path, size, content)`` and ``commits(repo, path, commit)`` to one ranked row per file.

@@ -419,9 +419,10 @@ def contract_failures(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def score_files(spark: SparkSession, sf: str) -> DataFrame:
-    model = artifacts.load_model(models.model_path(spark, sf))
-    rows = contract.assemble(contract.contract_row(metrics.file_metrics(X.src_files(spark, sf))))
-    return scoring.score(rows, model).select("doc_id", "path", "risk_score", "risk_level")
+    """Scores of all files by a published forest."""
+    model, _ = models.given_forest(spark, sf)
+    rows = contract.contract_row(metrics.file_metrics(X.src_files(spark, sf)))
+    return scoring.score(rows, model).select("doc_id", "path", r6("risk_score").alias("risk_score"), "risk_level")
 
 
 @query
@@ -439,12 +440,12 @@ def risk_tiers(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def tree_shap(spark: SparkSession, sf: str) -> DataFrame:
     """Contributions of all files; they and the base value add up to the margin."""
-    model, leaves = models.model_and_leaves(spark, sf)
-    rows = contract.assemble(contract.contract_row(metrics.file_metrics(X.src_files(spark, sf))))
+    model, leaves = models.given_forest(spark, sf)
+    rows = contract.contract_row(metrics.file_metrics(X.src_files(spark, sf)))
     explained = shap.tree_shap(scoring.score(rows, model), leaves)
     total = F.aggregate("contributions", F.lit(0.0), lambda a, b: a + b) + F.col("base_value")
     return explained.select(
-        "doc_id", *[F.col("contributions")[i].alias(f) for i, f in enumerate(C.FEATURES)], "base_value",
+        "doc_id", *[r6(F.col("contributions")[i]).alias(f) for i, f in enumerate(C.FEATURES)], r6("base_value").alias("base_value"),
         (F.abs(total - F.col("margin")) < 1e-9).alias("adds_up"),
     )
 
@@ -501,12 +502,12 @@ def explain_gate(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """The whole analysis: listing, metrics, score, factors, churn and texts, ranked per repository."""
-    model, leaves = models.model_and_leaves(spark, sf)
+    model, leaves = models.given_forest(spark, sf)
     out = analyze.analyze(X.src_files(spark, sf), X.file_commits(spark, sf), model, leaves)
     factor = lambda i: F.try_element_at("metrics.top_risk_factors", F.lit(i))["feature"]
     return out.select(
-        "repo", "path", "rank", "risk_score", "risk_level", "metrics.loc", "metrics.cyclomatic_complexity",
-        "metrics.volume", "metrics.language", "metrics.commit_count", "metrics.contributor_count",
+        "repo", "path", "rank", r6("risk_score").alias("risk_score"), "risk_level", "metrics.loc", "metrics.cyclomatic_complexity",
+        r6("metrics.volume").alias("volume"), "metrics.language", "metrics.commit_count", "metrics.contributor_count",
         factor(1).alias("factor_1"), factor(2).alias("factor_2"), factor(3).alias("factor_3"),
         "ai_explanation", "test_suggestions",
     )
@@ -813,13 +814,16 @@ def feature_schema(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def shap_global(spark: SparkSession, sf: str) -> DataFrame:
-    _, leaves = models.model_and_leaves(spark, sf)
-    return shap.global_importance(shap.tree_shap(models.training_data(spark, sf), leaves))
+    """Mean sizes of the published forest's contributions over the labelled files."""
+    _, leaves = models.given_forest(spark, sf)
+    out = shap.global_importance(shap.tree_shap(models.training_data(spark, sf), leaves))
+    return _rounded(out, "mean_abs_shap", "shap_share")
 
 
 @query
 def gain_importance(spark: SparkSession, sf: str) -> DataFrame:
-    return shap.gain_importance(shap.tree_nodes(spark, models.model_path(spark, sf)))
+    """Mean gains of the published forest's splits."""
+    return _rounded(shap.gain_importance(X.forest_nodes(spark, sf)), "mean_gain", "gain_share")
 
 
 @query

@@ -6,7 +6,7 @@ from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 
 from faultgauge import constants as C
-from faultgauge.operators import evaluate, shap, train
+from faultgauge.operators import evaluate, forest, shap, train
 from faultgauge.session import materialise, new_path
 from faultgauge.sources import artifacts, fixtures
 
@@ -45,3 +45,11 @@ def model_path(spark: SparkSession, sf_dir: str) -> str:
 def model_and_leaves(spark: SparkSession, sf_dir: str) -> tuple[GBTClassificationModel, shap.Leaves]:
     path = model_path(spark, sf_dir)
     return artifacts.load_model(path), shap.load_leaves(spark, path)
+
+
+def given_forest(spark: SparkSession, sf_dir: str) -> tuple[forest.Forest, shap.Leaves]:
+    """A published forest, as a deployment has it: written as a table and loaded again."""
+    path = new_path(spark, "forest")
+    forest.write(fixtures.forest_nodes(spark, sf_dir), path)
+    loaded = forest.load(spark, path)
+    return loaded, loaded.leaves()

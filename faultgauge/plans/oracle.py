@@ -357,6 +357,41 @@ ORACLE["ast_fallback"] = f"""WITH {_PY}, bad AS (SELECT * FROM gen WHERE doc_id
 
 # --- scoring and explanation -----------------------------------------------------------------------
 
+# The forest of 25 trees over a table ``m`` of metrics: its splits (0; 1 on its left, 2 on its right) and leaves (3 to 6).
+FOREST = """nodes AS (SELECT n_nationkey AS tree, n_nationkey AS k, n_regionkey AS r FROM nation),
+  split AS (SELECT tree, n, (k * 3 + n * (r + 2)) % 10 + 1 AS feature, ((k * 7 + n * 9) % 20 + 1) / 64 AS threshold,
+    CAST((k * 5 + n) % 7 + 1 AS DOUBLE) AS gain FROM nodes, (SELECT unnest([0, 1, 2]) AS n)),
+  leaf AS (SELECT tree, n, ((k * 11 + r * 3 + n * 5) % 13 - 6) / 16 * 0.125::DOUBLE AS v, n IN (3, 4) AS l0, n IN (3, 5) AS l1,
+    CASE WHEN n IN (3, 4) THEN 1 ELSE 2 END AS second, CASE WHEN n IN (3, 4) THEN 0.25::DOUBLE ELSE 0.75 END AS z0,
+    CASE WHEN n IN (3, 5) THEN 0.25::DOUBLE ELSE 0.75 END AS z1 FROM nodes, (SELECT unnest([3, 4, 5, 6]) AS n))"""
+
+
+def explained(source: str = "m") -> str:
+    """CTEs ``margin(key, base, raw)`` and ``phi(key, feature, c)``: leaf by leaf, each with at most two features."""
+    x = "[" + ", ".join(f"CAST(CAST({_scaled(f)} AS FLOAT) AS DOUBLE)" for f in C.FEATURES) + "]"
+    return f"""{FOREST}, xs AS (SELECT key, {x} AS x FROM {source}),
+  path AS (SELECT key, v, a.feature AS f0, b.feature AS f1, CAST((x[a.feature] <= a.threshold) = l0 AS INTEGER) AS o0,
+    CAST((x[b.feature] <= b.threshold) = l1 AS INTEGER) AS o1, z0, z1
+    FROM xs, leaf JOIN split a ON a.tree = leaf.tree AND a.n = 0 JOIN split b ON b.tree = leaf.tree AND b.n = second),
+  margin AS (SELECT key, 2 * sum(v * o0 * o1) AS raw, 2 * sum(v * z0 * z1) AS base FROM path GROUP BY key),
+  parts AS (SELECT key, f0 AS feature, CASE WHEN f0 = f1 THEN v * (o0 * o1 - z0 * z1) ELSE v * (o0 - z0) * (z1 + o1) / 2 END AS c FROM path
+    UNION ALL SELECT key, f1, v * (o1 - z1) * (z0 + o0) / 2 FROM path WHERE f0 <> f1),
+  phi AS (SELECT key, feature, 2 * sum(c) AS c FROM parts GROUP BY ALL)"""
+
+
+_RISK = "1 / (1 + exp(-raw))"
+_COLUMNS = ", ".join(f"round(coalesce(sum(c) FILTER (feature = {i + 1}), 0), 6) AS {f}" for i, f in enumerate(C.FEATURES))
+ORACLE["score_files"] = f"""{SRC_M}, {explained()} SELECT doc_id, path, round({_RISK}, 6) AS risk_score, {tier(_RISK)} AS risk_level
+FROM margin JOIN src ON doc_id = key"""
+ORACLE["tree_shap"] = f"""{SRC_M}, {explained()}, w AS (SELECT key, {_COLUMNS} FROM phi GROUP BY key)
+SELECT w.* RENAME (key AS doc_id), round(base, 6) AS base_value, true AS adds_up FROM w JOIN margin USING (key)"""
+_EACH_FEATURE = f"(SELECT unnest({values(C.FEATURES)}) AS feature, unnest(range(1, 11)) AS i)"
+ORACLE["shap_global"] = f"""WITH {LABELLED}, {lexical('lab', 'doc_id')}, {explained()}, n AS (SELECT count(*) AS rows FROM m),
+means AS (SELECT d.feature, coalesce(sum(abs(c)), 0) / any_value(rows) AS mean_abs FROM {_EACH_FEATURE} d CROSS JOIN n LEFT JOIN phi ON phi.feature = i GROUP BY 1)
+SELECT feature, round(mean_abs, 6) AS mean_abs_shap, round(mean_abs / sum(mean_abs) OVER (), 6) AS shap_share FROM means"""
+ORACLE["gain_importance"] = f"""WITH {FOREST}, means AS (SELECT d.feature, coalesce(avg(gain), 0) AS g FROM {_EACH_FEATURE} d LEFT JOIN split ON split.feature = i GROUP BY 1)
+SELECT feature, round(g, 6) AS mean_gain, round(g / sum(g) OVER (), 6) AS gain_share FROM means"""
+
 ORACLE["score_default"] = """SELECT l_orderkey, l_linenumber,
   CASE WHEN l_linenumber = 3 THEN 0.5::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, l_quantity / 25 - 0.5::DOUBLE)) END AS score FROM lineitem"""
 ORACLE["risk_tiers"] = f"WITH {FILES} SELECT analysis_id, file_path, risk_score, risk_level FROM f"

@@ -138,6 +138,30 @@ def labelled_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.join(labels, "doc_id").withColumn("path", F.lit(""))
 
 
+def forest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forest of the shape that training writes: a tree of two splits in a row for each nation.
+
+    All weights, values and shares of rows are small fractions of powers of two, so sums do not depend on their order.
+    """
+    k, r = F.col("n_nationkey"), F.col("n_regionkey")
+
+    def node(number: int, covered: int, left: int, value: Column, feature: Column, threshold: Column) -> Column:
+        inner = left >= 0
+        return F.struct(
+            F.lit(number).alias("node"), (F.lit(0.0) if inner else value).cast("double").alias("prediction"),
+            F.lit(float(covered)).alias("covered"), ((k * 5 + number) % 7 + 1 if inner else F.lit(-1)).cast("double").alias("gain"),
+            F.lit(left).alias("left"), F.lit(left + 1 if inner else -1).alias("right"),
+            (feature if inner else F.lit(-1)).cast("int").alias("feature"), (threshold if inner else F.lit(0)).cast("double").alias("threshold"),
+        )
+
+    value = lambda n: ((k * 11 + r * 3 + n * 5) % 13 - 6) / 16
+    split = lambda n: ((k * 3 + n * (r + 2)) % 10, ((k * 7 + n * 9) % 20 + 1) / 64)
+    shape = [(64, 1), (16, 3), (48, 5), (4, -1), (12, -1), (12, -1), (36, -1)]
+    nodes = F.array(*[node(n, covered, left, value(n), *split(n)) for n, (covered, left) in enumerate(shape)])
+    nations = table(spark, sf_dir, "nation").select(k, r)
+    return nations.select(k.cast("int").alias("tree"), F.lit(0.125).alias("weight"), F.inline(nodes))
+
+
 def python_sources(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFrame:
     """Python, one file per document: a function with one branch per run of letters, digits and underscores.
 
