@@ -32,7 +32,9 @@ def feature_bounds(spark: SparkSession, schema_path: str | None = None) -> DataF
     )
     if schema_path is None:
         return defaults.withColumnsRenamed({"default_min": "bound_min", "default_max": "bound_max"})
-    written = spark.read.schema("name string, bound_min double, bound_max double").json(schema_path)
+    found = spark.read.schema("name string, bound_min double, bound_max double").json(schema_path)
+    # a row for each of the ten names at most; of names written twice, the widest bounds
+    written = found.filter(F.col("name").isin(C.FEATURES)).groupBy("name").agg(F.min("bound_min").alias("bound_min"), F.max("bound_max").alias("bound_max"))
     return defaults.join(F.broadcast(written), defaults.feature == written.name, "left").select(
         "feature_order",
         "feature",
@@ -104,9 +106,75 @@ def assemble(rows: DataFrame, features: list[str] | None = None) -> DataFrame:
     return VectorAssembler(inputCols=inputs, outputCol="features").transform(single).drop(*inputs)
 
 
-def contract_row(metrics: DataFrame) -> DataFrame:
+#: An entry's text with a trailing type letter, which reads as a number in Java only.
+_TYPED = r"(?i)^\s*[+-]?[0-9.][0-9.e+-]*[df]\s*$"
+
+
+def fold_entries(entries: Column) -> Column:
+    """``error`` and ``values`` (ten numbers, null where not seen) from a list of (key, value), in order of arrival.
+
+    Every entry that spells a feature is checked when its turn comes, also one that a later spelling of the same
+    feature replaces. The first bad one stops the fold: what follows is not looked at.
+    """
+    place = F.create_map(*[F.lit(x) for i, f in enumerate(C.FEATURES) for a in C.FEATURE_ALIASES[f] for x in (a, i)])
+    names = F.array(*[F.lit(f) for f in C.FEATURES])
+
+    def step(state: Column, entry: Column) -> Column:
+        at = F.try_element_at(place, entry["key"])
+        text = entry["value"].cast("string")
+        number = F.when(~text.rlike(_TYPED), text.try_cast("double"))
+        told = lambda what: F.concat(F.lit("Feature '"), F.get(names, at), F.lit("' "), what)
+        error = (
+            F.when(number.isNull(), told(F.concat(F.lit("has non-numeric value: "), F.coalesce(text, F.lit("None")))))
+            .when(F.isnan(number), told(F.lit("is NaN. Invalid numeric input.")))
+            .when(F.abs(number) == float("inf"), told(F.lit("is Infinity. Invalid numeric input.")))
+        )
+        seen = F.transform(state["values"], lambda v, i: F.when(i == at, number).otherwise(v))
+        return F.when(state["error"].isNotNull() | at.isNull(), state).otherwise(F.struct(error.alias("error"), seen.alias("values")))
+
+    nothing = F.struct(F.lit(None).cast("string").alias("error"), F.array_repeat(F.lit(None).cast("double"), len(C.FEATURES)).alias("values"))
+    return F.aggregate(entries, nothing, step)
+
+
+def missing_error(values: Column) -> Column:
+    """The names without a value, in contract order, or null."""
+    quoted = F.array(*[F.lit(f"'{f}'") for f in C.FEATURES])
+    names = F.filter(quoted, lambda _, i: F.get(values, i).isNull())
+    return F.when(F.size(names) > 0, F.concat(F.lit(C.MISSING_FEATURES_PREFIX + "["), F.array_join(names, ", "), F.lit("]")))
+
+
+def contract_of_map(rows: DataFrame, metrics: str = "metrics", limits: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """Validated, scaled features of rows with a map of metrics, and what texts need of them in the struct ``raw``.
+
+    A null map has no entries. In ``raw``, the plain spelling of a metric comes before the feature's name, and a
+    metric that is not there has the value of an empty file.
+    """
+    entries = F.coalesce(F.map_entries(F.col(metrics)), F.map_entries(F.create_map().cast(rows.schema[metrics].dataType)))
+    others = [c for c in rows.columns if c != metrics]
+    folded = rows.select(*others, F.col(metrics).alias("_map"), pinned(fold_entries(entries)).alias("_fold"))
+    values = F.col("_fold.values")
+
+    def given(feature: str, empty: float) -> Column:
+        spellings = (C.METRIC_OF_FEATURE[feature], feature)
+        return F.coalesce(*[F.try_element_at(F.col("_map"), F.lit(s)).try_cast("double") for s in spellings], F.lit(empty))
+
+    raw = F.struct(
+        given("LOC", 0.0).alias("loc"), given("CYCLO", 1.0).alias("cyclomatic_complexity"), given("BRANCH_COUNT", 0.0).alias("branch_count"),
+        given("DIFFICULTY", 0.0).alias("difficulty"), given("INT_FAN_OUT", 0.0).alias("int_fan_out"), given("VOLUME", 0.0).alias("volume"),
+    )
+    checked = folded.select(
+        *others, raw.alias("raw"), F.coalesce(F.col("_fold.error"), missing_error(values)).alias("error"),
+        *[F.get(values, F.lit(i)).alias(f) for i, f in enumerate(C.FEATURES)],
+    )
+    ok = F.col("error").isNull()
+    return checked.withColumns({f: pinned(F.when(ok, scaled(f, limits or bounds_of()))) for f in C.FEATURES})
+
+
+def contract_row(metrics: DataFrame, limits: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """Validated, scaled features of measured files, with the measured values in the struct ``raw``.
 
+    ``limits`` are the scaling bounds, of a written schema or the defaults.
+
     Rows that fail keep null features and their error. (Feature and metric names differ only in case,
     which Spark does not tell apart, so the two sets cannot be columns side by side.)
     """
@@ -114,6 +182,6 @@ def contract_row(metrics: DataFrame) -> DataFrame:
     raw = metrics.select(*others, F.struct(*METRIC_COLUMNS).alias("raw"))
     named = raw.withColumns({f: F.col(f"raw.{m}") for f, m in C.METRIC_OF_FEATURE.items()})
     checked = validate(named)
-    limits = bounds_of()
+    limits = limits or bounds_of()
     ok = F.col("error").isNull()
     return checked.withColumns({f: pinned(F.when(ok, scaled(f, limits))) for f in C.FEATURES})

@@ -49,7 +49,7 @@ def told(sentence: tuple[str, str], value: Column) -> Column:
 
 def recommendations(cyclo: Column, loc: Column, branches: Column, difficulty: Column, fan_out: Column) -> Column:
     """Up to three advices from measured values; the default when none applies."""
-    lines, whole = loc.cast("string"), lambda x: x.cast("bigint").cast("string")
+    lines, whole = F.regexp_replace(loc.cast("string"), r"\.0$", ""), lambda x: x.cast("bigint").cast("string")
     advice = F.array_compact(
         F.array(
             F.when(cyclo > 15, told(C.ADVICE_NESTED, tenths_text(cyclo))).when(cyclo > 8, told(C.ADVICE_COMPLEX, tenths_text(cyclo))),

@@ -15,6 +15,8 @@ from faultgauge.session import materialise
 from faultgauge.sources.repos import FILE_KEYS
 
 Model = GBTClassificationModel | Forest | None
+#: Scaling bounds by feature, as ``contract.bounds_of`` reads them from a written schema; None for the defaults.
+Limits = dict[str, tuple[float, float]] | None
 
 
 def select_files(files: DataFrame, repo: str = "repo", k: int = C.MAX_FILES_PER_REPO) -> DataFrame:
@@ -23,14 +25,25 @@ def select_files(files: DataFrame, repo: str = "repo", k: int = C.MAX_FILES_PER_
     return top_k(filters.supported_files(files), [repo], order, k, "size_rank")
 
 
-def predict(files: DataFrame, model: Model, leaves: shap.Leaves | None) -> DataFrame:
+def predict(files: DataFrame, model: Model, leaves: shap.Leaves | None, limits: Limits = None) -> DataFrame:
     """Metrics, contract, score, factors and recommendations of every file with content."""
-    return predict_metrics(file_metrics(files), model, leaves)
+    return predict_metrics(file_metrics(files), model, leaves, limits)
 
 
-def predict_metrics(metrics: DataFrame, model: Model, leaves: shap.Leaves | None) -> DataFrame:
-    """The same from given metrics. A row that fails the contract gets the neutral result."""
-    rows = scoring.score(contract.assemble(contract.contract_row(metrics)), model).drop("features")
+def predict_metrics(metrics: DataFrame, model: Model, leaves: shap.Leaves | None, limits: Limits = None) -> DataFrame:
+    """The same from measured files."""
+    return _predicted(contract.contract_row(metrics, limits), model, leaves)
+
+
+def predict_maps(rows: DataFrame, model: Model, leaves: shap.Leaves | None, limits: Limits = None, metrics: str = "metrics") -> DataFrame:
+    """The same from a given map of metrics in each row, under any accepted spelling."""
+    return _predicted(contract.contract_of_map(rows, metrics, limits), model, leaves)
+
+
+def _predicted(features: DataFrame, model: Model, leaves: shap.Leaves | None) -> DataFrame:
+    """Score, factors and recommendations. A row that fails the contract gets the neutral result."""
+    rows = features if isinstance(model, Forest) else contract.assemble(features)
+    rows = scoring.score(rows, model).drop("features")
     ok = F.col("error").isNull()
     score = F.when(ok, F.col("risk_score")).otherwise(C.DEFAULT_SCORE)
     rows = rows.withColumn("risk_score", score).withColumn("risk_level", scoring.risk_tier(F.col("risk_score")))
@@ -79,7 +92,7 @@ def payload(rows: DataFrame) -> DataFrame:
 
 def analyze(
     files: DataFrame, commits: DataFrame, model: Model, leaves: shap.Leaves | None,
-    max_files: int | None = None, churn_top: int | None = None, explain_top: int | None = None,
+    max_files: int | None = None, churn_top: int | None = None, explain_top: int | None = None, limits: Limits = None,
 ) -> DataFrame:
     """``files(repo, path, size, content)`` and ``commits(repo, path, commit)`` to one ranked row per file.
 
@@ -92,6 +105,6 @@ def analyze(
         largest = select_files(files.select(*FILE_KEYS, "size"), k=max_files)
         chosen = chosen.join(largest.select(*FILE_KEYS), FILE_KEYS, "left_semi")
     # written once: both the ranks and the result read it
-    predicted = materialise(predict(chosen.filter(~is_blank(F.col("content"))), model, leaves))
+    predicted = materialise(predict(chosen.filter(~is_blank(F.col("content"))), model, leaves, limits))
     enriched = rollup.churn_enrich(rank_files(predicted), commits, churn_top)
     return payload(explain(enriched, explain_top))

@@ -383,7 +383,7 @@ def html_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def validate_features(spark: SparkSession, sf: str) -> DataFrame:
-    return contract.validate(contract.alias_features(X.metric_maps(spark, sf))).select("id", "error")
+    return contract.contract_of_map(X.metric_maps(spark, sf)).select("id", "error")
 
 
 @query
@@ -404,13 +404,11 @@ def assemble(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def contract_failures(spark: SparkSession, sf: str) -> DataFrame:
-    """The neutral result of rows that fail the contract."""
-    rows = contract.validate(contract.alias_features(X.metric_maps(spark, sf)))
-    failed = rows.filter(F.col("error").isNotNull())
-    score = scoring.final_score(F.lit(None).cast("double"))
-    return failed.select(
-        "id", score.alias("risk_score"), scoring.risk_tier(score).alias("risk_level"),
-        F.lit(C.CONTRACT_FAILURE_RECOMMENDATION).alias("recommendation"), "error",
+    """The neutral result of rows that fail the contract, next to a model that would score them."""
+    out = analyze.predict_maps(X.metric_maps(spark, sf), *models.given_forest(spark, sf)).filter(F.col("error").isNotNull())
+    return out.select(
+        "id", "risk_score", "risk_level", F.array_join("recommendations", " | ").alias("recommendation"), "error",
+        F.size("shap_factors").alias("factors"),
     )
 
 
@@ -515,11 +513,26 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def predict_from_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """The per-file result from given metrics, here those of pages."""
-    model, leaves = models.model_and_leaves(spark, sf)
-    out = analyze.predict_metrics(metrics.file_metrics(X.html_files(spark, sf)), model, leaves)
-    return out.select("page_id", "risk_score", "risk_level", F.size("shap_factors").alias("factors"), "error",
-                      F.array_join("recommendations", " | ").alias("recommendations"))
+    """The whole result of given maps of metrics, good and bad."""
+    out = analyze.predict_maps(X.metric_maps(spark, sf), *models.given_forest(spark, sf))
+    first = lambda factors: F.try_element_at(factors, F.lit(1))["feature"]
+    return out.select(
+        "id", r6("risk_score").alias("risk_score"), "risk_level", "error", F.array_join("recommendations", " | ").alias("recommendations"),
+        first("top_risk_factors").alias("raises"), first("top_reducing_factors").alias("lowers"),
+    )
+
+
+@query
+def score_with_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages scored under written bounds, which are the ranges that the measured pages span."""
+    path = new_path(spark, "bounds")
+    measured = metrics.file_metrics(X.html_files(spark, sf))
+    ranges = measured.agg(*[F.struct(F.lit(f).alias("name"), F.min(m).cast("double").alias("bound_min"), F.max(m).cast("double").alias("bound_max")).alias(f)
+                            for f, m in C.METRIC_OF_FEATURE.items()])
+    ranges.select(F.inline(F.array(*C.FEATURES))).write.json(path)
+    limits = contract.bounds_of(contract.feature_bounds(spark, path))
+    out = analyze.predict_metrics(measured, *models.given_forest(spark, sf), limits)
+    return out.select("page_id", "LOC", r6("VOLUME").alias("VOLUME"), r6("BRANCH_COUNT").alias("BRANCH_COUNT"), r6("risk_score").alias("risk_score"), "risk_level")
 
 
 # --- joins and roll-ups ---------------------------------------------------------------------------

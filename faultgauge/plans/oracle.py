@@ -260,28 +260,28 @@ SELECT repo, CAST(supported_files AS BIGINT) AS supported_files, CAST(readable_f
 
 _MULTIPLIERS = {"LOC": 3, "CYCLO": 7, "LENGTH": 11, "VOLUME": 13, "DIFFICULTY": 17, "INT_FAN_IN": 19,
                 "INT_FAN_OUT": 23, "NUM_OPERATORS": 29, "NUM_OPERANDS": 31, "BRANCH_COUNT": 37}
-_SPECIAL = {"LOC": "WHEN o_orderkey % 12 = 1 THEN 'abc' WHEN o_orderkey % 12 = 7 THEN '12.5'",
+_SPECIAL = {"LOC": "WHEN o_orderkey % 12 IN (1, 9) THEN 'abc' WHEN o_orderkey % 12 IN (7, 8) THEN '12.5'",
             "CYCLO": "WHEN o_orderkey % 12 = 2 THEN 'NaN'", "VOLUME": "WHEN o_orderkey % 12 = 3 THEN 'Infinity'",
-            "DIFFICULTY": "WHEN o_orderkey % 12 = 4 THEN '-Infinity'",
-            "INT_FAN_OUT": "WHEN o_orderkey % 12 IN (5, 6) THEN NULL", "NUM_OPERANDS": "WHEN o_orderkey % 12 = 6 THEN NULL"}
+            "DIFFICULTY": "WHEN o_orderkey % 12 = 4 THEN '-Infinity'", "INT_FAN_IN": "WHEN o_orderkey % 12 = 10 THEN NULL",
+            "INT_FAN_OUT": "WHEN o_orderkey % 12 IN (5, 6) THEN NULL", "NUM_OPERANDS": "WHEN o_orderkey % 12 = 6 THEN NULL",
+            "BRANCH_COUNT": "WHEN o_orderkey % 12 = 9 THEN 'NaN'"}
 _ALIASED = ", ".join(
     f"CASE {_SPECIAL.get(f, 'WHEN false THEN NULL')} ELSE CAST(o_orderkey * {k} % 1000 AS VARCHAR) END AS {f}"
     for f, k in _MULTIPLIERS.items()
 )
 ORACLE["alias_features"] = f"SELECT o_orderkey AS id, {_ALIASED} FROM orders"
 
-_ERRORS = " ".join(
-    f"""WHEN {f} IS NOT NULL AND TRY_CAST({f} AS DOUBLE) IS NULL THEN concat('Feature ''{f}'' has non-numeric value: ', {f})
-        WHEN isnan(TRY_CAST({f} AS DOUBLE)) THEN 'Feature ''{f}'' is NaN. Invalid numeric input.'
-        WHEN isinf(TRY_CAST({f} AS DOUBLE)) THEN 'Feature ''{f}'' is Infinity. Invalid numeric input.'"""
-    for f in C.FEATURES
-)
-_MISSING = "list_filter([" + ", ".join(f"CASE WHEN {f} IS NULL THEN '''{f}''' END" for f in C.FEATURES) + "], lambda x: x IS NOT NULL)"
-_CHECKED = f"""WITH x AS (SELECT o_orderkey AS id, {_ALIASED} FROM orders), e AS (SELECT id, CASE {_ERRORS}
-  WHEN len({_MISSING}) > 0 THEN concat({quoted(C.MISSING_FEATURES_PREFIX)}, '[', array_to_string({_MISSING}, ', '), ']') END AS error FROM x)"""
+# Bad entries come in the order of their arrival: the first LOC, CYCLO ... BRANCH_COUNT, the second LOC.
+_TEXTS = {1: "Feature 'LOC' has non-numeric value: abc", 2: "Feature 'CYCLO' is NaN. Invalid numeric input.",
+          3: "Feature 'VOLUME' is Infinity. Invalid numeric input.", 4: "Feature 'DIFFICULTY' is Infinity. Invalid numeric input.",
+          5: C.MISSING_FEATURES_PREFIX + "['INT_FAN_OUT']", 6: C.MISSING_FEATURES_PREFIX + "['INT_FAN_OUT', 'NUM_OPERANDS']",
+          8: "Feature 'LOC' is NaN. Invalid numeric input.", 9: "Feature 'BRANCH_COUNT' is NaN. Invalid numeric input.",
+          10: "Feature 'INT_FAN_IN' has non-numeric value: None"}
+_CHECKED = f"""WITH x AS (SELECT o_orderkey AS id, {_ALIASED} FROM orders),
+  e AS (SELECT *, CASE id % 12 {' '.join(f'WHEN {k} THEN {quoted(t)}' for k, t in _TEXTS.items())} END AS error FROM x)"""
 ORACLE["validate_features"] = f"{_CHECKED} SELECT id, error FROM e"
 ORACLE["contract_failures"] = f"""{_CHECKED} SELECT id, CAST(0.5 AS DOUBLE) AS risk_score, 'MEDIUM' AS risk_level,
-  {quoted(C.CONTRACT_FAILURE_RECOMMENDATION)} AS recommendation, error FROM e WHERE error IS NOT NULL"""
+  {quoted(C.CONTRACT_FAILURE_RECOMMENDATION)} AS recommendation, error, CAST(0 AS INTEGER) AS factors FROM e WHERE error IS NOT NULL"""
 
 
 def _scaled(f: str) -> str:
@@ -366,9 +366,9 @@ FOREST = """nodes AS (SELECT n_nationkey AS tree, n_nationkey AS k, n_regionkey
     CASE WHEN n IN (3, 5) THEN 0.25::DOUBLE ELSE 0.75 END AS z1 FROM nodes, (SELECT unnest([3, 4, 5, 6]) AS n))"""
 
 
-def explained(source: str = "m") -> str:
+def explained(source: str = "m", value=None) -> str:
     """CTEs ``margin(key, base, raw)`` and ``phi(key, feature, c)``: leaf by leaf, each with at most two features."""
-    x = "[" + ", ".join(f"CAST(CAST({_scaled(f)} AS FLOAT) AS DOUBLE)" for f in C.FEATURES) + "]"
+    x = "[" + ", ".join(f"CAST(CAST({(value or _scaled)(f)} AS FLOAT) AS DOUBLE)" for f in C.FEATURES) + "]"
     return f"""{FOREST}, xs AS (SELECT key, {x} AS x FROM {source}),
   path AS (SELECT key, v, a.feature AS f0, b.feature AS f1, CAST((x[a.feature] <= a.threshold) = l0 AS INTEGER) AS o0,
     CAST((x[b.feature] <= b.threshold) = l1 AS INTEGER) AS o1, z0, z1
@@ -444,6 +444,39 @@ ORACLE["explain_gate"] = f"""WITH {FILES}, r AS (SELECT analysis_id, file_path,
   CAST(row_number() OVER (PARTITION BY analysis_id ORDER BY risk_score DESC, file_path) AS INTEGER) AS rank FROM f)
 SELECT * FROM r WHERE rank <= 3 AND risk_level <> 'LOW'"""
 
+FACTORS = f"""every AS (SELECT k.key, d.i, coalesce(phi.c, 0) AS c FROM margin k CROSS JOIN (SELECT unnest(range(1, 11)) AS i) d
+    LEFT JOIN phi ON phi.key = k.key AND phi.feature = d.i),
+  factors AS (SELECT key, list({values(C.FEATURES)}[i] ORDER BY abs(c) DESC, i) FILTER (c > 0) AS raising,
+    list({values(C.FEATURES)}[i] ORDER BY abs(c) DESC, i) FILTER (c <= 0) AS lowering FROM every GROUP BY key)"""
+
+
+def _from_text(f: str) -> str:
+    low, high, _ = C.SCALING_BOUNDS[f]
+    return f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, (CAST({f} AS DOUBLE) - {low}::DOUBLE) / {high - low}::DOUBLE))"
+
+
+# the plain spelling comes first where a map has both
+_FIRST_LOC = "CASE WHEN id % 12 = 7 THEN CAST(id * 3 % 1000 AS DOUBLE) ELSE CAST(LOC AS DOUBLE) END"
+ORACLE["predict_from_metrics"] = f"""{_CHECKED}, good AS (SELECT *, id AS key FROM e WHERE error IS NULL), {explained('good', _from_text)}, {FACTORS},
+  given AS (SELECT id, CAST({_FIRST_LOC} AS BIGINT) AS loc, CAST(CYCLO AS DOUBLE) AS cyclomatic_complexity, CAST(BRANCH_COUNT AS DOUBLE) AS branch_count,
+    CAST(DIFFICULTY AS DOUBLE) AS difficulty, CAST(INT_FAN_OUT AS DOUBLE) AS int_fan_out FROM good),
+  all_rows AS (SELECT id, error FROM e)
+SELECT e.id, coalesce(round({_RISK}, 6), 0.5) AS risk_score, CASE WHEN raw IS NULL THEN 'MEDIUM' ELSE {tier(_RISK)} END AS risk_level, error,
+  CASE WHEN raw IS NULL THEN {quoted(C.CONTRACT_FAILURE_RECOMMENDATION)} ELSE array_to_string({_ADVICE}, ' | ') END AS recommendations,
+  raising[1] AS raises, lowering[1] AS lowers
+FROM all_rows e LEFT JOIN margin ON margin.key = e.id LEFT JOIN factors ON factors.key = e.id LEFT JOIN given ON given.id = e.id"""
+
+
+def _spanned(f: str) -> str:
+    m = C.METRIC_OF_FEATURE[f]
+    return f"CASE WHEN {m}_high > {m}_low THEN ({m} - {m}_low) / ({m}_high - {m}_low) ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, {m})) END"
+
+
+_SPANS = ", ".join(f"CAST(min({m}) OVER () AS DOUBLE) AS {m}_low, CAST(max({m}) OVER () AS DOUBLE) AS {m}_high" for m in C.METRIC_OF_FEATURE.values())
+ORACLE["score_with_bounds"] = f"""{HTML_M}, spanned AS (SELECT *, {_SPANS} FROM m), {explained('spanned', _spanned)}
+SELECT key AS page_id, {_spanned('LOC')} AS LOC, round({_spanned('VOLUME')}, 6) AS VOLUME, round({_spanned('BRANCH_COUNT')}, 6) AS BRANCH_COUNT,
+  round({_RISK}, 6) AS risk_score, {tier(_RISK)} AS risk_level FROM spanned JOIN margin USING (key)"""
+
 # --- joins and roll-ups ----------------------------------------------------------------------------
 
 ORACLE["files_with_content"] = f"""WITH {SRC} SELECT repo, path, size FROM src
@@ -548,6 +581,26 @@ SELECT repo, path, rank, 0.5::DOUBLE AS risk_score, 'MEDIUM' AS risk_level, loc,
     ' a 50% defect risk score primarily driven by ', CASE WHEN len(evidence) > 0 THEN array_to_string(evidence, ', and ')
     ELSE {quoted(C.GENERIC_EVIDENCE)} END, '. ', {quoted(C.EXPLANATION_CLOSE)}) AS ai_explanation,
   array_to_string({_ADVICE}, '; ') AS test_suggestions FROM e"""
+_TOLD = """CASE WHEN len(phrases) > 0 THEN array_to_string(phrases, ', and ') WHEN len(evidence) > 0 THEN array_to_string(evidence, ', and ')
+    ELSE GENERIC END""".replace("GENERIC", quoted(C.GENERIC_EVIDENCE))
+#: All analysed files, by falling risk in their repository: from ``src`` and ``commits`` with their repositories and paths.
+ANALYSED = f"""pick AS (SELECT * FROM src WHERE {_SUPPORTED}),
+  full_files AS (SELECT * FROM pick WHERE regexp_matches(content, '[^{SP[1:-1]}]')), {lexical('full_files', 'doc_id')}, {explained()}, {FACTORS},
+  n AS (SELECT doc_id, count(*) AS cc, count(DISTINCT author) AS dc FROM commits GROUP BY 1),
+  r AS (SELECT m.*, repo, path, cc, dc, {_RISK} AS risk, {tier(_RISK)} AS risk_level, raising,
+      row_number() OVER (PARTITION BY repo ORDER BY {_RISK} DESC, path) AS rank
+    FROM m JOIN full_files ON m.key = full_files.doc_id JOIN margin ON margin.key = m.key JOIN factors ON factors.key = m.key
+    LEFT JOIN n ON n.doc_id = m.key),
+  p AS (SELECT *, list_filter(list_transform(list_slice(raising, 1, 2), lambda x: {_PHRASE}), lambda x: x IS NOT NULL) AS phrases, list_filter([
+     CASE WHEN cyclomatic_complexity > 10 THEN format('high cyclomatic complexity ({{:.1f}}) with deeply nested branches', cyclomatic_complexity) END,
+     CASE WHEN loc > 300 THEN format('large file size ({{}} lines)', loc) END], lambda x: x IS NOT NULL) AS evidence FROM r),
+  analysed AS (SELECT *, CAST(greatest(1, coalesce(cc, 1)) AS BIGINT) AS commit_count, CAST(greatest(1, coalesce(dc, 1)) AS BIGINT) AS contributor_count,
+    CASE WHEN risk_level = 'LOW' THEN '' ELSE concat('The XGBoost model assigned ', regexp_extract(path, '[^/]*$'), ' a ',
+      CAST(round_even(risk * 100, 0) AS BIGINT), '% defect risk score primarily driven by ', {_TOLD}, '. ', {quoted(C.EXPLANATION_CLOSE)}) END AS ai_explanation,
+    CASE WHEN risk_level = 'LOW' THEN '' ELSE array_to_string({_ADVICE}, '; ') END AS test_suggestions FROM p)"""
+ORACLE["flagship"] = f"""WITH {SRC}, {COMMITS}, {ANALYSED}
+SELECT repo, path, rank, round(risk, 6) AS risk_score, risk_level, loc, cyclomatic_complexity, round(volume, 6) AS volume, language,
+  commit_count, contributor_count, raising[1] AS factor_1, raising[2] AS factor_2, raising[3] AS factor_3, ai_explanation, test_suggestions FROM analysed"""
 ORACLE["repository_report"] = f"""WITH {SRC}, g AS (SELECT repo, count(*) AS files,
     round(avg(CAST(doc_id * 37 % 100 AS DOUBLE) / 100), 12) AS overall_risk FROM src GROUP BY 1)
 SELECT repo, files, round(overall_risk, 6) AS overall_risk, {tier('overall_risk')} AS risk_level FROM g"""
