@@ -104,11 +104,11 @@ def hot_directories(files: DataFrame) -> DataFrame:
 
 
 def churn_counts(commits: DataFrame, key: list[str] = FILE_KEYS) -> DataFrame:
-    """Commits and distinct authors per file, at least 1 each. Summed per author first."""
+    """Commits and distinct authors per file, at least 1 each. Summed per author first; no author is nobody."""
     per_author = with_author(commits).groupBy(*key, "author").agg(F.count("*").alias("_n"))
     return per_author.groupBy(*key).agg(
         F.greatest(F.lit(1).cast("bigint"), F.sum("_n")).alias("commit_count"),
-        F.greatest(F.lit(1).cast("bigint"), F.count("*")).alias("contributor_count"),
+        F.greatest(F.lit(1).cast("bigint"), F.count("author")).alias("contributor_count"),
     )
 
 

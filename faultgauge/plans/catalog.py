@@ -8,9 +8,9 @@ from faultgauge import constants as C
 from faultgauge.functions import lexical, paths
 from faultgauge.operators import contract, evaluate, filters, metrics, rollup, scoring, shap, train
 from faultgauge.operators.topk import top_k
-from faultgauge.plans import analyze, models, training
+from faultgauge.plans import analyze, models, service, training
 from faultgauge.session import new_path
-from faultgauge.sources import artifacts, fixtures as X, repos, stored
+from faultgauge.sources import artifacts, fixtures as X, repos, snapshots, stored
 
 QUERIES: dict = {}
 
@@ -112,15 +112,15 @@ def model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def persist_analysis(spark: SparkSession, sf: str) -> DataFrame:
-    """Analyses and files appended to dated tables and read back."""
+    """Analyses and files stored as one batch and read back."""
     folder = new_path(spark, "stored")
     analyses = X.analyses(spark, sf).drop("created_at")
     risk = F.when(F.col("analysis_id") % 10 != 0, F.col("overall_risk"))
     level = F.when(F.col("analysis_id") % 10 != 0, F.col("risk_level"))
     files = X.analysis_files(spark, sf).select("analysis_id", "file_path", "risk_score", "risk_level", "metrics")
     stored.persist(analyses.withColumn("overall_risk", risk).withColumn("risk_level", level), files, folder)
-    parents = spark.read.parquet(f"{folder}/analyses")
-    children = spark.read.parquet(f"{folder}/analysis_files").groupBy("analysis_id").agg(F.count("*").alias("files"))
+    parents = snapshots.read(spark, folder, "analyses")
+    children = snapshots.read(spark, folder, "analysis_files").groupBy("analysis_id").agg(F.count("*").alias("files"))
     return parents.join(children, "analysis_id", "left").select(
         "analysis_id", "user_id", r6("overall_risk").alias("overall_risk"), "risk_level", "files"
     )
@@ -180,19 +180,57 @@ def unique_insert(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows left in each table after every seventh user is deleted."""
-    users = X.users(spark, sf)
-    gone = users.filter(F.col("user_id") % 7 == 0).select("user_id")
-    left = stored.cascade_delete(users, X.analyses(spark, sf), X.analysis_files(spark, sf), gone)
-    names = ("users", "analyses", "analysis_files")
-    ids = ("user_id", "analysis_id", "analysis_id")
+    """Rows left in each stored table after every seventh user is deleted; analyses lie in two batches."""
+    folder = new_path(spark, "stored")
+    users, analyses, files = X.users(spark, sf), X.analyses(spark, sf).drop("created_at"), X.analysis_files(spark, sf)
+    people = snapshots.Batch("people", 1, ("users",))
+    snapshots.write({"users": users}, folder, people)
+    snapshots.publish(spark, folder, [people])
+    for odd in (0, 1):
+        stored.persist(analyses.filter(F.col("analysis_id") % 2 == odd), files.filter(F.col("analysis_id") % 2 == odd), folder, f"half-{odd}")
+    stored.delete_users(spark, folder, users.filter(F.col("user_id") % 7 == 0).select("user_id"))
     counts = [
-        df.agg(F.lit(n).alias("table_name"), F.count("*").alias("rows_left"), F.sum(i).alias("id_sum"))
-        for df, n, i in zip(left, names, ids)
+        snapshots.read(spark, folder, n).agg(F.lit(n).alias("table_name"), F.count("*").alias("rows_left"), F.sum(i).alias("id_sum"))
+        for n, i in (("users", "user_id"), ("analyses", "analysis_id"), ("analysis_files", "analysis_id"))
     ]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
+_stored_folders: dict[tuple[str, str], str] = {}
+
+
+def stored_folder(spark: SparkSession, sf: str) -> str:
+    """The job from addresses to stored results, run once in a session for each set of tables."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _stored_folders:
+        folder = new_path(spark, "service")
+        commits = X.file_commits(spark, sf).withColumn("repo", X.owned_name())
+        service.analyze_and_store(X.requests(spark, sf), X.listed_files(spark, sf), commits, *models.given_forest(spark, sf), folder)
+        _stored_folders[key] = folder
+    return _stored_folders[key]
+
+
+@query
+def analyze_and_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Requested addresses to stored analyses and files, read back together."""
+    folder = stored_folder(spark, sf)
+    parents = snapshots.read(spark, folder, "analyses").select(
+        F.col("row_id").alias("parent_row_id"), "repository_name", r6("overall_risk").alias("overall_risk"), F.col("risk_level").alias("repository_level")
+    )
+    children = snapshots.read(spark, folder, "analysis_files")
+    return children.join(parents, "parent_row_id").select(
+        "analysis_id", "repository_name", "overall_risk", "repository_level", "file_path", "rank", r6("risk_score").alias("risk_score"), "risk_level",
+        "metrics.commit_count", "metrics.contributor_count", "ai_explanation", "test_suggestions",
+    )
+
+
+@query
+def repository_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcome of every request, as stored."""
+    out = snapshots.read(spark, stored_folder(spark, sf), "requests")
+    return out.withColumn("overall_risk", r6("overall_risk"))
+
+
 # --- filters --------------------------------------------------------------------------------------
 
 

@@ -47,7 +47,7 @@ BLANKS = f"""src0 AS (SELECT doc_id, source AS repo,
     concat('void/', CASE WHEN k % 11 = 0 THEN '' ELSE concat('d', k % 7, '/') END, 'f', k, '.', {EXT}[k % 13 + 1]), {_BLANK} FROM v)"""
 HTML = "html_files AS (SELECT page_id, url AS path, html AS content FROM pages)"
 COMMITS = """commits AS (SELECT event_id, event_id % (SELECT count(*) FROM documents) AS doc_id,
-  CASE WHEN event_id % 13 = 0 OR user_id IS NULL THEN 'unknown' ELSE concat(user_id, '@example.org') END AS author FROM events)"""
+  CASE WHEN event_id % 13 = 0 THEN NULL WHEN user_id IS NULL THEN 'unknown' ELSE concat(user_id, '@example.org') END AS author FROM events)"""
 USERS = """u AS (SELECT c_custkey AS user_id, concat(lower(c_mktsegment), '.', c_custkey % 400, '@example.com') AS email,
   c_name AS name FROM customer)"""
 ANALYSES = f"""a0 AS (SELECT o_orderkey AS analysis_id, o_custkey AS user_id,
@@ -482,10 +482,10 @@ SELECT key AS page_id, {_spanned('LOC')} AS LOC, round({_spanned('VOLUME')}, 6)
 ORACLE["files_with_content"] = f"""WITH {SRC} SELECT repo, path, size FROM src
 WHERE doc_id % 4 <> 0 AND regexp_matches(content, '[^{SP[1:-1]}]')"""
 
-ORACLE["churn_counts"] = f"""WITH {SRC}, {COMMITS} SELECT repo, path, count(*) AS commit_count, count(DISTINCT author) AS contributor_count
+ORACLE["churn_counts"] = f"""WITH {SRC}, {COMMITS} SELECT repo, path, count(*) AS commit_count, greatest(1, count(DISTINCT author)) AS contributor_count
 FROM commits JOIN src USING (doc_id) GROUP BY 1, 2"""
 
-ORACLE["churn_enrich"] = f"""WITH {SRC}, {COMMITS}, n AS (SELECT doc_id, count(*) AS cc, count(DISTINCT author) AS dc FROM commits GROUP BY 1),
+ORACLE["churn_enrich"] = f"""WITH {SRC}, {COMMITS}, n AS (SELECT doc_id, count(*) AS cc, greatest(1, count(DISTINCT author)) AS dc FROM commits GROUP BY 1),
 r AS (SELECT repo, path, doc_id, row_number() OVER (PARTITION BY repo ORDER BY doc_id * 37 % 100 / 100 DESC, path) AS rank FROM src)
 SELECT repo, path, rank, CAST(CASE WHEN rank <= 5 THEN coalesce(cc, 1) ELSE 1 END AS BIGINT) AS commit_count,
   CAST(CASE WHEN rank <= 5 THEN coalesce(dc, 1) ELSE 1 END AS BIGINT) AS contributor_count FROM r LEFT JOIN n USING (doc_id)"""
@@ -568,7 +568,7 @@ ORACLE["report_all_files"] = f"""WITH {FILES} SELECT analysis_id, file_path, ris
   coalesce(floor(complexity * 10 + 0.5) / 10, 0) AS complexity, coalesce(commit_count, 0) AS commits FROM f"""
 ORACLE["file_report"] = f"""WITH {SRC}, {COMMITS}, pick AS (SELECT * FROM src WHERE {_SUPPORTED}),
   full_files AS (SELECT * FROM pick WHERE regexp_matches(content, '[^{SP[1:-1]}]')), {lexical('full_files', 'doc_id')},
-  n AS (SELECT doc_id, count(*) AS cc, count(DISTINCT author) AS dc FROM commits GROUP BY 1),
+  n AS (SELECT doc_id, count(*) AS cc, greatest(1, count(DISTINCT author)) AS dc FROM commits GROUP BY 1),
   r AS (SELECT m.*, repo, path, cc, dc, row_number() OVER (PARTITION BY repo ORDER BY path) AS rank
     FROM m JOIN full_files ON key = full_files.doc_id LEFT JOIN n ON n.doc_id = key),
   e AS (SELECT *, list_filter([
@@ -586,7 +586,7 @@ _TOLD = """CASE WHEN len(phrases) > 0 THEN array_to_string(phrases, ', and ') WH
 #: All analysed files, by falling risk in their repository: from ``src`` and ``commits`` with their repositories and paths.
 ANALYSED = f"""pick AS (SELECT * FROM src WHERE {_SUPPORTED}),
   full_files AS (SELECT * FROM pick WHERE regexp_matches(content, '[^{SP[1:-1]}]')), {lexical('full_files', 'doc_id')}, {explained()}, {FACTORS},
-  n AS (SELECT doc_id, count(*) AS cc, count(DISTINCT author) AS dc FROM commits GROUP BY 1),
+  n AS (SELECT doc_id, count(*) AS cc, greatest(1, count(DISTINCT author)) AS dc FROM commits GROUP BY 1),
   r AS (SELECT m.*, repo, path, cc, dc, {_RISK} AS risk, {tier(_RISK)} AS risk_level, raising,
       row_number() OVER (PARTITION BY repo ORDER BY {_RISK} DESC, path) AS rank
     FROM m JOIN full_files ON m.key = full_files.doc_id JOIN margin ON margin.key = m.key JOIN factors ON factors.key = m.key
@@ -601,6 +601,27 @@ ANALYSED = f"""pick AS (SELECT * FROM src WHERE {_SUPPORTED}),
 ORACLE["flagship"] = f"""WITH {SRC}, {COMMITS}, {ANALYSED}
 SELECT repo, path, rank, round(risk, 6) AS risk_score, risk_level, loc, cyclomatic_complexity, round(volume, 6) AS volume, language,
   commit_count, contributor_count, raising[1] AS factor_1, raising[2] AS factor_2, raising[3] AS factor_3, ai_explanation, test_suggestions FROM analysed"""
+_REQUESTS = f"""rq AS (SELECT n_nationkey AS analysis_id, n_regionkey AS user_id, CASE WHEN n_nationkey = 21 THEN 'src0' ELSE concat('src', n_nationkey) END AS name,
+    CASE WHEN n_nationkey % 6 = 0 THEN concat('https://github.com/own/src', n_nationkey) WHEN n_nationkey % 6 = 1 THEN concat('own/src', n_nationkey, '.git')
+      WHEN n_nationkey % 6 = 2 THEN concat('github.com/own/src', n_nationkey) WHEN n_nationkey = 15 THEN 'nothing' WHEN n_nationkey = 21 THEN 'own/src0'
+      ELSE concat('own/src', n_nationkey) END AS url FROM nation),
+  whole AS (SELECT doc_id, repo, CASE WHEN repo = 'src9' THEN path || '.xyz' ELSE path END AS path,
+    CASE WHEN repo = 'src7' THEN {_BLANK} ELSE content END AS content FROM src_all),
+  src AS (SELECT * FROM whole WHERE repo IN (SELECT name FROM rq WHERE analysis_id <> 15)),
+  {COMMITS}, {ANALYSED},
+  g AS (SELECT repo, count(*) AS files, round(avg(risk), 12) AS overall_risk FROM analysed GROUP BY 1),
+  listed AS (SELECT repo, count_if({_SUPPORTED}) AS supported FROM src GROUP BY 1),
+  results AS (SELECT analysis_id, user_id, url, CASE WHEN analysis_id <> 15 THEN concat('own/', name) END AS repository_name,
+    round(CASE WHEN analysis_id <> 15 THEN overall_risk END, 6) AS overall_risk, CASE WHEN analysis_id <> 15 AND overall_risk IS NOT NULL THEN {tier('overall_risk')} END AS risk_level,
+    CAST(CASE WHEN analysis_id <> 15 THEN coalesce(files, 0) ELSE 0 END AS BIGINT) AS files,
+    CASE WHEN analysis_id = 15 THEN 'Invalid repository address: nothing' WHEN coalesce(supported, 0) = 0 THEN {quoted(C.NO_SUPPORTED_FILES)}
+      WHEN files IS NULL THEN {quoted(C.ALL_FILES_EMPTY)} END AS error
+    FROM rq LEFT JOIN g ON g.repo = name LEFT JOIN listed ON listed.repo = name)"""
+_SERVED = f"WITH {SRC.replace('src AS', 'src_all AS', 1)}, {_REQUESTS}"
+ORACLE["repository_results"] = f"{_SERVED} SELECT * FROM results"
+ORACLE["analyze_and_store"] = f"""{_SERVED} SELECT analysis_id, repository_name, overall_risk, results.risk_level AS repository_level, path AS file_path, rank,
+  round(risk, 6) AS risk_score, analysed.risk_level, commit_count, contributor_count, ai_explanation, test_suggestions
+FROM results JOIN analysed ON concat('own/', repo) = repository_name WHERE error IS NULL"""
 ORACLE["repository_report"] = f"""WITH {SRC}, g AS (SELECT repo, count(*) AS files,
     round(avg(CAST(doc_id * 37 % 100 AS DOUBLE) / 100), 12) AS overall_risk FROM src GROUP BY 1)
 SELECT repo, files, round(overall_risk, 6) AS overall_risk, {tier('overall_risk')} AS risk_level FROM g"""

@@ -138,6 +138,30 @@ def labelled_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.join(labels, "doc_id").withColumn("path", F.lit(""))
 
 
+def owned_name() -> Column:
+    return F.concat(F.lit("own/"), F.col("repo"))
+
+
+def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``src_files`` under the names that requests give; one repository holds white space, one no supported file."""
+    files = src_files(spark, sf_dir)
+    return files.withColumns({
+        "repo": owned_name(), "content": F.when(F.col("repo") == "src7", BLANK_TEXT).otherwise(F.col("content")),
+        "path": F.when(F.col("repo") == "src9", F.concat("path", F.lit(".xyz"))).otherwise(F.col("path")),
+    })
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``analysis_id, user_id, url``: a request for each nation; some name repositories that are not listed, or none."""
+    k = F.col("n_nationkey")
+    name = F.concat(F.lit("own/src"), k.cast("string"))
+    url = (
+        F.when(k % 6 == 0, F.concat(F.lit("https://github.com/"), name)).when(k % 6 == 1, F.concat(name, F.lit(".git")))
+        .when(k % 6 == 2, F.concat(F.lit("github.com/"), name)).when(k == 15, "nothing").when(k == 21, "own/src0").otherwise(name)
+    )
+    return table(spark, sf_dir, "nation").select(k.alias("analysis_id"), F.col("n_regionkey").alias("user_id"), url.alias("url"))
+
+
 def forest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A forest of the shape that training writes: a tree of two splits in a row for each nation.
 

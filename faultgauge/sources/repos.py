@@ -12,14 +12,14 @@ TREE_SCHEMA = "repo string, path string, size bigint"
 
 
 def parse_repo_url(requests: DataFrame, url: str = "url") -> DataFrame:
-    """Add ``owner`` and ``repo``, or ``error`` for an address that has not both."""
+    """Add ``owner`` and ``repo``, or ``error`` for an address that has not both, or is not there."""
     parts = F.col("_parts")
-    ok = F.size(parts) >= 2
+    ok = F.coalesce(F.size(parts) >= 2, F.lit(False))
     return (
         requests.withColumn("_parts", paths.repository_parts(F.col(url)))
         .withColumn("owner", F.when(ok, F.get(parts, F.lit(0))))
         .withColumn("repo", F.when(ok, F.regexp_replace(F.get(parts, F.lit(1)), r"\.git\z", "")))
-        .withColumn("error", F.when(~ok, F.concat(F.lit("Invalid repository address: "), F.col(url))))
+        .withColumn("error", F.when(~ok, F.concat(F.lit("Invalid repository address: "), F.coalesce(F.col(url), F.lit("")))))
         .drop("_parts")
     )
 
@@ -65,8 +65,11 @@ FILE_KEYS = ["repo", "path"]
 
 
 def with_author(commits: DataFrame) -> DataFrame:
-    """Add ``author``, the email in the nested ``commit``; a commit without one is by ``unknown``."""
-    return commits.withColumn("author", F.coalesce(F.col("commit.author.email"), F.lit("unknown")))
+    """Add ``author``, the email in the nested ``commit``.
+
+    An author without an email is ``unknown``; a commit without an author has none.
+    """
+    return commits.withColumn("author", F.when(F.col("commit.author").isNotNull(), F.coalesce("commit.author.email", F.lit("unknown"))))
 
 
 def commit_scan(listing: DataFrame, commits: DataFrame, key: list[str] = FILE_KEYS) -> DataFrame:

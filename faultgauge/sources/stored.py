@@ -2,30 +2,38 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from faultgauge.sources import snapshots
 
 ANALYSIS_DEFAULTS = {"overall_risk": 0.0, "risk_level": "LOW"}
 FILE_DEFAULTS = {"risk_score": 0.0, "risk_level": "LOW"}
 
 
-def persist(analyses: DataFrame, files: DataFrame, folder: str) -> None:
-    """Append analyses, then their files, with defaults for what is not given.
+def persist(analyses: DataFrame, files: DataFrame, folder: str, batch: str | None = None, others: dict[str, DataFrame] | None = None) -> str:
+    """Store analyses and their files, and other tables of the same job, as one batch; returns its name.
 
-    Each analysis gets an id of its own (``row_id``); its files, given by ``analysis_id``, take that id from the
-    written analyses as ``parent_row_id``. Both tables carry the time of the call and are cut by its date.
-    The two writes commit one after the other; files of an analysis that was not written are not kept.
+    What is not given gets its default. Each analysis gets an id of its own (``row_id``); its files, given by
+    ``analysis_id``, take that id from the written analyses as ``parent_row_id``; files of an analysis that is not
+    there are not kept. All tables become visible together; a job that is repeated under the same name before it was
+    published replaces what it left, and a published batch is refused.
     """
     spark = analyses.sparkSession
     now = datetime.now(timezone.utc)
-    parents = _stamp(analyses.fillna(ANALYSIS_DEFAULTS), now)
-    parents.write.mode("append").partitionBy("created_date").parquet(f"{folder}/analyses")
+    batch = batch or f"{now:%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:12]}"
+    if batch in {b.name for b in snapshots.live(spark, folder)}:
+        raise ValueError(f"batch {batch!r} is published already")
+    one = snapshots.Batch(batch, 1, ("analyses", "analysis_files", *(others or {})))
+    snapshots.write({"analyses": _stamp(analyses.fillna(ANALYSIS_DEFAULTS), now)}, folder, one)
     # read back: an id that is drawn again by a repeated task is not the one that was written
-    drawn = spark.read.parquet(f"{folder}/analyses").filter(F.col("created_at") == F.lit(now))
-    ids = drawn.select("analysis_id", F.col("row_id").alias("parent_row_id"))
-    children = _stamp(files.fillna(FILE_DEFAULTS), now).join(ids, "analysis_id")
-    children.write.mode("append").partitionBy("created_date").parquet(f"{folder}/analysis_files")
+    drawn = spark.read.parquet(one.path(folder, "analyses")).select("analysis_id", F.col("row_id").alias("parent_row_id"))
+    children = _stamp(files.fillna(FILE_DEFAULTS), now).join(drawn, "analysis_id")
+    snapshots.write({"analysis_files": children, **(others or {})}, folder, one)
+    snapshots.publish(spark, folder, [one])
+    return batch
 
 
 def _stamp(rows: DataFrame, now: datetime) -> DataFrame:
@@ -70,6 +78,33 @@ def cascade_delete(
     return kept_users, kept_analyses, kept_files
 
 
+def delete_users(spark: SparkSession, folder: str, deleted: DataFrame) -> list[str]:
+    """Delete ``deleted(user_id)`` with their analyses and files; returns the names of the batches that were rewritten.
+
+    Only batches that hold something to delete are written again, as a new generation; the others keep their files.
+    One manifest switches all of them over.
+    """
+    changed = []
+    for batch in snapshots.live(spark, folder):
+        of = lambda table: snapshots.read(spark, folder, table, [batch])  # noqa: E731, B023
+        tables = {}
+        if "users" in batch.tables:
+            tables["users"] = of("users").join(deleted, "user_id", "left_anti"), of("users").join(deleted, "user_id", "left_semi")
+        if "analyses" in batch.tables:
+            gone = of("analyses").join(deleted, "user_id", "left_semi")
+            tables["analyses"] = of("analyses").join(deleted, "user_id", "left_anti"), gone
+            tables["analysis_files"] = of("analysis_files").join(gone.select("analysis_id"), "analysis_id", "left_anti"), gone
+        if all(gone.isEmpty() for _, gone in tables.values()):
+            continue
+        new = snapshots.Batch(batch.name, batch.generation + 1, batch.tables)
+        kept = {name: of(name) for name in batch.tables if name not in tables}
+        snapshots.write({**kept, **{name: left for name, (left, _) in tables.items()}}, folder, new)
+        changed.append(new)
+    if changed:
+        snapshots.publish(spark, folder, changed)
+    return [b.name for b in changed]
+
+
 def orphans(files: DataFrame, analyses: DataFrame) -> DataFrame:
     """Files whose analysis does not exist."""
     return files.join(analyses.select("analysis_id"), "analysis_id", "left_anti")
