@@ -17,25 +17,35 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultgauge import constants as C
 from faultgauge.operators import contract, evaluate
+from faultgauge.operators.fits import FitStore, frame_digest
 from faultgauge.operators.metrics import file_metrics
 from faultgauge.operators.topk import hash_ranks
 from faultgauge.session import materialise
 
 KEY, LABEL = "doc_id", "label"
-ROWS_PER_PARTITION = 100_000
+PARTITIONS = 8
 
 
-def training_frame(labelled: DataFrame) -> DataFrame:
+def dealt(frame: DataFrame, partitions: int = PARTITIONS) -> DataFrame:
+    """The rows in so many partitions, by key and in order, checkpointed: fits draw the same rows from them each time."""
+    return materialise(frame.repartition(partitions, KEY).sortWithinPartitions(KEY))
+
+
+def training_frame(labelled: DataFrame, partitions: int = PARTITIONS) -> DataFrame:
     """Scaled features of labelled files; measured once and checkpointed, since every fit reads them.
 
-    The result is narrow. It is cut into as many partitions as its row count asks for, so that a
-    small frame does not run hundreds of near-empty tasks per tree level and a large one keeps its
-    parallelism.
+    The result is narrow. Every tree level is a job over its ``partitions``: few for a small frame, as many as there
+    are cores for one that fills them.
     """
     measured = contract.contract_row(file_metrics(labelled)).filter(F.col("error").isNull())
-    frame = materialise(measured.select(KEY, LABEL, *C.FEATURES))
-    partitions = max(1, min(frame.rdd.getNumPartitions(), -(-frame.count() // ROWS_PER_PARTITION)))
-    return frame.coalesce(partitions)
+    return dealt(measured.select(KEY, LABEL, *C.FEATURES), partitions)
+
+
+def development_folds(frame: DataFrame, partitions: int = PARTITIONS) -> tuple[DataFrame, DataFrame]:
+    """The development part cut into folds, and the held-out part; all comparisons and choices use the first alone."""
+    parts = materialise(evaluate.stratified_split(frame, KEY, LABEL))
+    dev, test = (parts.filter(F.col("part") == p).drop("part") for p in ("dev", "test"))
+    return dealt(evaluate.stratified_folds(dev, KEY, LABEL), partitions), test
 
 
 def with_weights(train: DataFrame, balanced: bool = False, positive: float = 1.0) -> DataFrame:
@@ -79,6 +89,7 @@ class Boosted:
 class Forest:
     def __init__(self, depth: int = 3, balanced: bool = False, trees: int = 100):
         self.depth, self.balanced, self.trees = depth, balanced, trees
+        self.key = ("forest", depth, balanced, trees)
 
     def fit(self, train: DataFrame):
         estimator = RandomForestClassifier(
@@ -93,6 +104,7 @@ class Logistic:
 
     def __init__(self, balanced: bool = False):
         self.balanced = balanced
+        self.key = ("logistic", balanced)
 
     def fit(self, train: DataFrame):
         n = train.count()
@@ -104,6 +116,8 @@ class Logistic:
 class Majority:
     """Scores 1 or 0 for the class that most training rows have."""
 
+    key = ("majority",)
+
     def fit(self, train: DataFrame):
         share = train.agg(F.avg(LABEL)).first()[0] or 0.0
         return lambda rows: rows.withColumn("score", F.lit(1.0 if share > 0.5 else 0.0)), None
@@ -112,6 +126,8 @@ class Majority:
 class RandomGuess:
     """Scores 1 with the training rate, by an even hash of the row key."""
 
+    key = ("random", C.SEED)
+
     def fit(self, train: DataFrame):
         share = train.agg(F.avg(LABEL)).first()[0] or 0.0
         return lambda rows: rows.withColumn("score", (uniform(C.SEED, F.col(KEY)) < share).cast("double")), None
@@ -147,36 +163,33 @@ def boosted_grid(share: float = 1.0) -> dict[str, Boosted]:
     return {name: Boosted(c, share=share) for name, c in {**C.BOOSTED_CONFIGS, **C.RECORDED_CONFIGS}.items()}
 
 
-def out_of_fold(folded: DataFrame, models: dict[str, object], fits: dict | None = None, threads: int = 8) -> DataFrame:
-    """Scores of every row by the fit that has not seen it, for each named model.
+def out_of_fold(folded: DataFrame, models: dict[str, object], store: FitStore, threads: int = 8) -> DataFrame:
+    """Scores of every row by the fit that has not seen it, for each named model; ``margin`` for boosted trees.
 
-    Fits are independent and, on small frames, bound by scheduling; a few run side by side. ``fits`` belongs to
-    this frame and keeps the scores of a configuration for the next time that it is asked for.
+    Fits that the store holds are read from it, the others are made and kept, each as soon as it is there. They are
+    independent and, on small frames, bound by scheduling; a few run side by side.
     """
-    known = {} if fits is None else fits
-    wanted = {getattr(m, "key", (name,)): m for name, m in models.items()}
-    jobs = [(key, model, k) for key, model in wanted.items() if key not in known for k in range(C.N_FOLDS)]
+    frame = frame_digest(folded)
+    keys = {(name, k): store.key(frame, m.key, k) for name, m in models.items() for k in range(C.N_FOLDS)}
+    done = store.done()
+    jobs = {key: (models[name], k) for (name, k), key in keys.items() if key not in done}
 
-    def run(job) -> DataFrame:
-        _, model, k = job
+    def run(job) -> None:
+        key, (model, k) = job
         apply, _ = model.fit(folded.filter(F.col("fold") != k))
         held_out = apply(folded.filter(F.col("fold") == k))
-        columns = [KEY, LABEL, "fold", "score"] + (["margin"] if "margin" in held_out.columns else [])
-        return held_out.select(*columns)
+        margin = F.col("margin") if "margin" in held_out.columns else F.lit(None).cast("double").alias("margin")
+        store.keep(key, held_out.select(F.col(KEY).cast("bigint"), F.col(LABEL).cast("int"), "fold", "score", margin))
 
     with ThreadPoolExecutor(threads) as pool:
-        parts = list(pool.map(run, jobs))
-    union = lambda a, b: a.unionByName(b, allowMissingColumns=True)
-    for key in wanted:
-        if key not in known:
-            known[key] = materialise(reduce(union, [part for job, part in zip(jobs, parts) if job[0] == key]))
-    named = [known[getattr(m, "key", (name,))].withColumn("model", F.lit(name)) for name, m in models.items()]
-    return reduce(union, named)
+        list(pool.map(run, jobs.items()))
+    named = [store.scores([keys[name, k] for k in range(C.N_FOLDS)]).withColumn("model", F.lit(name)) for name in models]
+    return reduce(DataFrame.unionByName, named)
 
 
-def cross_validate(folded: DataFrame, models: dict[str, object], fits: dict | None = None) -> DataFrame:
+def cross_validate(folded: DataFrame, models: dict[str, object], store: FitStore) -> DataFrame:
     """Mean of the seven measures over the folds of ``folded``, per model."""
-    by_fold = evaluate.all_measures(out_of_fold(folded, models, fits), ["model", "fold"])
+    by_fold = evaluate.all_measures(out_of_fold(folded, models, store), ["model", "fold"])
     return evaluate.cv_means(by_fold, ["model"])
 
 
@@ -189,26 +202,23 @@ def at_both_thresholds(scored: DataFrame, best: float) -> DataFrame:
     return rows[0].unionByName(rows[1])
 
 
-def holdout(frame: DataFrame) -> DataFrame:
-    """Measures of the final configuration on the held-out part."""
-    parts = materialise(evaluate.stratified_split(frame, KEY, LABEL))
-    dev, test = (parts.filter(F.col("part") == p) for p in ("dev", "test"))
+def holdout(folded: DataFrame, test: DataFrame, store: FitStore) -> DataFrame:
+    """Measures of the final configuration, fitted on the development part, on the held-out part."""
     config = Boosted(C.BOOSTED_CONFIGS[C.FINAL_CONFIG])
-    folded = materialise(evaluate.stratified_folds(dev, KEY, LABEL))
-    sweep = evaluate.threshold_sweep(out_of_fold(folded, {"final": config}), ["model"])
+    sweep = evaluate.threshold_sweep(out_of_fold(folded, {"final": config}, store), ["model"])
     best = evaluate.best_threshold(sweep, ["model"]).first()["threshold"]
-    apply, _ = config.fit(dev)
+    apply, _ = config.fit(folded)
     return at_both_thresholds(materialise(apply(test)), best)
 
 
-def class_weight_sweep(folded: DataFrame, fits: dict | None = None, share: float = 1.0) -> DataFrame:
+def class_weight_sweep(folded: DataFrame, store: FitStore, share: float = 1.0) -> DataFrame:
     base = C.BOOSTED_CONFIGS["n=80, d=2, lr=0.03, w=1.0"]
-    return cross_validate(folded, {f"w={w}": Boosted({**base, "weight": w}, share=share) for w in C.POSITIVE_WEIGHTS}, fits)
+    return cross_validate(folded, {f"w={w}": Boosted({**base, "weight": w}, share=share) for w in C.POSITIVE_WEIGHTS}, store)
 
 
-def feature_ablation(folded: DataFrame, fits: dict | None = None, share: float = 1.0) -> DataFrame:
+def feature_ablation(folded: DataFrame, store: FitStore, share: float = 1.0) -> DataFrame:
     base = C.BOOSTED_CONFIGS["n=80, d=2, lr=0.03, w=1.0"]
-    return cross_validate(folded, {name: Boosted(base, names, share) for name, names in C.FEATURE_SUBSETS.items()}, fits)
+    return cross_validate(folded, {name: Boosted(base, names, share) for name, names in C.FEATURE_SUBSETS.items()}, store)
 
 
 def permutation_importance(frame: DataFrame, model: GBTClassificationModel) -> DataFrame:

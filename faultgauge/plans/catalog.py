@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from faultgauge import constants as C
 from faultgauge.functions import lexical, paths
-from faultgauge.operators import contract, evaluate, filters, metrics, rollup, scoring, shap, train
+from faultgauge.operators import contract, evaluate, filters, forest, metrics, rollup, scoring, shap, train
 from faultgauge.operators.topk import top_k
 from faultgauge.plans import analyze, models, service, training
 from faultgauge.session import new_path
@@ -100,14 +102,15 @@ def feature_bounds(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores of the saved and reloaded model, next to those without a model."""
-    frame = models.training_data(spark, sf)
-    rows = contract.assemble(frame)
-    with_model = scoring.score(rows, artifacts.load_model(models.model_path(spark, sf)))
-    without = scoring.score(rows, artifacts.load_model(new_path(spark, "absent")))
-    return with_model.select("doc_id", "risk_score").join(
-        without.select("doc_id", F.col("risk_score").alias("default_score")), "doc_id"
-    )
+    """Does the saved and reloaded model score as its table of nodes does? And the score without a model."""
+    frame, path = models.training_data(spark, sf), models.model_path(spark, sf)
+    forest.write(shap.tree_nodes(spark, path), table := new_path(spark, "nodes"))
+    reloaded = scoring.score(contract.assemble(frame), artifacts.load_model(path)).select("doc_id", "risk_score")
+    nodes = scoring.score(frame, forest.load(spark, table)).select("doc_id", F.col("risk_score").alias("by_nodes"))
+    without = scoring.score(contract.assemble(frame), artifacts.load_model(new_path(spark, "absent")))
+    both = reloaded.join(nodes, "doc_id").join(without.select("doc_id", F.col("risk_score").alias("default_score")), "doc_id")
+    same = (F.abs(F.col("risk_score") - F.col("by_nodes")) < 1e-9) & F.col("risk_score").between(0, 1)
+    return both.select("doc_id", same.alias("same_score"), "default_score")
 
 
 @query
@@ -137,38 +140,6 @@ def lookup_owned(spark: SparkSession, sf: str) -> DataFrame:
     return stored.lookup_many(analyses, wanted)
 
 
-def _trained(spark: SparkSession, sf: str) -> str:
-    folder = new_path(spark, "artifacts")
-    training.run(models.training_data(spark, sf), folder)
-    return folder
-
-
-_artifact_folders: dict[tuple[str, str], str] = {}
-
-
-def artifact_folder(spark: SparkSession, sf: str) -> str:
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _artifact_folders:
-        _artifact_folders[key] = _trained(spark, sf)
-    return _artifact_folders[key]
-
-
-@query
-def write_artifacts(spark: SparkSession, sf: str) -> DataFrame:
-    """The training job, then the feature schema it wrote."""
-    return spark.read.json(f"{artifact_folder(spark, sf)}/feature_schema")
-
-
-@query
-def model_info(spark: SparkSession, sf: str) -> DataFrame:
-    return artifacts.model_info(spark, artifact_folder(spark, sf))
-
-
-@query
-def artifact_checks(spark: SparkSession, sf: str) -> DataFrame:
-    return artifacts.artifact_checks(spark, artifact_folder(spark, sf))
-
-
 @query
 def unique_insert(spark: SparkSession, sf: str) -> DataFrame:
     """Users with an odd id arrive; those with an even id are there already."""
@@ -828,31 +799,40 @@ def baseline_majority(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def baselines(spark: SparkSession, sf: str) -> DataFrame:
-    folded, fits = models.folded_data(spark, sf)
-    return train.cross_validate(folded, train.baselines(), fits)
+    folded, _ = models.development(spark, sf)
+    return train.cross_validate(folded, train.baselines(), models.store(spark))
 
 
 @query
 def gbt_grid(spark: SparkSession, sf: str) -> DataFrame:
-    folded, fits = models.folded_data(spark, sf)
+    folded, _ = models.development(spark, sf)
     grid = train.boosted_grid()
     trees = F.create_map(*[F.lit(x) for name, m in grid.items() for x in (name, m.config["trees"])])
-    return train.cross_validate(folded, grid, fits).withColumn("trees", trees[F.col("model")])
+    return train.cross_validate(folded, grid, models.store(spark)).withColumn("trees", trees[F.col("model")])
 
 
 def _final_scores(spark: SparkSession, sf: str) -> DataFrame:
-    folded, fits = models.folded_data(spark, sf)
-    return train.out_of_fold(folded, {"final": train.Boosted(C.BOOSTED_CONFIGS[C.FINAL_CONFIG])}, fits)
+    folded, _ = models.development(spark, sf)
+    return train.out_of_fold(folded, {"final": train.Boosted(C.BOOSTED_CONFIGS[C.FINAL_CONFIG])}, models.store(spark))
 
 
 @query
 def oof_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return _final_scores(spark, sf).select("doc_id", "label", "fold", "score", "margin")
+    """One score for each development row, by the fit of the other folds; scores are the logistic of margins."""
+    logistic = F.abs(1 / (1 + F.exp(-F.col("margin"))) - F.col("score")) < 1e-9
+    return _final_scores(spark, sf).select("doc_id", "label", "fold", logistic.alias("scored"))
 
 
 @query
 def holdout_eval(spark: SparkSession, sf: str) -> DataFrame:
-    return train.holdout(models.training_data(spark, sf))
+    """Rows and measures' ranges on the held-out part, at both thresholds."""
+    out = train.holdout(*models.development(spark, sf), models.store(spark))
+    ranges = [F.col(c).between(0, 1) for c in artifacts.MEASURES]
+    return out.select(
+        "at", (F.col("tn") + F.col("fp")).alias("negatives"), (F.col("fn") + F.col("tp")).alias("positives"),
+        F.when(F.col("at") == "standard", F.col("threshold")).alias("given_threshold"),
+        reduce(lambda a, b: a & b, ranges, F.col("threshold").between(0.05, 0.95)).alias("in_range"),
+    )
 
 
 @query
@@ -860,7 +840,7 @@ def feature_schema(spark: SparkSession, sf: str) -> DataFrame:
     frame = models.training_data(spark, sf)
     _, leaves = models.model_and_leaves(spark, sf)
     nodes = shap.tree_nodes(spark, models.model_path(spark, sf))
-    return artifacts.feature_schema(frame, nodes, shap.global_importance(shap.tree_shap(frame, leaves)))
+    return _schema_rows(artifacts.feature_schema(frame, nodes, shap.global_importance(shap.tree_shap(frame, leaves))))
 
 
 @query
@@ -879,12 +859,12 @@ def gain_importance(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def class_weight_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    return train.class_weight_sweep(*models.folded_data(spark, sf))
+    return train.class_weight_sweep(models.development(spark, sf)[0], models.store(spark))
 
 
 @query
 def feature_ablation(spark: SparkSession, sf: str) -> DataFrame:
-    return train.feature_ablation(*models.folded_data(spark, sf))
+    return train.feature_ablation(models.development(spark, sf)[0], models.store(spark))
 
 
 @query
@@ -896,3 +876,53 @@ def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def platt_calibration(spark: SparkSession, sf: str) -> DataFrame:
     return train.platt_calibration(_final_scores(spark, sf))
+
+
+# --- artefacts: after the comparisons, whose fits they share --------------------------------------
+
+
+def _trained(spark: SparkSession, sf: str) -> str:
+    folder = new_path(spark, "artifacts")
+    training.run(models.training_data(spark, sf), folder, models.store(spark), models.PARTITIONS)
+    return artifacts.current(spark, folder)
+
+
+_artifact_folders: dict[tuple[str, str], str] = {}
+
+
+def artifact_folder(spark: SparkSession, sf: str) -> str:
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _artifact_folders:
+        _artifact_folders[key] = _trained(spark, sf)
+    return _artifact_folders[key]
+
+
+def _schema_rows(schema: DataFrame) -> DataFrame:
+    """Statistics and bounds, and whether the importances are shares."""
+    whole = lambda c: F.abs(F.sum(c).over(Window.partitionBy()) - 1) < 1e-9  # noqa: E731  (ten rows)
+    return schema.select(
+        F.col("feature_order").cast("int").alias("feature_order"), "name", "description", "bound_min", "bound_max",
+        *[r6(c).alias(c) for c in ("min", "max", "mean", "std", "median")],
+        (F.col("gain_share").between(0, 1) & F.col("shap_share").between(0, 1) & whole("gain_share") & whole("shap_share")).alias("shares"),
+    )
+
+
+@query
+def write_artifacts(spark: SparkSession, sf: str) -> DataFrame:
+    """The training job, then the feature schema it published."""
+    return _schema_rows(spark.read.json(f"{artifact_folder(spark, sf)}/feature_schema"))
+
+
+@query
+def model_info(spark: SparkSession, sf: str) -> DataFrame:
+    """How many entries each document has, and what the metadata say of the rows."""
+    info = artifacts.model_info(spark, artifact_folder(spark, sf))
+    entries = F.from_json("document", "array<struct<training_rows: bigint, test_rows: bigint, total_rows: bigint, trees: int>>")
+    one = F.get(entries, F.lit(0))
+    return info.select("part", F.size(entries).alias("entries"), one.training_rows.alias("training_rows"), one.test_rows.alias("test_rows"),
+                       one.total_rows.alias("total_rows"), one.trees.alias("trees"))
+
+
+@query
+def artifact_checks(spark: SparkSession, sf: str) -> DataFrame:
+    return artifacts.artifact_checks(spark, artifact_folder(spark, sf))

@@ -6,36 +6,44 @@ from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 
 from faultgauge import constants as C
-from faultgauge.operators import evaluate, forest, shap, train
-from faultgauge.session import materialise, new_path
+from faultgauge.operators import forest, shap, train
+from faultgauge.operators.fits import FitStore
+from faultgauge.session import kept_folder, new_path
 from faultgauge.sources import artifacts, fixtures
 
+#: Partitions of the labelled rows, a few hundred narrow ones in the test tables.
+PARTITIONS = 1
+
 _frames: dict[tuple[str, str], DataFrame] = {}
 _paths: dict[tuple[str, str], str] = {}
-_folded: dict[tuple[str, str], tuple[DataFrame, dict]] = {}
+_parts: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
 
 def training_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _frames:
-        _frames[key] = train.training_frame(fixtures.labelled_files(spark, sf_dir))
+        _frames[key] = train.training_frame(fixtures.labelled_files(spark, sf_dir), PARTITIONS)
     return _frames[key]
 
 
-def folded_data(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict]:
-    """The training frame cut into folds, and the scores of the configurations fitted on it so far."""
+def development(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The development part of the training frame in folds, and the held-out part."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _folded:
-        folds = evaluate.stratified_folds(training_data(spark, sf_dir), train.KEY, train.LABEL)
-        _folded[key] = materialise(folds), {}
-    return _folded[key]
+    if key not in _parts:
+        _parts[key] = train.development_folds(training_data(spark, sf_dir), PARTITIONS)
+    return _parts[key]
+
+
+def store(spark: SparkSession) -> FitStore:
+    """The fits that queries, and sessions under the same shared folder, have in common."""
+    return FitStore(spark, kept_folder(spark, "fits"))
 
 
 def model_path(spark: SparkSession, sf_dir: str) -> str:
-    """Path of the saved model, the final configuration fitted on all labelled files."""
+    """Path of the saved model, the final configuration fitted on the development part."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _paths:
-        _, model = train.Boosted(C.BOOSTED_CONFIGS[C.FINAL_CONFIG]).fit(training_data(spark, sf_dir))
+        _, model = train.Boosted(C.BOOSTED_CONFIGS[C.FINAL_CONFIG]).fit(development(spark, sf_dir)[0])
         path = new_path(spark, "model")
         model.save(path)
         _paths[key] = path

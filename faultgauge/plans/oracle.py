@@ -704,3 +704,33 @@ s AS (SELECT 'majority' AS model, label, CASE WHEN share > 0.5 THEN 1.0::DOUBLE
 x AS (SELECT *, {_RATES} FROM c)
 SELECT model, tn, fp, fn, tp, {_ROUNDED}, round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc, round(brier, 6) AS brier
 FROM x JOIN q USING (model)"""
+
+# --- training: what SQL knows of it, the rows, their parts and folds, statistics and counts of entries -----------------
+
+_DEV = f"""{LABELLED}, {lexical('lab', 'doc_id')},
+rows AS (SELECT doc_id, CAST(label AS INTEGER) AS label, row_number() OVER (PARTITION BY label ORDER BY md5(concat('{C.SEED}:', doc_id))) AS rank,
+  count(*) OVER (PARTITION BY label) AS n FROM lab),
+dev AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(concat('{C.SEED + 1}:', doc_id))) AS rank FROM rows
+  WHERE rank > floor(n * 0.2 + 0.5)),
+test AS (SELECT doc_id, label FROM rows WHERE rank <= floor(n * 0.2 + 0.5))"""
+ORACLE["model_roundtrip"] = f"WITH {LABELLED} SELECT doc_id, true AS same_score, 0.5::DOUBLE AS default_score FROM lab"
+ORACLE["oof_scores"] = f"WITH {_DEV} SELECT doc_id, label, CAST((rank - 1) % 5 AS INTEGER) AS fold, true AS scored FROM dev"
+ORACLE["holdout_eval"] = f"""WITH {_DEV}, c AS (SELECT CAST(count_if(label = 0) AS BIGINT) AS negatives, CAST(count_if(label = 1) AS BIGINT) AS positives FROM test)
+SELECT 'standard' AS at, negatives, positives, 0.5::DOUBLE AS given_threshold, true AS in_range FROM c
+UNION ALL SELECT 'best', negatives, positives, NULL, true FROM c"""
+_STATS = " UNION ALL ".join(
+    f"""SELECT CAST({i} AS INTEGER) AS feature_order, '{f}' AS name, {quoted(C.SCALING_BOUNDS[f][2])} AS description,
+  {C.SCALING_BOUNDS[f][0]}::DOUBLE AS bound_min, {C.SCALING_BOUNDS[f][1]}::DOUBLE AS bound_max, round(min(x), 6) AS min, round(max(x), 6) AS max,
+  round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, round(median(x), 6) AS median, true AS shares FROM (SELECT {_scaled(f)} AS x FROM m)"""
+    for i, f in enumerate(C.FEATURES)
+)
+ORACLE["feature_schema"] = ORACLE["write_artifacts"] = f"WITH {LABELLED}, {lexical('lab', 'doc_id')} {_STATS}"
+ORACLE["model_info"] = f"""WITH {_DEV}
+SELECT 'metadata' AS part, CAST(1 AS INTEGER) AS entries, (SELECT count(*) FROM dev) AS training_rows, (SELECT count(*) FROM test) AS test_rows,
+  (SELECT count(*) FROM rows) AS total_rows, CAST(100 AS INTEGER) AS trees
+UNION ALL SELECT 'metrics', 16, NULL, NULL, NULL, NULL UNION ALL SELECT 'holdout', 2, NULL, NULL, NULL, NULL"""
+ORACLE["artifact_checks"] = f"""WITH stats AS ({ORACLE["feature_schema"]})
+SELECT unnest(['ten features in order', 'median between minimum and maximum', 'values within 0 and 1', 'bounds in order',
+  'metadata names the same features', 'threshold within 5 and 95 hundredths', 'rows add up', 'every measure is there',
+  'measures within 0 and 1', 'thresholds are distinct']) AS "check", true AS holds
+UNION ALL SELECT 'deviations above 0', bool_and(std > 0) FROM stats"""

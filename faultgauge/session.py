@@ -44,6 +44,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept_folder(spark: SparkSession, name: str) -> str:
+    """A folder that other sessions of the cluster find under the same name; a local session without a setting has its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{(named or shared_folder(spark)).rstrip('/')}/{name}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so a lost executor cannot change what was computed."""
     shared_folder(df.sparkSession)

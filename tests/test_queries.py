@@ -1,14 +1,20 @@
 """Every query with SQL equals it on the smallest tables; the others hold their properties."""
 
 import os
+import shutil
 import sys
 
 import pytest
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as spark_entry  # noqa: E402
 from faultgauge import constants as C  # noqa: E402
+from faultgauge.operators import train  # noqa: E402
+from faultgauge.operators.fits import FitStore  # noqa: E402
 from faultgauge.plans import catalog  # noqa: E402
+from faultgauge.sources import artifacts  # noqa: E402
 from tools.check_sql import compare, connect  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -38,8 +44,7 @@ def test_contributions_add_up_to_the_margin(spark):
 
 def test_model_survives_saving_and_its_absence_is_neutral(spark):
     rows = QUERIES["model_roundtrip"](spark, SF).collect()
-    assert all(0 <= r.risk_score <= 1 for r in rows) and {r.default_score for r in rows} == {0.5}
-    assert len({r.risk_score for r in rows}) > 1
+    assert all(r.same_score for r in rows) and {r.default_score for r in rows} == {0.5}
 
 
 def test_flagship(spark):
@@ -62,41 +67,89 @@ def test_importances_are_shares(spark):
         assert len(rows) == 10 and sum(r[column] for r in rows) == pytest.approx(1.0)
 
 
-def test_out_of_fold_scores_cover_all_rows_once(spark):
+def test_fits_see_the_development_part_alone(spark):
+    folded, test = catalog.models.development(spark, SF)
+    dev_ids, test_ids = ({r.doc_id for r in part.collect()} for part in (folded, test))
+    assert len(dev_ids) == 70 and len(test_ids) == 17 and not dev_ids & test_ids
     rows = QUERIES["oof_scores"](spark, SF).collect()
-    assert len(rows) == len({r.doc_id for r in rows}) == 87
-    assert {r.fold for r in rows} == set(range(5)) and all(0 <= r.score <= 1 for r in rows)
+    assert {r.doc_id for r in rows} == dev_ids and len(rows) == 70
+    assert {r.fold for r in rows} == set(range(5)) and all(r.scored for r in rows)
+
+
+class Counted:
+    """A model that tells how often it was fitted."""
+
+    def __init__(self, name):
+        self.key, self.fits = (name,), 0
+
+    def fit(self, rows):
+        self.fits += 1
+        return lambda held_out: held_out.withColumn("score", F.lit(0.25)), None
+
+
+def test_fits_are_made_once(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i % 2, i % 5) for i in range(20)], "doc_id long, label int, fold int")
+    folded = rows.repartition(1)
+    first, again, other = Counted("m"), Counted("m"), Counted("n")
+    scores = train.out_of_fold(folded, {"a": first}, FitStore(spark, str(tmp_path)))
+    assert first.fits == 5 and scores.count() == 20 and {r.model for r in scores.collect()} == {"a"}
+    # under another name, in another order of the rows, by another store of the same folder
+    shuffled = rows.orderBy("label").repartition(1)
+    scores = train.out_of_fold(shuffled, {"b": again, "c": other}, FitStore(spark, str(tmp_path)))
+    assert again.fits == 0 and other.fits == 5 and scores.count() == 40
+    # scores without the line that follows them are not taken for a finished fit
+    store = FitStore(spark, str(tmp_path))
+    key = store.key(train.frame_digest(folded), ("m",), 3)
+    assert key in store.done()
+    shutil.rmtree(tmp_path / "done" / f"key={key}")
+    train.out_of_fold(folded, {"a": first}, store)
+    assert first.fits == 6
+    # other rows, another frame
+    fewer = Counted("m")
+    train.out_of_fold(rows.filter("doc_id < 15").repartition(1), {"a": fewer}, store)
+    assert fewer.fits == 5
 
 
 def test_calibration_and_permutation(spark):
     row = QUERIES["platt_calibration"](spark, SF).first()
-    assert row.rows == 87 and 0 <= row.brier_after <= 1
+    assert row.rows == 70 and 0 <= row.brier_after <= 1
     rows = QUERIES["permutation_importance"](spark, SF).collect()
     assert {r.feature for r in rows} == set(C.FEATURES)
 
 
-def test_holdout(spark):
-    rows = {r["at"]: r for r in QUERIES["holdout_eval"](spark, SF).collect()}
-    assert rows["standard"].threshold == 0.5 and 0.05 <= rows["best"].threshold <= 0.95
-    for r in rows.values():
-        assert r.tn + r.fp + r.fn + r.tp == 17 and 0 <= r.roc_auc <= 1
+def test_measures_of_the_comparisons(spark, monkeypatch):
+    monkeypatch.setattr(train, "baselines", lambda: {"majority": train.Majority(), "random": train.RandomGuess(), "logistic": train.Logistic()})
+    rows = {r.model: r for r in QUERIES["baselines"](spark, SF).collect()}
+    assert set(rows) == {"majority", "random", "logistic"}
+    assert all(0 <= r[m] <= 1 for r in rows.values() for m in artifacts.MEASURES)
+    assert rows["majority"].roc_auc == 0.5
 
 
-def test_artifacts_agree(spark):
-    checks = QUERIES["artifact_checks"](spark, SF).collect()
-    assert len(checks) == 4 and all(r.holds for r in checks)
-    info = {r.part: r.document for r in QUERIES["model_info"](spark, SF).collect()}
-    assert "decision_threshold" in info["metadata"] and "roc_auc" in info["metrics"] and "best" in info["holdout"]
+def test_readers_see_one_version_of_the_artefacts(spark, tmp_path):
+    folder = str(tmp_path)
+    assert {r.document for r in artifacts.model_info(spark, artifacts.current(spark, folder)).collect()} == {"{}"}
+    first = artifacts.next_version(spark, folder)
+    spark.createDataFrame([(1,)], "training_rows int").write.json(f"{first}/metadata")
+    artifacts.publish(spark, folder, first)
+    second = artifacts.next_version(spark, folder)
+    assert second != first
+    spark.createDataFrame([(2,)], "training_rows int").write.json(f"{second}/metadata")
+    assert artifacts.current(spark, folder) == first
+    artifacts.publish(spark, folder, second)
+    assert artifacts.current(spark, folder) == second
+    with pytest.raises(AnalysisException):
+        spark.range(1).write.mode("error").json(f"{folder}/current/version=2")
 
 
 def test_compared_configurations_have_all_their_trees(spark, monkeypatch):
     asked, run_with = [], []
-    monkeypatch.setattr(catalog.models, "folded_data", lambda spark, sf: (None, {}))
+    monkeypatch.setattr(catalog.models, "development", lambda spark, sf: (None, None))
     monkeypatch.setattr(catalog.models, "training_data", lambda spark, sf: None)
     monkeypatch.setattr(catalog, "new_path", lambda spark, name: name)
-    monkeypatch.setattr(catalog.training, "run", lambda frame, folder, share=1.0: run_with.append(share))
+    monkeypatch.setattr(catalog.artifacts, "current", lambda spark, folder: folder)
+    monkeypatch.setattr(catalog.training, "run", lambda frame, folder, store, partitions, share=1.0: run_with.append(share))
 
-    def stop(folded, models, fits=None):
+    def stop(folded, models, store):
         asked.append(models)
         raise InterruptedError
 
