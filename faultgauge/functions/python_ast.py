@@ -7,6 +7,7 @@ them is shared with the lexical route and stays in Spark.
 from __future__ import annotations
 
 import ast
+import gc
 import sys
 import warnings
 from collections.abc import Iterator
@@ -22,74 +23,102 @@ COUNTS = ["decisions", "branches", "definitions", "classes", "calls", "n1", "n2"
 AST_FACTS = T.StructType([T.StructField(n, T.IntegerType()) for n in COUNTS])
 
 
-def _adds(decisions: int = 0, branches: int = 0, operators=(), operands=()) -> tuple:
-    return decisions, branches, operators, operands
-
-
-def _call(node: ast.Call) -> tuple:
-    called = getattr(node.func, "id", None) or getattr(node.func, "attr", None)
-    return _adds(operators=("call()",), operands=(called,) if called else ())
-
-
 def _name(kind: object) -> str:
-    return type(kind).__name__
+    return kind.__class__.__name__
 
 
-# What one syntax node adds: decisions, branches, operator tokens, operand tokens.
+# What a statement or expression adds: decisions, branches, operator tokens. Calls, names, constants and definitions,
+# which are most of a file, are counted where the tree is walked.
 RULES = {
-    ast.If: lambda n: _adds(1, 2 if n.orelse else 1, ("if",)),
-    ast.IfExp: lambda n: _adds(1, 2, ("if_exp",)),
-    ast.For: lambda n: _adds(1, 1, ("for",)),
-    ast.AsyncFor: lambda n: _adds(1, 1, ("async_for",)),
-    ast.While: lambda n: _adds(1, 1, ("while",)),
-    ast.ExceptHandler: lambda n: _adds(1, 1, ("except",)),
-    ast.With: lambda n: _adds(1, 0, ("with",)),
-    ast.AsyncWith: lambda n: _adds(1, 0, ("async_with",)),
-    ast.Assert: lambda n: _adds(1, 0, ("assert",)),
-    ast.comprehension: lambda n: _adds(1 + len(n.ifs), 1 + len(n.ifs), ("comp",)),
-    ast.BoolOp: lambda n: _adds(len(n.values) - 1, len(n.values) - 1, (_name(n.op),) * (len(n.values) - 1)),
-    ast.BinOp: lambda n: _adds(operators=(_name(n.op),)),
-    ast.UnaryOp: lambda n: _adds(operators=(_name(n.op),)),
-    ast.Compare: lambda n: _adds(operators=tuple(_name(op) for op in n.ops)),
-    ast.Call: _call,
-    ast.FunctionDef: lambda n: _adds(operands=(n.name,)),
-    ast.AsyncFunctionDef: lambda n: _adds(operands=(n.name,)),
-    ast.ClassDef: lambda n: _adds(operands=(n.name,)),
-    ast.Name: lambda n: _adds(operands=(n.id,)),
-    ast.Constant: lambda n: _adds(operands=(repr(n.value),)),
+    ast.If: lambda n: (1, 2 if n.orelse else 1, ("if",)),
+    ast.IfExp: lambda n: (1, 2, ("if_exp",)),
+    ast.For: lambda n: (1, 1, ("for",)),
+    ast.AsyncFor: lambda n: (1, 1, ("async_for",)),
+    ast.While: lambda n: (1, 1, ("while",)),
+    ast.ExceptHandler: lambda n: (1, 1, ("except",)),
+    ast.With: lambda n: (1, 0, ("with",)),
+    ast.AsyncWith: lambda n: (1, 0, ("async_with",)),
+    ast.Assert: lambda n: (1, 0, ("assert",)),
+    ast.comprehension: lambda n: (1 + len(n.ifs), 1 + len(n.ifs), ("comp",)),
+    ast.BoolOp: lambda n: (len(n.values) - 1, len(n.values) - 1, (_name(n.op),) * (len(n.values) - 1)),
+    ast.BinOp: lambda n: (0, 0, (_name(n.op),)),
+    ast.UnaryOp: lambda n: (0, 0, (_name(n.op),)),
+    ast.Compare: lambda n: (0, 0, tuple([_name(op) for op in n.ops])),
 }
+DEFINITIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
+# fields that hold no node which adds anything: contexts, operators, and what is no node at all
+_BARE = {"ctx", "op", "ops", "id", "attr", "kind", "type_comment", "lineno", "module", "level"}
+_children: dict[type, tuple[str, ...]] = {}
+
+
+def _fields(kind: type) -> tuple[str, ...]:
+    if kind not in _children:
+        _children[kind] = tuple(f for f in kind._fields if f not in _BARE)
+    return _children[kind]
 
 
 def file_facts(code: str) -> tuple | None:
     """The counts of one file, or None when it does not parse."""
-    decisions = branches = 0
-    operators, operands, kinds = [], [], []
+    decisions = branches = definitions = classes = calls = n1 = n2 = 0
+    operators, operands = set(), set()
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            tree = ast.parse(code)
-        for node in ast.walk(tree):
-            rule = RULES.get(type(node))
-            if rule:
-                d, b, ops, opnds = rule(node)
+            stack: list = [ast.parse(code)]
+        while stack:
+            node = stack.pop()
+            kind = node.__class__
+            if kind is ast.Name:
+                n2 += 1
+                operands.add(node.id)
+                continue
+            if kind is ast.Constant:
+                n2 += 1
+                operands.add(repr(node.value))
+                continue
+            if kind is ast.Call:
+                calls += 1
+                n1 += 1
+                operators.add("call()")
+                called = getattr(node.func, "id", None) or getattr(node.func, "attr", None)
+                if called:
+                    n2 += 1
+                    operands.add(called)
+            elif kind in RULES:
+                d, b, tokens = RULES[kind](node)
                 decisions += d
                 branches += b
-                operators += ops
-                operands += opnds
-                kinds.append(type(node))
+                n1 += len(tokens)
+                operators.update(tokens)
+            elif kind in DEFINITIONS:
+                n2 += 1
+                operands.add(node.name)
+                if kind is ast.ClassDef:
+                    classes += 1
+                else:
+                    definitions += 1
+            for field in _fields(kind):
+                value = getattr(node, field, None)
+                if value.__class__ is list:
+                    stack += [x for x in value if isinstance(x, ast.AST)]
+                elif isinstance(value, ast.AST):
+                    stack.append(value)
     except Exception:  # bad syntax, null bytes, nesting too deep: the lexical route takes over
         return None
-    definitions = kinds.count(ast.FunctionDef) + kinds.count(ast.AsyncFunctionDef)
-    return (
-        decisions, branches, definitions, kinds.count(ast.ClassDef), kinds.count(ast.Call),
-        len(operators), len(operands), len(set(operators)), len(set(operands)),
-    )
+    return decisions, branches, definitions, classes, calls, n1, n2, len(operators), len(operands)
 
 
 @F.pandas_udf(AST_FACTS)
 def ast_facts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """One struct of counts per text; all fields null for a null text or one that does not parse."""
     nothing = (None,) * len(COUNTS)
-    for codes in batches:
-        rows = [nothing if code is None else (file_facts(code) or nothing) for code in codes]
-        yield pd.DataFrame(rows, columns=COUNTS, dtype="Int32")
+    # syntax trees have no cycles, and searching their many nodes for some takes longer than making them
+    collecting = gc.isenabled()
+    gc.disable()
+    try:
+        for codes in batches:
+            rows = [nothing if code is None else (file_facts(code) or nothing) for code in codes]
+            yield pd.DataFrame(rows, columns=COUNTS, dtype="Int32")
+    finally:
+        if collecting:
+            gc.enable()

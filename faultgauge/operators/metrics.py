@@ -37,23 +37,21 @@ def clean_text(content: Column, lang: Column) -> Column:
     return lexical.mask_strings(lexical.strip_comments(content, lang))
 
 
-def lexical_counts(files: DataFrame) -> DataFrame:
-    """Add ``lex``, the lexical counts of ``content`` read as ``language``."""
+def lexical_counts(files: DataFrame, text: str, name: str) -> DataFrame:
+    """Add ``name``, the lexical counts of the column ``text`` read as ``language``; null where there is no text."""
     clean = F.col("_clean")
+    counts = F.struct(
+        token_counts(F.col("_operators"), F.col("_operands")).alias("tokens"),
+        lexical.decision_count(clean, F.col("language")).alias("decisions"),
+        F.col("_definitions").alias("definitions"),
+        lexical.call_count(clean).alias("calls"),
+    )
     return (
-        files.withColumn("_clean", clean_text(F.col("content"), F.col("language")))
+        files.withColumn("_clean", clean_text(F.col(text), F.col("language")))
         .withColumn("_operators", lexical.operators(clean))
         .withColumn("_operands", lexical.operands(clean))
         .withColumn("_definitions", lexical.definition_count(clean))
-        .withColumn(
-            "lex",
-            F.struct(
-                token_counts(F.col("_operators"), F.col("_operands")).alias("tokens"),
-                lexical.decision_count(clean, F.col("language")).alias("decisions"),
-                F.col("_definitions").alias("definitions"),
-                lexical.call_count(clean).alias("calls"),
-            ),
-        )
+        .withColumn(name, pinned(F.when(clean.isNotNull(), counts)))
         .drop("_clean", "_operators", "_operands", "_definitions")
     )
 
@@ -65,7 +63,7 @@ def python_facts(files: DataFrame) -> DataFrame:
 
 def measured_counts() -> Column:
     """One set of counts per file: from the grammar where the file parses, else from the lexical route."""
-    ast, lex = F.col("ast"), F.col("lex")
+    ast, lex = F.col("ast"), F.coalesce("_lex", "_rest")
     cyclo = ast.decisions + 1
     by_grammar = F.struct(
         F.struct(ast.n1.alias("n1"), ast.n2.alias("n2"), ast.eta1.alias("eta1"), ast.eta2.alias("eta2")).alias("tokens"),
@@ -87,9 +85,9 @@ def measured_counts() -> Column:
 def file_metrics(files: DataFrame) -> DataFrame:
     """Add the 12-field metric record to every row of ``files(path, content, …)``.
 
-    A file without a path is read as generic code. A blank file gets the all-zero record. The text
-    is reduced to counts before the Python step, so only Python sources travel to a worker, and is
-    not part of the result.
+    A file without a path is read as generic code. A blank file gets the all-zero record. Files that are not Python
+    are reduced to counts first. Python sources alone travel to a worker, which reads them by their grammar; those
+    that do not parse are then counted like the others. No text is read by both routes or part of the result.
     """
     content = F.col("content")
     blank = F.col("_blank")
@@ -97,15 +95,19 @@ def file_metrics(files: DataFrame) -> DataFrame:
     keep = [c for c in files.columns if c != "content"]
 
     read = files.withColumns({"language": lang, "_blank": lexical.is_blank(content)})
-    counted = lexical_counts(read).withColumns(
+    by_grammar = (F.col("language") == "python") & ~blank
+    others = lexical_counts(read.withColumn("_other", F.when(~by_grammar, content)), "_other", "_lex").drop("_other")
+    counted = others.withColumns(
         {
             "_lines": lexical.total_lines(content),
             "_blank_lines": lexical.blank_lines(content),
             "_comment_lines": lexical.comment_lines(content),
             # Merged with the Python step, this one would send every text and token list through it.
-            "_python_code": pinned(F.when((F.col("language") == "python") & ~blank, content)),
+            "_python_code": pinned(F.when(by_grammar, content)),
         }
     )
+    parsed = python_facts(counted).withColumn("_unread", pinned(F.when(F.col("ast.decisions").isNull(), F.col("_python_code"))))
+    measured = lexical_counts(parsed, "_unread", "_rest")
     m = F.col("_m")
     t = m.tokens
     counts = (t.n1, t.n2, t.eta1, t.eta2)
@@ -118,8 +120,7 @@ def file_metrics(files: DataFrame) -> DataFrame:
 
     sloc = F.greatest(F.lit(1), F.col("_lines") - F.col("_blank_lines") - F.col("_comment_lines"))
     return (
-        python_facts(counted)
-        .withColumn("_m", pinned(measured_counts()))
+        measured.withColumn("_m", pinned(measured_counts()))
         .select(
             *[F.col(c) for c in keep],
             unless_blank(F.col("_lines"), 0).alias("loc"),
