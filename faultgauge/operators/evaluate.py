@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultgauge import constants as C
 from faultgauge.operators.topk import hash_ranks, running_sums
+from faultgauge.session import materialise
 
 THRESHOLDS = [C.SWEEP_START + k * C.SWEEP_STEP for k in range(C.SWEEP_COUNT)]
 
@@ -155,35 +156,46 @@ def class_distribution(rows: DataFrame, label: str = "label") -> DataFrame:
     return counts.select(label, "n", (F.col("n") / total * 100).alias("pct"))
 
 
-def feature_stats(rows: DataFrame, names: list[str]) -> DataFrame:
-    """Minimum, maximum, mean, sample deviation and exact median of each column.
+def feature_stats(rows: DataFrame, names: list[str], accuracy: int = 1_000) -> DataFrame:
+    """Minimum, maximum, mean, sample deviation and exact median of each column, nulls left out.
 
-    The median is found by counting: rows are summed per distinct value, and running sums across
-    range partitions show where the middle lies.
+    One scan takes the moments and, from a sketch, a bracket that the median lies in. A second one counts what lies
+    below the bracket and sums equal values inside it, about three in ``accuracy`` rows; only those are ranked. A
+    bracket that missed the median (the counts tell) is widened to the whole range. A column of nulls has no row.
     """
-    moments = rows.agg(
-        *[f(F.col(n)).alias(f"{n}.{s}") for n in names
-          for s, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_samp))]
-    )
-    stats = moments.select(
-        F.explode(
-            F.array(*[
-                F.struct(F.lit(n).alias("feature"),
-                         *[F.col(f"`{n}.{s}`").alias(s) for s in ("min", "max", "mean", "std")])
-                for n in names
-            ])
-        ).alias("s")
-    ).select("s.*")
-    values = rows.select(names).unpivot([], names, "feature", "value").filter(F.col("value").isNotNull())
-    levels = values.groupBy("feature", "value").agg(F.count("*").alias("n"))
-    summed = running_sums(levels, ["feature"], [F.col("value")], {"up_to": F.col("n")})
-    totals = levels.groupBy("feature").agg(F.sum("n").alias("total"))
-    low, high = F.floor((F.col("total") + 1) / 2), F.floor((F.col("total") + 2) / 2)
-    medians = (
-        summed.join(F.broadcast(totals), "feature")  # one row per named column
-        .filter(((F.col("up_to") >= low) & (F.col("up_to") - F.col("n") < low))
-                | ((F.col("up_to") >= high) & (F.col("up_to") - F.col("n") < high)))
-        .groupBy("feature")
-        .agg(((F.min("value") + F.max("value")) / 2).alias("median"))
-    )
-    return stats.join(medians, "feature")
+    spark = rows.sparkSession
+    margin = 1.5 / accuracy
+    found = rows.agg(*[
+        f.alias(f"{n}.{s}") for n in names for s, f in (
+            ("min", F.min(n)), ("max", F.max(n)), ("mean", F.avg(n)), ("std", F.stddev_samp(n)), ("total", F.count(n)),
+            ("bracket", F.percentile_approx(n, [0.5 - margin, 0.5 + margin], accuracy)),
+        )
+    ]).first()
+    names = [n for n in names if found[f"{n}.total"]]
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def medians(brackets: dict[str, tuple]) -> dict[str, float | None]:
+        """The median of each column, None where its bracket missed it."""
+        if not brackets:
+            return {}
+        inside = {n: F.when(F.col(n).between(F.lit(low).cast(types[n]), F.lit(high).cast(types[n])), F.col(n)) for n, (low, high) in brackets.items()}
+        below = [F.count_if(F.col(n) < F.lit(low).cast(types[n])).alias(f"{n}.below") for n, (low, _) in brackets.items()]
+        # rows with no value in any bracket, nearly all, fall into one group
+        summed = materialise(rows.groupBy(*[c.alias(n) for n, c in inside.items()]).agg(F.count("*").alias("_n"), *below))
+        levels = summed.select("_n", F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"`{n}`").cast("double").alias("value")) for n in brackets])))
+        levels = levels.filter(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.sum("_n").alias("n"))
+        ranked = running_sums(levels, ["feature"], [F.col("value")], {"up_to": F.col("n")})
+        under = summed.agg(*[F.sum(f"`{n}.below`").alias(n) for n in brackets]).first()
+        # the middle rows, counted from the bracket's first
+        middle = {n: ((found[f"{n}.total"] + 1) // 2 - under[n], (found[f"{n}.total"] + 2) // 2 - under[n]) for n in brackets}
+        low, high = (F.create_map(*[F.lit(x) for n, m in middle.items() for x in (n, m[side])])[F.col("feature")] for side in (0, 1))
+        up_to, first = F.col("up_to"), F.col("up_to") - F.col("n")
+        holds = ranked.groupBy("feature").agg(
+            F.max(F.when((first < low) & (up_to >= low), F.col("value"))).alias("low"), F.max(F.when((first < high) & (up_to >= high), F.col("value"))).alias("high")
+        ).collect()
+        return {r["feature"]: (r["low"] + r["high"]) / 2 for r in holds if r["low"] is not None and r["high"] is not None}
+
+    exact = medians({n: found[f"{n}.bracket"] for n in names})
+    exact |= medians({n: (found[f"{n}.min"], found[f"{n}.max"]) for n in names if n not in exact})
+    lines = [(n, *[None if (x := found[f"{n}.{s}"]) is None else float(x) for s in ("min", "max", "mean", "std")], exact.get(n)) for n in names]
+    return spark.createDataFrame(lines, "feature string, min double, max double, mean double, std double, median double")

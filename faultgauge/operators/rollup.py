@@ -6,7 +6,7 @@ reduced inside the map tasks and joins run one row to one row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultgauge import constants as C
 from faultgauge.functions import paths
@@ -84,15 +84,16 @@ def scorecard(analyses: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def language_mix(files: DataFrame) -> DataFrame:
-    """The five most frequent languages of each analysis, with their share of its files."""
+    """The five most frequent languages of each analysis, with their share of its files.
+
+    Files are read and summed once; the total is that of an analysis's counts, one for each language.
+    """
     counts = files.groupBy("analysis_id", paths.display_language(F.col("file_path")).alias("language")).agg(
         F.count("*").alias("files")
     )
-    top = top_k(counts, ["analysis_id"], [F.col("files").desc(), F.col("language").asc()], C.TOP_LANGUAGES)
-    totals = files.groupBy("analysis_id").agg(F.count("*").alias("total"))
-    return top.join(totals, "analysis_id").select(
-        "analysis_id", "rank", "language", "files", percent(F.col("files") / F.col("total")).alias("share_pct")
-    )
+    totals = counts.withColumn("total", F.sum("files").over(Window.partitionBy("analysis_id")))
+    top = top_k(totals, ["analysis_id"], [F.col("files").desc(), F.col("language").asc()], C.TOP_LANGUAGES)
+    return top.select("analysis_id", "rank", "language", "files", percent(F.col("files") / F.col("total")).alias("share_pct"))
 
 
 def hot_directories(files: DataFrame) -> DataFrame:

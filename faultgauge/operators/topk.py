@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from faultgauge.session import materialise
 
@@ -14,33 +20,67 @@ def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, rank: st
 
 
 def running_sums(df: DataFrame, group: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
-    """Add running sums of ``sums`` in ``order`` within each group.
+    """Add running sums (whole numbers) of ``sums`` in ``order`` within each group.
 
-    A group may hold any share of the rows. Rows are range-partitioned on (group, order), summed
-    within each (group, range) piece, and moved up by the total of the group's earlier pieces, of
-    which there are at most as many as partitions. Sorting on columns that tell all rows apart
-    keeps the pieces even. The pieces are checkpointed: both passes then see the same ranges, also
-    after an executor is lost.
+    A group may hold any share of the rows. Rows are dealt by ranges of (group, order), sorted, and summed up in one
+    walk through each range, where they are; callers pass the columns that they need and no more. The result is
+    checkpointed, so that both passes see the same ranges, also after an executor is lost. Only a range's first group
+    can have begun before it: a line for each range goes to the driver and comes back as what to add there.
     """
-    names = list(sums)
-    ranged = (
-        df.withColumns({f"_{n}": c for n, c in sums.items()})
-        .repartitionByRange(*[F.col(g) for g in group], *order)
-        .withColumn("_piece", F.spark_partition_id())
-    )
-    # One struct as key: it is never null itself, so rows with a missing group find their offset too.
-    pieces = materialise(ranged).withColumn("_key", F.struct("_piece", *group))
-    totals = pieces.groupBy("_key").agg(*[F.sum(f"_{n}").alias(f"_{n}_total") for n in names])
-    same_group = [F.col(f"_key.{g}") for g in group]
-    earlier = Window.partitionBy(*same_group).orderBy("_key._piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "_key", *[F.coalesce(F.sum(f"_{n}_total").over(earlier), F.lit(0)).alias(f"_{n}_before") for n in names]
-    )
-    so_far = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = pieces.withColumns({f"_{n}": F.sum(f"_{n}").over(so_far) for n in names})
-    return local.join(offsets, "_key").select(
-        *df.columns, *[(F.col(f"_{n}") + F.col(f"_{n}_before")).alias(n) for n in names]
-    )
+    names = [f"_{n}" for n in sums]
+    keyed = df.withColumns({f"_{n}": c.cast("bigint") for n, c in sums.items()})
+    ranged = keyed.repartitionByRange(*[F.col(g) for g in group], *order).sortWithinPartitions(*group, *order)
+    marks = T.StructType([T.StructField("_piece", T.IntegerType()), T.StructField("_row", T.LongType()), T.StructField("_first", T.BooleanType())])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, row, first, key, carried = TaskContext.get().partitionId(), 0, True, None, [0] * len(names)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            columns = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
+            head, tail = ({g: columns[g][k].as_py() for g in group} for k in (0, n - 1))
+            # where a group begins; the first row goes on with the batch before if it has its key
+            begins = np.zeros(n, bool)
+            begins[0] = row == 0 or head != key
+            for g in group:
+                before, after = columns[g].slice(0, n - 1), columns[g].slice(1)
+                differs = pc.fill_null(pc.not_equal(before, after), False).to_numpy(zero_copy_only=False)
+                begins[1:] |= differs | (before.is_null().to_numpy(zero_copy_only=False) != after.is_null().to_numpy(zero_copy_only=False))
+            starts = np.flatnonzero(begins)
+            of = np.cumsum(begins) - 1  # -1 for rows of the group that goes on
+            for i, name in enumerate(names):
+                total = np.cumsum(columns[name].fill_null(0).to_numpy())
+                base = np.concatenate([total[starts] - columns[name].fill_null(0).to_numpy()[starts], [-carried[i]]])
+                columns[name] = pa.array(total - base[of], pa.int64())
+                carried[i] = int(columns[name][n - 1].as_py())
+            in_first = (of < 0) if row else (of == 0)
+            in_first = in_first & first
+            first = first and bool(in_first[-1])
+            yield pa.RecordBatch.from_arrays(
+                [*columns.values(), pa.array(np.full(n, piece, np.int32)), pa.array(np.arange(row, row + n)), pa.array(in_first)],
+                names=[*columns, "_piece", "_row", "_first"],
+            )
+            row, key = row + n, tail
+
+    pieces = materialise(ranged.mapInArrow(walk, T.StructType([*ranged.schema.fields, *marks.fields])))
+    so_far = F.struct(F.struct(*group).alias("key"), F.array(*names).alias("sums"))
+    ends = pieces.groupBy("_piece").agg(
+        F.max_by(so_far, "_row").alias("last"), F.max_by(so_far, F.when(F.col("_first"), F.col("_row"))).alias("first")
+    ).collect()
+    added, key, carried = [], None, [0] * len(names)
+    for end in sorted(ends, key=lambda r: r["_piece"]):
+        goes_on = key is not None and end["first"]["key"] == key
+        before = carried if goes_on else [0] * len(names)
+        added.append((end["_piece"], *before))
+        key, carried = end["last"]["key"], list(end["last"]["sums"])
+        if end["first"]["key"] == key:
+            carried = [x + y for x, y in zip(carried, before)]
+    before = df.sparkSession.createDataFrame(added, "_piece int, " + ", ".join(f"{n}_before bigint" for n in names))
+    # a row for each range
+    moved = pieces.join(F.broadcast(before), "_piece")
+    whole = {n: F.col(f"_{n}") + F.when(F.col("_first"), F.col(f"_{n}_before")).otherwise(0) for n in sums}
+    return moved.select(*df.columns, *[c.alias(n) for n, c in whole.items()])
 
 
 def rank_rows(df: DataFrame, group: list[str], order: list[Column], rank: str = "rank") -> DataFrame:

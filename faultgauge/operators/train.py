@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from math import gcd
 
 from pyspark.ml.classification import (
-    GBTClassificationModel,
     GBTClassifier,
     LogisticRegression,
     RandomForestClassifier,
@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultgauge import constants as C
-from faultgauge.operators import contract, evaluate
+from faultgauge.operators import contract, evaluate, forest
 from faultgauge.operators.fits import FitStore, frame_digest
 from faultgauge.operators.metrics import file_metrics
 from faultgauge.operators.topk import hash_ranks
@@ -221,28 +221,45 @@ def feature_ablation(folded: DataFrame, store: FitStore, share: float = 1.0) ->
     return cross_validate(folded, {name: Boosted(base, names, share) for name, names in C.FEATURE_SUBSETS.items()}, store)
 
 
-def permutation_importance(frame: DataFrame, model: GBTClassificationModel) -> DataFrame:
-    """Loss of ROC-AUC when one feature's values are dealt out anew, per feature.
+def permutations(n: int, count: int) -> list[tuple[int, int]]:
+    """``(a, b)`` of ``count`` permutations r -> (a r + b) mod n of 0 .. n - 1; none of them leaves the ranks as they are."""
+    out = []
+    for i in range(count):
+        a = (2 * i + 3) * (n // 7 + 1) % n or 1
+        while gcd(a, n) != 1:
+            a = a % n + 1
+        out.append((a, (C.SEED + 101 * (i + 1)) % n or 1))
+    return out
 
-    A permutation is two even hash orders of the same rows, joined on the rank.
+
+def permutation_importance(frame: DataFrame, model) -> DataFrame:
+    """Loss of ROC-AUC when one feature's values are dealt out anew, per feature. ``model`` is a saved model or a forest.
+
+    Rows are ranked once by a seeded hash. The value of each feature goes to the row whose rank a keyed permutation
+    of ranks gives; a row and the ten values that arrive at it meet in one shuffle.
     """
     whole = frame.withColumn("_all", F.lit(0))
-    place = hash_ranks(whole.select("_all", KEY), "_all", KEY, C.SEED).select(KEY, "rank")
-    placed = materialise(frame.join(place, KEY))
-
-    def permuted(i: int, feature: str) -> DataFrame:
-        order = hash_ranks(whole.select("_all", KEY, feature), "_all", KEY, C.SEED + 101 + i)
-        values = order.select("rank", F.col(feature).alias("_new"))
-        return (
-            placed.join(values, "rank")
-            .withColumn(feature, F.col("_new"))
-            .select(F.lit(feature).alias("feature"), LABEL, *C.FEATURES)
-        )
-
-    variants = [permuted(i, f) for i, f in enumerate(C.FEATURES)]
-    variants.append(placed.select(F.lit("none").alias("feature"), LABEL, *C.FEATURES))
-    every = reduce(DataFrame.unionByName, variants)
-    measured = evaluate.ranking_measures(_scored(model, contract.assemble(every)), ["feature"])
+    ranked = materialise(hash_ranks(whole.select("_all", KEY, LABEL, *C.FEATURES), "_all", KEY, C.SEED).drop("_all"))
+    n = ranked.count()
+    own = F.struct((F.col("rank") - 1).alias("at"), F.lit(-1).alias("which"), F.lit(None).cast("double").alias("value"))
+    sent = [
+        F.struct((((F.col("rank") - 1) * a + b) % n).alias("at"), F.lit(i).alias("which"), F.col(f).cast("double").alias("value")) for i, (f, (a, b)) in enumerate(zip(C.FEATURES, permutations(max(n, 1), len(C.FEATURES))))
+    ]
+    row = F.struct(LABEL, *C.FEATURES)
+    messages = ranked.select(row.alias("_row"), F.inline(F.array(own, *sent))).withColumn("_row", F.when(F.col("which") < 0, F.col("_row")))
+    arrived = messages.groupBy("at").agg(
+        F.max(F.when(F.col("which") < 0, F.col("_row"))).alias("row"),
+        *[F.max(F.when(F.col("which") == i, F.col("value"))).alias(f"_{f}") for i, f in enumerate(C.FEATURES)],
+    )
+    # the row as it is, and once for each feature with the value that arrived in its place
+    variants = F.array(*[
+        F.struct(F.lit(name).alias("feature"), F.col(f"row.{LABEL}").alias(LABEL),
+                 *[(F.col(f"_{f}") if f == name else F.col(f"row.{f}")).alias(f) for f in C.FEATURES])
+        for name in ("none", *C.FEATURES)
+    ])
+    every = arrived.select(F.inline(variants))
+    scored = model.transform(every).withColumnRenamed("probability", "score") if isinstance(model, forest.Forest) else _scored(model, contract.assemble(every))
+    measured = evaluate.ranking_measures(scored, ["feature"])
     # one row per feature and one for the intact rows
     intact = F.max(F.when(F.col("feature") == "none", F.col("roc_auc"))).over(Window.partitionBy())
     return (

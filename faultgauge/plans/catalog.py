@@ -869,8 +869,9 @@ def feature_ablation(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
-    model = artifacts.load_model(models.model_path(spark, sf))
-    return train.permutation_importance(models.training_data(spark, sf), model)
+    """Of the published forest, over all labelled files."""
+    out = train.permutation_importance(models.training_data(spark, sf), models.given_forest(spark, sf)[0])
+    return _rounded(out, "intact_auc", "roc_auc", "importance")
 
 
 @query

@@ -734,3 +734,18 @@ SELECT unnest(['ten features in order', 'median between minimum and maximum', 'v
   'metadata names the same features', 'threshold within 5 and 95 hundredths', 'rows add up', 'every measure is there',
   'measures within 0 and 1', 'thresholds are distinct']) AS "check", true AS holds
 UNION ALL SELECT 'deviations above 0', bool_and(std > 0) FROM stats"""
+
+_VARIANT = ", ".join(f"CASE WHEN feature = '{f}' THEN s{i}.{f} ELSE o.{f} END AS {f}" for i, f in enumerate(C.FEATURES))
+_SENT = " ".join(f"JOIN placed s{i} ON (s{i}.at * (SELECT a FROM keyed WHERE i = {i}) + (SELECT b FROM keyed WHERE i = {i})) % n.n = o.at" for i in range(len(C.FEATURES)))
+ORACLE["permutation_importance"] = f"""WITH {LABELLED}, {lexical('lab', 'doc_id')},
+placed AS (SELECT row_number() OVER (ORDER BY md5(concat('{C.SEED}:', key))) - 1 AS at, CAST(label AS INTEGER) AS label,
+  {", ".join(f"{_scaled(f)} AS {f}" for f in C.FEATURES)} FROM m JOIN lab ON doc_id = key),
+n AS (SELECT count(*) AS n FROM lab),
+tried AS (SELECT i, k, (greatest(1, (2 * i + 3) * (n // 7 + 1) % n) - 1 + k) % n + 1 AS a, greatest(1, ({C.SEED} + 101 * (i + 1)) % n) AS b, n
+  FROM n, (SELECT unnest(range(0, 10)) AS i), (SELECT unnest(range(0, 1000)) AS k)),
+keyed AS (SELECT i, arg_min(a, k) AS a, any_value(b) AS b FROM tried WHERE gcd(a, n) = 1 GROUP BY i),
+variants AS (SELECT concat(feature, ':', o.at) AS key, feature AS of, o.label, {_VARIANT}
+  FROM placed o CROSS JOIN n {_SENT} CROSS JOIN (SELECT unnest({values(["none", *C.FEATURES])}) AS feature)),
+{explained('variants', lambda f: f)}, s AS (SELECT of, label, raw AS score FROM variants JOIN margin USING (key)),
+{_ranking('of', 's')}, intact AS (SELECT roc_auc AS auc FROM q WHERE of = 'none')
+SELECT of AS feature, round(auc, 6) AS intact_auc, round(roc_auc, 6) AS roc_auc, round(auc - roc_auc, 6) AS importance FROM q, intact WHERE of <> 'none'"""

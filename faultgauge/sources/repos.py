@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from faultgauge import constants as C
 from faultgauge.functions import paths
 
 TREE_SCHEMA = "repo string, path string, size bigint"
@@ -29,9 +30,9 @@ def scan_tree(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TREE_SCHEMA).json(path)
 
 
-def scan_checkouts(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
-    """Listing and text of checked-out source trees, in one scan: ``folders`` is repository -> root folder."""
-    files = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(list(folders.values()))
+def _checkout_files(spark: SparkSession, folders: dict[str, str], glob: str | None = None) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = (reader.option("pathGlobFilter", glob) if glob else reader).load(list(folders.values()))
     # the file's address without its scheme; a root is cut off as a prefix, the longest one that fits
     place = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
     repo, inner = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -39,9 +40,25 @@ def scan_checkouts(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
         root = "/" + re.sub("^[a-z0-9]+:", "", folder).strip("/") + "/"
         fits = place.startswith(root)
         repo, inner = F.when(fits, name).otherwise(repo), F.when(fits, F.substr(place, F.lit(len(root) + 1))).otherwise(inner)
+    return files.withColumns({"repo": repo, "inner": inner})
+
+
+def checkout_listing(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
+    """All files of checked-out source trees with their sizes, from the listing alone: no file is opened."""
+    files = _checkout_files(spark, folders)
+    return files.select("repo", F.col("inner").alias("path"), F.col("length").alias("size"))
+
+
+def scan_checkouts(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
+    """Supported files of checked-out source trees with their text: ``folders`` is repository -> root folder.
+
+    Names reach the file source, so files that are not supported are neither opened nor listed as splits.
+    """
+    either = lambda c: f"[{c}{c.upper()}]" if c.isalpha() else c
+    endings = ",".join("".join(map(either, e)) for e in C.SUPPORTED_EXTENSIONS)
+    files = _checkout_files(spark, folders, f"*.{{{endings}}}")
     return files.select(
-        repo.alias("repo"), inner.alias("path"), F.col("length").alias("size"),
-        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
+        "repo", F.col("inner").alias("path"), F.col("length").alias("size"), F.make_valid_utf8(F.col("content").cast("string")).alias("content")
     )
 
 

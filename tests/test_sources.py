@@ -73,3 +73,16 @@ def test_texts_are_in_no_shuffle_of_the_measuring_step(spark):
     files = spark.createDataFrame([("a", "x.js", 9, "f(1)")], "repo string, path string, size int, content string")
     plan = analyze.predict(files.filter(F.col("size") > 1), None, None)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_files_that_are_not_supported_are_not_opened(spark, tmp_path):
+    for name in ("a.py", "B.JS", "c.txt", "Makefile", "d/e.Java", "f.pyc"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+    found = repos.scan_checkouts(spark, {"o/r": str(tmp_path)})
+    assert {r.path for r in found.collect()} == {"a.py", "B.JS", "d/e.Java"}
+    assert all(f.endswith((".py", ".JS", ".Java")) for f in found.inputFiles())
+    listing = repos.checkout_listing(spark, {"o/r": str(tmp_path)})
+    assert {(r.path, r.size) for r in listing.collect()} >= {("c.txt", 5), ("Makefile", 8), ("a.py", 4)} and listing.count() == 6
+    scan = listing._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in scan[scan.index("ReadSchema") :]

@@ -103,3 +103,72 @@ def test_rows_without_a_group_are_kept(spark):
     got = {r["id"]: r["rank"] for r in rank_rows(rows, ["g"], [F.col("id").asc()]).collect()}
     assert got == {1: 1, 2: 2, 3: 1}
     assert hash_ranks(rows, "g", "id", 1).count() == 3
+
+
+@pytest.mark.parametrize("kind", ["string", "double", "nulls"])
+def test_running_sums_where_a_group_covers_several_ranges(spark, kind):
+    rng = np.random.default_rng(8)
+    n = 3000
+    frame = pd.DataFrame(dict(id=np.arange(n), g=np.where(rng.uniform(size=n) < 0.8, 3, rng.integers(0, 6, n)), v=rng.integers(-5, 9, n)))
+    rows = spark.createDataFrame(frame).repartition(5)
+    g = F.col("g").cast("string" if kind == "string" else "double")
+    if kind == "nulls":
+        g = F.when(F.col("g") != 3, F.col("g"))  # the hot group is the one without a key
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = running_sums(rows.withColumn("g", g), ["g"], [F.col("id").asc()], {"s": F.col("v"), "r": F.lit(1)}).toPandas().sort_values("id")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert (got["s"].to_numpy() == frame.groupby("g")["v"].cumsum().to_numpy()).all()
+    assert (got["r"].to_numpy() == frame.groupby("g").cumcount().to_numpy() + 1).all()
+
+
+def test_running_sums_of_nothing(spark):
+    rows = spark.createDataFrame([], "g string, id int")
+    assert rank_rows(rows, ["g"], [F.col("id").asc()]).collect() == []
+
+
+def test_rows_are_shuffled_once_for_running_sums(spark, skewed):
+    rows = running_sums(spark.createDataFrame(skewed), ["g"], [F.col("id").asc()], {"s": F.col("label")})
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "rangepartitioning" not in plan and "Window" not in plan
+
+
+def test_medians(spark):
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 3, 10, 4001):
+        frame = pd.DataFrame(dict(
+            a=rng.normal(size=n), b=rng.integers(0, 3, n).astype(float), c=np.full(n, 2.5), d=rng.pareto(0.3, n), e=rng.integers(-5, 5, n)))
+        frame.loc[rng.uniform(size=n) < 0.3, "a"] = None
+        rows = spark.createDataFrame(frame.astype(object).where(frame.notna(), None), "a double, b double, c double, d double, e long").repartition(3)
+        got = evaluate.feature_stats(rows, list("abcde"), accuracy=50).toPandas().set_index("feature")
+        for name in frame:
+            values = frame[name].dropna()
+            if len(values):
+                assert got.loc[name, "median"] == pytest.approx(values.median(), abs=0) and got.loc[name, "max"] == values.max()
+            else:
+                assert name not in got.index
+    assert evaluate.feature_stats(rows.filter("false"), list("abcde")).collect() == []
+
+
+def test_a_bracket_that_misses_the_median_is_widened(spark, monkeypatch):
+    rows = spark.createDataFrame([(float(i),) for i in range(101)], "a double")
+    real = F.percentile_approx
+    monkeypatch.setattr(evaluate.F, "percentile_approx", lambda c, p, a: real(c, [0.9, 0.95], a))
+    assert evaluate.feature_stats(rows, ["a"]).first()["median"] == 50.0
+
+
+def test_permutation_deals_out_every_value_once(spark):
+    from math import gcd
+
+    from faultgauge.operators import train
+
+    for n in (1, 2, 3, 7, 8, 30, 399, 1000):
+        pairs = train.permutations(n, 10)
+        assert all(gcd(a, n) == 1 for a, _ in pairs)
+        for a, b in pairs:
+            assert sorted((a * r + b) % n for r in range(n)) == list(range(n))
