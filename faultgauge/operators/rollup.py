@@ -207,6 +207,22 @@ def analysis_with_files(analyses: DataFrame, files: DataFrame) -> DataFrame:
     return matched.unionByName(bare, allowMissingColumns=True)
 
 
+def analysis_nested(analyses: DataFrame, files: DataFrame, k: int = C.MAX_FILES_PER_REPO) -> DataFrame:
+    """Analyses with ``files``, their ``k`` riskiest files as a list in that order, and ``file_count`` of all of them.
+
+    The list is what a page shows, so it has a bound; ``analysis_with_files`` has every file, in rows. An analysis
+    without files has an empty list.
+    """
+    others = [c for c in files.columns if c != "analysis_id"]
+    best = top_k(files, ["analysis_id"], by_risk(), k).groupBy("analysis_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", F.struct(*others).alias("file")))), lambda x: x["file"]).alias("files")
+    )
+    counts = files.groupBy("analysis_id").agg(F.count("*").alias("file_count"))
+    joined = analyses.join(best, "analysis_id", "left").join(counts, "analysis_id", "left")
+    nothing = F.array().cast(best.schema["files"].dataType)
+    return joined.withColumns({"files": F.coalesce("files", nothing), "file_count": F.coalesce("file_count", F.lit(0).cast("bigint"))})
+
+
 def report_summary(analyses: DataFrame, files: DataFrame) -> DataFrame:
     """Five rows of metric, value and status for each analysis."""
     health = percent(1 - F.col("overall_risk"))

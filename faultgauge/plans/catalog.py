@@ -579,6 +579,15 @@ def analysis_with_files(spark: SparkSession, sf: str) -> DataFrame:
     return rollup.analysis_with_files(analyses, files)
 
 
+@query
+def analysis_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """Each analysis with a list of its files (spread into a text for the check)."""
+    files = X.analysis_files(spark, sf).filter(F.col("analysis_id") % 9 != 0).select("analysis_id", "file_path", "risk_score", "risk_level")
+    out = rollup.analysis_nested(X.analyses(spark, sf).select("analysis_id", "user_id"), files)
+    told = F.transform("files", lambda f: F.concat(f["file_path"], F.lit(" "), f["risk_level"]))
+    return out.select("analysis_id", "user_id", "file_count", F.array_join(told, "; ").alias("files"))
+
+
 @query
 def user_analyses(spark: SparkSession, sf: str) -> DataFrame:
     analyses = X.analyses(spark, sf).select("analysis_id", "user_id", "risk_level")

@@ -6,10 +6,14 @@ patterns, line lists instead of counted patterns, whole-table windows instead of
 
 from __future__ import annotations
 
-from faultgauge import constants as C
-from faultgauge.functions.lexical import one_of
-from faultgauge.operators.evaluate import THRESHOLDS
-from faultgauge.sources.fixtures import BLANK_TEXT, EXTENSION_CYCLE
+import re
+
+from faultgauge.plans import expected as C
+from faultgauge.plans.expected import BLANK_TEXT, EXTENSION_CYCLE, THRESHOLDS
+
+
+def one_of(words: list[str]) -> str:
+    return "|".join(re.escape(w) for w in words)
 
 
 def quoted(text: str) -> str:
@@ -493,6 +497,12 @@ SELECT repo, path, rank, CAST(CASE WHEN rank <= 5 THEN coalesce(cc, 1) ELSE 1 EN
 ORACLE["analysis_with_files"] = f"""WITH {ANALYSES}, {FILES}, k AS (SELECT * FROM f WHERE analysis_id % 9 <> 0)
 SELECT a.analysis_id, user_id, a.risk_level, file_path, risk_score FROM a LEFT JOIN k USING (analysis_id)"""
 
+ORACLE["analysis_nested"] = f"""WITH {ANALYSES}, {FILES}, k AS (SELECT * FROM f WHERE analysis_id % 9 <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY analysis_id ORDER BY risk_score DESC, file_path) AS rank,
+  count(*) OVER (PARTITION BY analysis_id) AS file_count FROM k),
+g AS (SELECT analysis_id, any_value(file_count) AS file_count, string_agg(concat(file_path, ' ', risk_level), '; ' ORDER BY rank) FILTER (rank <= 25) AS files FROM n GROUP BY 1)
+SELECT a.analysis_id, user_id, CAST(coalesce(file_count, 0) AS BIGINT) AS file_count, coalesce(files, '') AS files FROM a LEFT JOIN g USING (analysis_id)"""
+
 ORACLE["user_analyses"] = f"WITH {ANALYSES}, {USERS} SELECT analysis_id, user_id, risk_level, name FROM a JOIN u USING (user_id)"
 
 ORACLE["orphans"] = f"""WITH {FILES} SELECT analysis_id, file_path FROM f
