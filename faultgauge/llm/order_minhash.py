@@ -3,12 +3,11 @@
 A sketch draws the two labelled k-mers (five words and the number of their occurrence in the text) that a hash
 makes least, and keeps them in the order in which they stand: two texts agree on it with a probability that
 follows their edit similarity, as k-mers in another order do not count. Texts that share a sketch are first
-compared with one member of their bucket (and with one of a narrower bucket, of two sketches). Then, in rounds,
-further members become heads of the buckets that more than one class shares, those with most links first, until
-any two texts of a bucket are of one class or have been compared. A bucket of one class ends after a round or
-two; one of texts that are not alike takes comparisons by the square of its size, most of them by word counts
-alone. A pair counts if an alignment of its words, computed in a band, needs edits for at most a fifth of the
-longer text.
+compared with one member of their bucket (and with one of a narrower bucket, of two sketches). Then, in a few
+rounds, the classes that share a bucket each send one text to meet further members, those with most links first;
+comparisons grow with the texts, not with the square of a bucket. A pair counts if an alignment of its words,
+computed in a band, needs edits for at most a fifth of the longer text. ``exact`` compares until any two texts of
+a bucket are of one class or were compared.
 """
 
 from __future__ import annotations
@@ -29,7 +28,8 @@ BASE = np.uint64(0x100000001B3)
 CELLS = 1 << 21  # of an alignment table in memory at a time
 
 BAG = 128  # counts of words by their hash
-MORE_HEADS = 4  # times as many heads of a bucket in each round
+HEADS, ROUNDS = 4, 3  # members of a bucket that its components meet in a round
+MORE_HEADS = 4  # times as many heads of a bucket in each round of the exact comparison
 
 SIGNATURE = pa.schema([("node", pa.int64()), ("words", pa.int64()), ("sketches", pa.list_(pa.int64())), ("bag", pa.binary())])
 
@@ -274,11 +274,14 @@ def by_bags(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def linked(found: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, component`` of the texts that have links: any two that share a sketch are of one component or were compared.
+def linked(found: DataFrame, texts: DataFrame, nodes: DataFrame, exact: bool = False) -> DataFrame:
+    """``node, component`` of the texts that have links.
 
-    A head is compared with all members of its bucket that are of other components then. Each round has
-    more heads, dealt by salt; a bucket is used up when it holds one component or all but one have been heads.
+    In each round every component that a bucket holds sends one text, the one with most links, to meet ``HEADS``
+    others of the bucket (dealt by salt, most links first, no text twice). So a round makes at most ``HEADS``
+    comparisons for each text of a bucket, whatever the bucket's size. There are ``ROUNDS`` of them; ``exact`` sends
+    all texts instead, has four times the heads each round, and goes on until any two texts of a bucket are of one
+    component or were compared, which takes the square of the size of a bucket of unlike texts.
     """
     pairs = written(candidates(found), "pairs")
     links = written(verified(pairs, texts, nodes), "near")
@@ -287,52 +290,56 @@ def linked(found: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
     each = each.select("node", "words", F.xxhash64("i", "wide").alias("bucket"))
     shared = each.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = written(each.join(shared.select("bucket"), "bucket").withColumn("done", F.lit(False)), "members")
-    heads = 1
-    while True:
+    heads, round_ = (1 if exact else HEADS), 0
+    while exact or round_ < ROUNDS:
         degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
         state = members.join(class_of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        state = state.join(degrees, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
         state = written(state, "state")
         buckets = state.groupBy("bucket").agg(
             F.min("component").alias("least"), F.max("component").alias("most"), F.count_if(~F.col("done")).alias("left")
         )
-        state = state.join(buckets.filter("least <> most and left > 1").select("bucket"), "bucket", "left_semi")
-        state = written(state.join(degrees, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), "state")
+        open_ = buckets.filter("least <> most and left > 1").select("bucket")
+        state = written(state.join(open_, "bucket", "left_semi"), "state")
         if state.isEmpty():
-            return class_of
-        salt = F.pmod(F.xxhash64("node", F.lit(heads)), F.lit(heads)).alias("salt")
+            break
         first = F.min(F.struct(-F.col("degree"), F.xxhash64("node"), "node", "words", "component"))
+        sent = state.select("bucket", F.struct("node", "words", "component").alias("own"))
+        if not exact:
+            sent = state.groupBy("bucket", "component").agg(first.alias("best")).select("bucket", F.struct("best.node", "best.words", "component").alias("own"))
+        salt = F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(heads)).alias("salt")
         chosen = state.filter(~F.col("done")).groupBy("bucket", salt).agg(first.alias("head"))
         chosen = written(chosen.select("bucket", "head.node", "head.words", "head.component"), "heads")
         met = (
-            state.select("bucket", F.struct("node", "words", "component").alias("own"))
-            .join(chosen.select("bucket", F.struct("node", "words", "component").alias("head")), "bucket")
+            sent.join(chosen.select("bucket", F.struct("node", "words", "component").alias("head")), "bucket")
             .filter((F.col("own.component") != F.col("head.component")) & near("own", "head"))
             .select(F.least("own.node", "head.node").alias("a"), F.greatest("own.node", "head.node").alias("b"))
         )
         new = written(met.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-        pairs = pairs.union(new)
+        pairs = written(pairs.union(new), "pairs")
         more = written(verified(written(by_bags(new, found), "alike"), texts, nodes), "near")
         if not more.isEmpty():
-            links = links.union(more)
+            links = written(links.union(more), "near")
             class_of = written(components(class_of.toDF("a", "b").union(more)), "classes")
         was = chosen.select("bucket", "node", F.lit(True).alias("was"))
         members = state.join(was, ["bucket", "node"], "left")
         members = members.select("node", "words", "bucket", (F.col("done") | F.col("was").isNotNull()).alias("done"))
-        heads *= MORE_HEADS
+        heads, round_ = (heads * MORE_HEADS if exact else heads), round_ + 1
+    return class_of
 
 
-def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def grouped(docs: DataFrame, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rows ``doc_id, text, node`` of ``docs``, and for each distinct text (``node``) its least id, number of rows and component."""
     bounded_batches(docs.sparkSession)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
     # copies count as one text; the one with the least id is read
     nodes = written(texts.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "nodes")
     found = signatures(texts).groupBy("node").agg(*[F.first(c).alias(c) for c in ("words", "sketches", "bag")])
-    named = nodes.join(linked(written(found, "signatures"), texts, nodes), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = nodes.join(linked(written(found, "signatures"), texts, nodes, exact), "node", "left").withColumn("component", F.coalesce("component", "node"))
     return texts, named
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, exact: bool = False) -> DataFrame:
     """``doc_id, class_id, n_class`` of every row of ``docs(doc_id, text)``: near copies are of one class.
 
     ``class_id`` is the least ``doc_id`` of the class, ``n_class`` the number of its rows. Equal texts are always
@@ -341,7 +348,7 @@ def classes(docs: DataFrame) -> DataFrame:
     the class of their text; if no row of that text has an id, it is compared with no other text and the class
     has none either. An empty table gives no rows.
     """
-    texts, named = grouped(docs)
+    texts, named = grouped(docs, exact)
     sums = named.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("n_class"))
     class_of = named.select("node", "component").join(sums, "component").select("node", "class_id", "n_class")
     return texts.select("doc_id", "node").join(class_of, "node").select("doc_id", "class_id", "n_class")
