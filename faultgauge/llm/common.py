@@ -33,6 +33,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made, when everything that was to be read from them has been written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key and text alone, in bounded batches; a null text reads as the empty one."""
     bounded_batches(df.sparkSession)

@@ -112,10 +112,10 @@ def op6_soft_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op5_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document without its repeated strings of 400 bytes."""
+    """Every document without its repeated strings of 400 bytes; ``text`` is what is left of it."""
     found = suffix_dedup.removed(table(spark, sf, "documents").select("doc_id", "text"))
     digest = F.sha2(F.col("kept"), 256).alias("kept_sha256")
-    return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", digest)
+    return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", digest, F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 @query

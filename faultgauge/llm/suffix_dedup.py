@@ -23,15 +23,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from faultgauge.llm.common import bounded_batches, slices, written
+from faultgauge.llm.common import bounded_batches, forget, slices, written
 from faultgauge.llm.difference_cover import ranks
 from faultgauge.llm.ordering import placed
 
 LENGTH = 400
 GRAM = 16  # bytes that an anchor's hash looks at
-CHUNK = 2_000  # neighbours compared in one group
 
 ANCHOR = pa.schema([("node", pa.int64()), ("f", pa.int64()), ("u", pa.int64()), ("spot", pa.int64())])
 
@@ -182,31 +182,51 @@ def common(a: bytes, b: bytes) -> int:
     return low
 
 
-def neighbours(ordered: DataFrame, shape: Shape) -> DataFrame:
-    """``id, l, r``: for each row and its neighbours of the same ``f`` in the order of ``place``, the bytes that agree before
-    and after the anchor. Rows are compared in groups; the first one of a group is also the last one of that before.
+SIDES = ["id", "f", "left", "right"]
+NEIGHBOUR = pa.schema([
+    ("id", pa.int64()), ("l", pa.int32()), ("r", pa.int32()), ("part", pa.int32()), ("f", pa.int64()), ("left", pa.binary()), ("right", pa.binary()),
+])
+
+
+def neighbours(rows: DataFrame, keys: list[str], shape: Shape) -> DataFrame:
+    """``id, l, r``: for each of ``rows(id, f, left, right)`` and its neighbours of the same ``f`` in the order of ``keys``, the
+    bytes that agree before and after the anchor.
+
+    Ranges are sorted and compared where they are. The first and last row of each also go to the driver, which
+    compares those at which two ranges meet.
     """
-    own = F.expr(f"place div {CHUNK}")
-    both = F.when((F.col("place") % CHUNK == 0) & (F.col("place") > 0), F.array(own, own - 1)).otherwise(F.array(own))
-    dealt = ordered.select("id", "f", "left", "right", "place", F.explode(both).alias("chunk"))
-    found = pa.schema([("id", pa.int64()), ("l", pa.int32()), ("r", pa.int32())])
+    spark = rows.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the row before
+        part, last = TaskContext.get().partitionId(), None  # the row before
         for batch in batches:
-            ids, ls, rs = [], [], []
-            for row in zip(*[batch.column(i).to_pylist() for i in range(5)]):
-                if last and last[4] == row[4] and last[1] == row[1]:
-                    l, r = common(last[2], row[2]), shape.inner + common(last[3], row[3])
-                    ids += [last[0], row[0]]
-                    ls += [l, l]
-                    rs += [r, r]
+            out = []
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if last is None:
+                    out.append((row[0], 0, None, part, *row[1:]))
+                elif last[1] == row[1]:
+                    l, r = agreement(last, row, shape)
+                    out += [(last[0], l, r, None, None, None, None), (row[0], l, r, None, None, None, None)]
                 last = row
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids, ls, rs), found)], schema=found)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [[]] * len(NEIGHBOUR), NEIGHBOUR)], schema=NEIGHBOUR)
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((last[0], 1, None, part, *last[1:]), NEIGHBOUR)], schema=NEIGHBOUR)
 
-    pieces = int(ordered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = dealt.repartition(pieces, "chunk").sortWithinPartitions("chunk", "place")
-    return sorted_.select("id", "f", "left", "right", "chunk").mapInArrow(run, "id long, l int, r int")
+    pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = rows.repartitionByRange(pieces, *keys).sortWithinPartitions(*keys).select(*SIDES)
+    found = written(sorted_.mapInArrow(run, "id long, l int, r int, part int, f long, left binary, right binary"), "neighbours")
+    # a range brings its first row (0) and its last one (1), which may be the same
+    ends: dict[int, list] = {}
+    for r in sorted(found.filter(F.col("part").isNotNull()).drop("r").collect(), key=lambda r: (r["part"], r["l"])):
+        ends.setdefault(r["part"], []).append((r["id"], r["f"], r["left"], r["right"]))
+    parts = [ends[p] for p in sorted(ends)]
+    met = [(a[-1], b[0]) for a, b in zip(parts, parts[1:]) if a[-1][1] == b[0][1]]
+    edges = [(x[0], *agreement(a, b, shape)) for a, b in met for x in (a, b)]
+    return found.filter(F.col("part").isNull()).select("id", "l", "r").union(spark.createDataFrame(edges, "id long, l int, r int"))
+
+
+def agreement(a: tuple, b: tuple, shape: Shape) -> tuple[int, int]:
+    return common(bytes(a[2]), bytes(b[2])), shape.inner + common(bytes(a[3]), bytes(b[3]))
 
 
 def decided(length: int) -> tuple[Column, Column]:
@@ -273,15 +293,14 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     symbols = placed(string.select(*keys, "block"), ["block"], keys, keys).select(*keys, F.col("name").alias("symbol"))
     text = written(places.join(symbols, keys).select(F.col("id").alias("pos"), "symbol"), "symbols")
     order = ranks(text, size["n"], size["reach"] + 1).select(F.col("pos").alias("id"), "rank")
-    asked = (
-        string.filter(F.col("f").isNotNull()).join(places, keys).join(order, "id")
-        .withColumns({"most": most.cast("int"), "least": least.cast("int")}).drop("spot", "reach")
-    )
-    asked = written(asked, "asked")
-    sides = ["id", "f", "left", "right"]
-    onward = placed(asked.select(*sides, "rank"), ["rank"], [], sides)
-    back = placed(asked.select(*sides), ["f", "left"], ["id"], sides)
-    met = neighbours(onward, shape).union(neighbours(back, shape)).groupBy("id").agg(
+    # the rows with bytes are joined once, with what the narrow ones have together
+    ids = string.filter(F.col("f").isNotNull()).select(*keys).join(places, keys).join(order, "id")
+    asked = string.filter(F.col("f").isNotNull()).drop("block", "reach").join(ids, keys)
+    asked = written(asked.withColumns({"most": most.cast("int"), "least": least.cast("int")}).drop("spot"), "asked")
+    forget(text, places)
+    onward = neighbours(asked.select(*SIDES, "rank"), ["rank"], shape)
+    back = neighbours(asked.select(*SIDES), ["f", "left", "id"], shape)
+    met = onward.union(back).groupBy("id").agg(
         F.collect_set(F.struct("l", "r")).alias("met")  # at most four
     )
     good, rest = decided(length)
@@ -291,14 +310,17 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         "node", (F.col("at") - F.col("x.b")).alias("start"), (F.col("at") - F.col("x.a") + length).alias("stop")
     )
     undecided = open_.filter(F.size("rest") > 0)
-    content = windows(asked.join(undecided.select("f").distinct(), "f", "left_semi"), shape)
+    doubtful = asked.join(undecided.select("f").distinct(), "f", "left_semi")
+    content = windows(doubtful.join(string.select(*keys, "block"), keys), shape)
     content = written(content, "windows")
     same = content.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
     single = undecided.select("id", "node", "at", F.explode("rest").alias("distance"))
     hits = single.join(content, ["id", "distance"]).join(same, "window", "left_semi").select(
         "node", (F.col("at") - F.col("distance")).alias("start"), (F.col("at") - F.col("distance") + length).alias("stop")
     )
-    return clear.union(ranges).union(hits)
+    spans = written(clear.union(ranges).union(hits), "spans")
+    forget(again, kinds, string, asked, open_, content)
+    return spans
 
 
 def cut(data: bytes, starts: list[int], stops: list[int]) -> tuple[bytes, int, int]:
