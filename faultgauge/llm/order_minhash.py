@@ -26,6 +26,7 @@ SKETCHES = 32
 SIMILARITY = 0.8
 BASE = np.uint64(0x100000001B3)
 CELLS = 1 << 21  # of an alignment table in memory at a time
+AT_ONCE = 1 << 15  # k-mers times seeds hashed at a time
 
 BAG = 128  # counts of words by their hash
 HEADS, ROUNDS = 4, 3  # members of a bucket that its components meet in a round
@@ -80,13 +81,17 @@ def sketches(words: np.ndarray, seeds: np.ndarray = SEEDS) -> np.ndarray:
         label[order] = (place - np.maximum.accumulate(np.where(new, place, 0))).astype(np.uint64)
         kmers = kmers + mix(label)
     first, second = np.empty(len(seeds), np.int64), np.empty(len(seeds), np.int64)
-    for i, seed in enumerate(seeds):
-        h = (kmers ^ seed) * np.uint64(0x9E3779B97F4A7C15)
+    # several seeds at a time, as many as the text leaves room for
+    step = max(1, AT_ONCE // n)
+    for start in range(0, len(seeds), step):
+        some = slice(start, min(start + step, len(seeds)))
+        h = (kmers[None, :] ^ seeds[some, None]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
-        first[i] = h.argmin()
-        h[first[i]] = np.uint64(2**64 - 1)
-        second[i] = h.argmin()
+        least = h.argmin(axis=1)
+        first[some] = least
+        h[np.arange(len(least)), least] = np.uint64(2**64 - 1)
+        second[some] = h.argmin(axis=1)
     # in the order of the text
     one, other = kmers[np.minimum(first, second)], kmers[np.maximum(first, second)]
     return mix(one * np.uint64(0xE7037ED1A0B428DB) + other).view(np.int64)
