@@ -33,7 +33,8 @@ def op10_syncmers(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op8_warc_index(spark: SparkSession, sf: str) -> DataFrame:
     """Every page written to archives and read back; the pages carry no time, so their ids stand for seconds."""
-    seconds = F.timestamp_seconds(F.lit(1_600_000_000) + F.coalesce("page_id", F.lit(0)))
+    # ids may be hashes of any size; a time has to stay within a century
+    seconds = F.timestamp_seconds(F.lit(1_600_000_000) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(1 << 31)))
     index = warc.capture_index(table(spark, sf, "pages").withColumn("captured", seconds))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

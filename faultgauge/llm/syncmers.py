@@ -2,8 +2,8 @@
 
 A k-mer of bytes is an anchor when its least inner s-mer (by a fixed hash) stands at either edge of it. The
 choice looks at nothing outside the k-mer, so equal passages hold equal anchors wherever they stand. A
-fingerprint keeps the anchors with the least hashes, each with its first position; two fingerprints are
-alike in so far as they share anchors in the same order.
+fingerprint keeps the anchors with the least hashes, a fixed share of all and a number of them at least, each
+with its first position; two fingerprints are alike in so far as they share anchors in the same order.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from faultgauge.llm.common import slices, texts
 INNER = 8  # bytes of the inner substring
 WINDOW = 17  # inner substrings in a k-mer
 K = INNER + WINDOW - 1
-ANCHORS = 64  # anchors in a fingerprint
+ANCHORS = 64  # anchors in a fingerprint, at least
+LIMIT = 1 << 28  # hashes below it, one in sixteen, are all in the fingerprint, so that it grows with a long text
 
 SCHEMA = (
     "doc_id {key}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
@@ -64,9 +65,15 @@ Print = tuple[tuple[int, ...], tuple[int, ...]]
 
 def fingerprint(text: str, size: int = ANCHORS) -> Print:
     hashes, at = anchors(text.encode())
+    size = max(size, int(np.searchsorted(hashes, LIMIT)))
     return tuple(hashes[:size].tolist()), tuple(at[:size].tolist())
 
 
+def complete(print_: Print, size: int = ANCHORS) -> int:
+    """The greatest hash up to which a fingerprint has every anchor of its text."""
+    return 1 << 32 if len(print_[0]) < size else max(print_[0][-1], LIMIT - 1)
+
+
 def as_text(print_: Print) -> str:
     """Eight hexadecimal digits for the hash and eight for the position of each anchor; empty for an empty text."""
     return "".join(f"{h:08x}{p:08x}" for h, p in zip(*print_))
@@ -75,7 +82,7 @@ def as_text(print_: Print) -> str:
 def likeness(a: Print, b: Print, size: int = ANCHORS) -> float:
     """Share of both texts that their anchors have in common, in the same order; 0 to 1.
 
-    Of the least hashes of both fingerprints together, those in both are counted as far as their positions
+    Of the hashes up to which both fingerprints are complete, those in both are counted as far as their positions
     rise in step (the longest such chain); the Jaccard ratio j is returned as the share 2j / (1 + j).
     """
     if a == b:
@@ -83,8 +90,8 @@ def likeness(a: Print, b: Print, size: int = ANCHORS) -> float:
     if not a[0] or not b[0]:
         return 0.0
     there = dict(zip(*b))
-    least = sorted({*a[0], *b[0]})[:size]
-    last = least[-1]
+    last = min(complete(a, size), complete(b, size))
+    least = {h for h in (*a[0], *b[0]) if h <= last}
     shared = sorted((p, there[h]) for h, p in zip(*a) if h <= last and h in there)
     chain: list[int] = []
     for _, p in shared:

@@ -200,3 +200,10 @@ def test_pipeline(spark):
             assert docs.select("text").distinct().count() == docs.count()
     assert counts[0] > counts[1] > counts[2] >= counts[3] and counts[4] > counts[3] and counts[5] == counts[4]
     assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(docs.columns)
+
+
+def test_ids_of_any_size_in_archives(spark, tmp_path):
+    rows = [(2**62 + 5, "http://h.org/a", "<p>x"), (-(2**61), "http://h.org/a", "<p>x"), (3 * 10**11, "http://h.org/b", None), (4, None, "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.record_type, r.refers_to) for r in queries.QUERIES["op8_warc_index"](spark, str(tmp_path)).collect()}
+    assert got == {-(2**61): ("response", None), 2**62 + 5: ("revisit", -(2**61)), 4: ("response", None), 3 * 10**11: ("revisit", 4)}

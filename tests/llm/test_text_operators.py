@@ -128,6 +128,32 @@ def test_likeness_of_equal_half_and_other_texts():
     assert syncmers.likeness(f(""), f("")) == 1 and syncmers.likeness(f(""), f("x")) == 0 and syncmers.as_text(f("")) == ""
 
 
+def test_anchors_by_hand():
+    """Each place of a text in turn: the least of 17 hashes of eight bytes stands first or last."""
+    data = (" ".join(prose(31, 400)) + "é日本 " * 20).encode()
+    hashes = [int(syncmers.mix(np.array([int.from_bytes(data[i : i + 8], "little")], np.uint64))[0]) for i in range(len(data) - 7)]
+    want = {}
+    for i in range(len(data) - 23):
+        window = hashes[i : i + 17]
+        if min(window) in (window[0], window[-1]):
+            want.setdefault(data[i : i + 24], i)
+    found, at = syncmers.anchors(data)
+    assert sorted(at.tolist()) == sorted(want.values()) and found.tolist() == sorted(found.tolist())
+    all_below = [(h, p) for h, p in zip(found.tolist(), at.tolist()) if h < syncmers.LIMIT]
+    kept = list(zip(*syncmers.fingerprint(data.decode())))
+    assert kept[: len(all_below)] == all_below and len(kept) == max(syncmers.ANCHORS, len(all_below))
+
+
+def test_a_short_shared_passage_of_long_texts_is_seen():
+    passage = prose(40, 600)
+    for seed in range(3):
+        a, b = (prose(50 + 2 * seed + k, 20_000) for k in (0, 1))
+        a[5_000:5_600] = b[11_000:11_600] = passage
+        prints = [syncmers.fingerprint(" ".join(t)) for t in (a, b)]
+        assert 0.01 < syncmers.likeness(*prints) < 0.08
+        assert all(len(p[0]) > 500 for p in prints)
+
+
 def test_anchors_depend_on_nothing_around_them():
     data = " ".join(prose(9, 60)).encode()
     inner = set(syncmers.anchors(data)[0].tolist())
