@@ -24,7 +24,9 @@ HEADLINE = [
     # evaluation
     "stratified_split", "threshold_sweep", "roc_auc", "cv_summary", "feature_stats",
     # writing and the grammar
-    "persist_analysis", "py_ast_facts", "ast_fallback",
+    "persist_analysis", "analyze_and_store", "py_ast_facts", "ast_fallback",
+    # comparisons of fits
+    "oof_scores", "permutation_importance",
 ]
 
 
