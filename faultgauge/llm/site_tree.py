@@ -12,6 +12,7 @@ each shuffle, and a page is joined only with the paths that it has itself.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from urllib.parse import urlsplit
@@ -58,6 +59,8 @@ TOKEN = re.compile(
     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|[^<]+|<",
     re.I | re.S,
 )
+#: Behind the last ``>`` no tag ends any more; what would be one is text, and is not looked at to the end of the page again.
+TAIL = re.compile(r"(?:<!--|<[!?/]).*|[^<]+|<|((((?!))))", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORDS = re.compile(r"[a-z0-9]+")
 
@@ -96,6 +99,14 @@ def opened(tag: str, attributes: str, parent: Element, unimportant: frozenset[in
     return e
 
 
+def tokens(html: str) -> Iterator[re.Match]:
+    last, at = html.rfind(">"), 0
+    while at < len(html):
+        m = (TOKEN if at <= last else TAIL).match(html, at)
+        yield m
+        at = m.end()
+
+
 def walk(html: str, unimportant: frozenset[int] = frozenset()) -> tuple[list[tuple[Element, str]], dict[int, list[tuple[int, int]]]]:
     """Blocks of a page in their order, and what each element path says and holds.
 
@@ -104,6 +115,7 @@ def walk(html: str, unimportant: frozenset[int] = frozenset()) -> tuple[list[tup
     """
     root = Element("", 0, 0)
     stack = [root]
+    open_: Counter[str] = Counter()  # elements on the stack by tag
     blocks, signatures = [], {}
     parts: list[str] = []
 
@@ -117,13 +129,14 @@ def walk(html: str, unimportant: frozenset[int] = frozenset()) -> tuple[list[tup
 
     def close() -> None:
         e = stack.pop()
+        open_[e.tag] -= 1
         content = xxhash.xxh3_64_intdigest("\n".join(e.said).encode()) - 2**63
         layout = xxhash.xxh3_64_intdigest(" ".join(e.held).encode()) - 2**63
         signatures.setdefault(e.path, []).append((content, layout))
         if e.said:
             stack[-1].said.append(str(content))
 
-    for m in TOKEN.finditer(html):
+    for m in tokens(html):
         tag = m[3]
         if tag is None:
             token = m[0]
@@ -135,11 +148,11 @@ def walk(html: str, unimportant: frozenset[int] = frozenset()) -> tuple[list[tup
         tag = tag.lower()
         block = tag not in INLINE
         if m[2]:
-            if any(e.tag == tag for e in stack[1:]):
+            if open_[tag]:
                 if block or stack[-1].fixed == -1:
                     flush()
                 # an inline end tag does not close the block around it
-                last = max(i for i, e in enumerate(stack) if e.tag == tag)
+                last = next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag)
                 if block or all(e.tag in INLINE for e in stack[last:]):
                     while len(stack) > last:
                         close()
@@ -149,12 +162,12 @@ def walk(html: str, unimportant: frozenset[int] = frozenset()) -> tuple[list[tup
         if not block and tag in VOID:
             parts.append(" " if tag == "br" else "")
             continue
-        if tag in ("html", "body") and any(e.tag == tag for e in stack):
+        if tag in ("html", "body") and open_[tag]:
             continue
         if block:
             flush()
-            if any(e.tag == "p" for e in stack[1:]) and tag not in ("body", "html"):
-                last = max(i for i, e in enumerate(stack) if e.tag == "p")
+            if open_["p"] and tag not in ("body", "html"):
+                last = next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p")
                 if all(e.tag in INLINE for e in stack[last + 1 :]):
                     while len(stack) > last:
                         close()
@@ -174,6 +187,7 @@ def walk(html: str, unimportant: frozenset[int] = frozenset()) -> tuple[list[tup
         if tag in VOID:
             continue
         stack.append(e)
+        open_[tag] += 1
     flush()
     while len(stack) > 1:
         close()

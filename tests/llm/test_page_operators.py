@@ -207,3 +207,16 @@ def test_ids_of_any_size_in_archives(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     got = {r.page_id: (r.record_type, r.refers_to) for r in queries.QUERIES["op8_warc_index"](spark, str(tmp_path)).collect()}
     assert got == {-(2**61): ("response", None), 2**62 + 5: ("revisit", -(2**61)), 4: ("response", None), 3 * 10**11: ("revisit", 4)}
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a '", "<script ", "<!--", "<div>x", "<b>x", "</p", "<p>t<a "])
+def test_odd_pages_take_time_in_proportion(part):
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        site_tree.main_text(part * n, frozenset())
+        return time.process_time() - began
+
+    # sixteen times the page: the square would be 256 times the time
+    assert seconds(32_000) < 60 * max(seconds(2_000), 0.005)
