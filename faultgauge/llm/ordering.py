@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
@@ -16,6 +18,11 @@ BASES = StructType([
 ])
 
 
+def unlike(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Whether values at the same place differ; nulls are alike."""
+    return pc.coalesce(pc.not_equal(a, b), pc.xor(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+
+
 def placed(df: DataFrame, keys: list[str], tie: list[str], keep: list[str], mark: str | None = None, pieces: int | None = None) -> DataFrame:
     """``keep`` columns with ``place``, ``name`` and, where ``mark`` is a boolean column, ``marked``.
 
@@ -35,23 +42,21 @@ def placed(df: DataFrame, keys: list[str], tie: list[str], keep: list[str], mark
         part, row, name, marks, last = TaskContext.get().partitionId(), 0, 0, 0, None
         for batch in batches:
             n = batch.num_rows
-            names, before = [], []
-            for key in zip(*[batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys]):
-                if key != last:
-                    name, last = name + 1, key
-                names.append(name)
+            if not n:
+                continue
+            columns = [batch.column(batch.schema.get_field_index(k)) for k in keys]
+            steps = np.zeros(n, np.int64)  # 1 where a row's key is not that of the row before
+            steps[0] = last != [c[0].as_py() for c in columns]
+            for c in columns:
+                steps[1:] |= unlike(c.slice(1), c.slice(0, n - 1))
+            names = name + np.cumsum(steps)
+            flags = np.zeros(n, np.int64)
             if mark:
-                for m in batch.column(batch.schema.get_field_index(mark)).to_pylist():
-                    before.append(marks)
-                    marks += bool(m)
-            else:
-                before = [0] * n
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([part] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()),
-                 pa.array(names, pa.int64()), pa.array(before, pa.int64())],
-                schema=pa.schema([*batch.schema, *extra]),
-            )
-            row += n
+                flags += pc.fill_null(batch.column(batch.schema.get_field_index(mark)), False).to_numpy(zero_copy_only=False)
+            before = marks + np.cumsum(flags) - flags
+            numbers = [pa.array(np.full(n, part, np.int32)), *[pa.array(x) for x in (np.arange(row, row + n), names, before)]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *numbers], schema=pa.schema([*batch.schema, *extra]))
+            row, name, marks, last = row + n, int(names[-1]), marks + int(flags.sum()), [c[n - 1].as_py() for c in columns]
 
     schema = StructType([*dealt.schema.fields, *[StructField(f.name, IntegerType() if f.name == "_part" else LongType()) for f in extra]])
     parts = written(dealt.mapInArrow(run, schema), "order")

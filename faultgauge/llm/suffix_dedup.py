@@ -8,10 +8,11 @@ windows of one anchor share the ``inner`` bytes after it.
    whole surroundings occur twice rule them all in, and count as one from there on.
 2. Of what is left, the texts at and after anchors become one string of symbols (ranks of inner strings), whose
    suffixes the difference-cover algorithm sorts. Anchors next to each other are compared byte by byte; the
-   neighbours in this order have the longest common continuation that any other place has.
+   neighbours in this order have the longest common continuation that any other place has. Suffixes are told
+   apart by ``DEPTH`` symbols; the windows of an anchor that reach over more (dense anchors) go to step 4.
 3. The same in the order of what stands before the anchor. A window is repeated if one neighbour agrees on both
    sides; it is not if no neighbour agrees far enough on one side.
-4. The few windows that this leaves open (both ends near a difference) are compared by their content.
+4. The few windows that this leaves open (both ends near a difference, or dense) are compared by their content.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from faultgauge.llm.ordering import placed
 
 LENGTH = 400
 GRAM = 16  # bytes that an anchor's hash looks at
+DEPTH = 9  # symbols that tell suffixes apart; ordinary windows reach over two to six anchors
 
 ANCHOR = pa.schema([("node", pa.int64()), ("f", pa.int64()), ("u", pa.int64()), ("spot", pa.int64())])
 
@@ -77,11 +79,6 @@ def anchors(data: bytes, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return at[first], first, np.append(first[1:], starts) - 1
 
 
-def packed(place: int, before: int, least: int) -> int:
-    """An anchor's place and the greatest and least distance of its windows' starts before it."""
-    return place << 32 | before << 16 | least
-
-
 def spot(column: Column) -> tuple[Column, Column, Column]:
     return F.shiftright(column, 32), F.shiftright(column, 16).bitwiseAND(0xFFFF), column.bitwiseAND(0xFFFF)
 
@@ -91,26 +88,30 @@ def signed(digest: int) -> int:
 
 
 def scan(docs: DataFrame, shape: Shape) -> DataFrame:
-    """Anchors that have windows: ``node, f`` (inner string), ``u`` (all bytes of its windows), ``spot``."""
+    """Anchors that have windows: ``node, f`` (inner string), ``u`` (all bytes of its windows), ``spot`` (place and
+    distances, see ``spot``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for part in slices(batches, "data", 4 << 20):
-            nodes, fs, us, spots = [], [], [], []
+            nodes, spots, fs, us = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [], []
             for node, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 end = len(data) - shape.length
                 if end < 0:
                     continue
-                for s, a, b in zip(*[x.tolist() for x in anchors(data, shape)]):
-                    if a > end:
-                        break
-                    b = min(b, end)
-                    nodes.append(node)
-                    fs.append(signed(digest(data[s : s + shape.inner])))
-                    # the seed tells surroundings apart that begin elsewhere before the anchor
-                    us.append(signed(digest(data[a : b + shape.length], (s - a) << 16 | (s - b))))
-                    spots.append(packed(s, s - a, s - b))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (nodes, fs, us, spots)], schema=ANCHOR)
+                at, first, last = anchors(data, shape)
+                n = int(np.searchsorted(first, end, "right"))
+                at, first, last = at[:n], first[:n], np.minimum(last[:n], end)
+                # greatest and least distance of the windows' starts before the anchor
+                distances = (at - first) << 16 | (at - last)
+                fs += [digest(data[s : s + shape.inner]) for s in at.tolist()]
+                # the seed tells surroundings apart that begin elsewhere before the anchor
+                spans = zip(first.tolist(), (last + shape.length).tolist(), distances.tolist())
+                us += [digest(data[a:b], seed) for a, b, seed in spans]
+                nodes.append(np.full(n, node, np.int64))
+                spots.append(at << 32 | distances)
+            columns = [np.concatenate(nodes), *[np.array(x, np.uint64).view(np.int64) for x in (fs, us)], np.concatenate(spots)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=ANCHOR)
 
     return docs.select("node", "data").mapInArrow(run, "node long, f long, u long, spot long")
 
@@ -230,16 +231,17 @@ def agreement(a: tuple, b: tuple, shape: Shape) -> tuple[int, int]:
 
 
 def decided(length: int) -> tuple[Column, Column]:
-    """For a row with ``most, least`` (distances of window starts before the anchor) and ``met`` (agreements with
-    neighbours): ranges of distances at which windows are repeated, and the single ones that stay open.
+    """For a row with ``most, least`` (distances of window starts before the anchor), ``met`` (agreements with
+    neighbours) and ``far`` (its windows reach beyond the order): ranges of distances at which windows are
+    repeated, and the single ones that stay open.
     """
-    met, most, least = F.col("met"), F.col("most"), F.col("least")
+    met, most, least, far = F.col("met"), F.col("most"), F.col("least"), F.col("far")
     each = F.transform(
         met, lambda m: F.struct(F.greatest(least, length - m["r"]).alias("a"), F.least(most, m["l"]).alias("b"))
     )
     good = F.array_distinct(F.filter(each, lambda x: x["a"] <= x["b"]))
-    # no other place agrees with this one for longer than a neighbour does
-    low = F.greatest(least, length - F.array_max(F.transform(met, lambda m: m["r"])))
+    # no other place agrees with this one for longer than a neighbour does, as far as the order goes
+    low = F.when(far, least).otherwise(F.greatest(least, length - F.array_max(F.transform(met, lambda m: m["r"]))))
     high = F.least(most, F.array_max(F.transform(met, lambda m: m["l"])))
     rest = F.when(low <= high, F.filter(F.sequence(low, high), lambda a: ~F.exists(good, lambda x: a.between(x["a"], x["b"]))))
     return good, F.coalesce(rest, F.array().cast("array<int>"))
@@ -269,10 +271,11 @@ def windows(rows: DataFrame, shape: Shape) -> DataFrame:
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``node, start, stop`` of stretches that repeated windows cover in ``docs(node, data)``; they may overlap."""
     shape = Shape(length)
-    found = scan(docs, shape)
+    found = written(scan(docs, shape), "scanned")
     twice = found.groupBy("f").agg(F.count("*").alias("n")).filter("n > 1").select("f")
     again = written(found.join(twice, "f", "left_semi"), "anchors")
-    kinds = again.groupBy("f", "u").agg(F.count("*").alias("n"), F.min(F.struct("node", "spot")).alias("one"))
+    forget(found)
+    kinds = again.groupBy("f", "u").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min_by("spot", "node").alias("spot"))
     kinds = written(kinds, "surroundings")
     place, most, least = spot(F.col("spot"))
     clear = again.join(kinds.filter("n > 1").select("f", "u"), ["f", "u"], "left_semi").select(
@@ -280,7 +283,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     )
     # inner strings with several surroundings, some of which occur once
     mixed = kinds.groupBy("f").agg(F.count("*").alias("k"), F.count_if(F.col("n") == 1).alias("single")).filter("k > 1 and single > 0")
-    wanted = kinds.join(mixed.select("f"), "f", "left_semi").select("one.node", "one.spot", "f", (F.col("n") == 1).alias("open"))
+    wanted = kinds.join(mixed.select("f"), "f", "left_semi").select("node", "spot", "f", (F.col("n") == 1).alias("open"))
 
     string = written(contexts(docs, wanted, shape), "string")
     size = string.agg(F.count("*").alias("n"), F.max("reach").alias("reach")).first()
@@ -292,10 +295,10 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     places = written(places, "places")
     symbols = placed(string.select(*keys, "block"), ["block"], keys, keys).select(*keys, F.col("name").alias("symbol"))
     text = written(places.join(symbols, keys).select(F.col("id").alias("pos"), "symbol"), "symbols")
-    order = ranks(text, size["n"], size["reach"] + 1).select(F.col("pos").alias("id"), "rank")
+    order = ranks(text, size["n"], min(size["reach"] + 1, DEPTH)).select(F.col("pos").alias("id"), "rank")
     # the rows with bytes are joined once, with what the narrow ones have together
     ids = string.filter(F.col("f").isNotNull()).select(*keys).join(places, keys).join(order, "id")
-    asked = string.filter(F.col("f").isNotNull()).drop("block", "reach").join(ids, keys)
+    asked = string.filter(F.col("f").isNotNull()).withColumn("far", F.col("reach") >= DEPTH).drop("block", "reach").join(ids, keys)
     asked = written(asked.withColumns({"most": most.cast("int"), "least": least.cast("int")}).drop("spot"), "asked")
     forget(text, places)
     onward = neighbours(asked.select(*SIDES, "rank"), ["rank"], shape)
@@ -304,7 +307,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         F.collect_set(F.struct("l", "r")).alias("met")  # at most four
     )
     good, rest = decided(length)
-    open_ = asked.filter("open").select("id", "node", "at", "f", "most", "least").join(met, "id")
+    open_ = asked.filter("open").select("id", "node", "at", "f", "most", "least", "far").join(met, "id")
     open_ = written(open_.select("id", "node", "at", "f", good.alias("good"), rest.alias("rest")), "open")
     ranges = open_.select("node", "at", F.explode("good").alias("x")).select(
         "node", (F.col("at") - F.col("x.b")).alias("start"), (F.col("at") - F.col("x.a") + length).alias("stop")

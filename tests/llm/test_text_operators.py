@@ -207,6 +207,25 @@ def test_repeats_between_many_variants(spark):
     assert got == [(i, *x[1:]) for (i, _), x in zip(rows, repeats_by_force([t for _, t in rows], 80))]
 
 
+@pytest.mark.parametrize("length", [80, 400])
+def test_repeats_where_anchors_are_dense(spark, length):
+    """Runs of one or two characters, with an odd one here and there: windows reach over more anchors than the order tells apart."""
+    rnd = random.Random(5)
+    runs = ["=" * 3 * length, "-+" * (2 * length), "abc" * length, "0" * (length // 2) + "1" * (length // 2) + "0" * length]
+    rows = []
+    for i in range(48):
+        run = list(runs[i % 4])
+        for _ in range(rnd.randint(0, 3)):
+            run[rnd.randrange(len(run))] = rnd.choice("=-+0")
+        rows.append((i, " ".join([*prose(300 + i % 5, rnd.randint(0, 9)), "".join(run), *prose(400 + i % 7, rnd.randint(0, 9))])))
+    texts = [t.encode() for _, t in rows]
+    shape = suffix_dedup.Shape(length)
+    assert any(np.bincount(suffix_dedup.anchors(t, shape)[0] // (length - shape.inner)).max() > 2 * suffix_dedup.DEPTH for t in texts)
+    found = suffix_dedup.removed(spark.createDataFrame(rows, "doc_id long, text string"), length=length).collect()
+    got = sorted((r.row.doc_id, r.n_removed, r.n_spans, bytes(r.kept)) for r in found)
+    assert got == [(i, *x[1:]) for (i, _), x in zip(rows, repeats_by_force([t for _, t in rows], length))]
+
+
 def test_deduplicated_texts(docs, nothing):
     kept = {r.doc_id: r for r in suffix_dedup.deduplicated(docs).collect()}
     assert 3 not in kept and 1 not in kept  # copies of one another
