@@ -343,6 +343,21 @@ def cut(data: bytes, starts: list[int], stops: list[int]) -> tuple[bytes, int, i
     return b"".join(kept), removed, spans
 
 
+def of_row(text: str) -> Column:
+    return F.coalesce(F.col(f"row.`{text}`"), F.lit("")).cast("binary")
+
+
+def with_spans(docs: DataFrame, text: str, length: int) -> DataFrame:
+    """``row`` (a struct of all columns) and ``spans`` (what goes of its text; null if nothing does)."""
+    bounded_batches(docs.sparkSession)
+    data = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
+    long = docs.select(F.xxhash64(data).alias("node"), data.alias("data")).filter(F.octet_length("data") >= length)
+    # a row travels with its text once; the bytes are taken from it afterwards
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(data).alias("node"))
+    spans = repeats(long, length).groupBy("node").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    return rows.join(spans, "node", "left").select("row", "spans")
+
+
 def removed(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """All rows and columns of ``docs`` in a struct ``row``, with ``kept`` (binary), ``n_bytes``, ``n_removed``, ``n_spans``.
 
@@ -350,15 +365,8 @@ def removed(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFr
     text is empty. A row that repeats another one's text has all of it removed if it has ``length`` bytes; a
     shorter text loses nothing. An empty table gives no rows. Clashing column names do no harm.
     """
-    bounded_batches(docs.sparkSession)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    data = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
-    long = docs.select(F.xxhash64(data).alias("node"), data.alias("data")).filter(F.octet_length("data") >= length)
-    # a row travels with its text once; the bytes are taken from it afterwards
-    rows = docs.select(row, F.xxhash64(data).alias("node"))
-    data = F.coalesce(F.col(f"row.`{text}`"), F.lit("")).cast("binary")
-    spans = repeats(long, length).groupBy("node").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    joined = rows.join(spans, "node", "left")
+    rows = with_spans(docs, text, length)
+    data = of_row(text)
 
     @F.pandas_udf("kept binary, n_removed long, n_spans long")
     def cleaned(data: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -367,7 +375,7 @@ def removed(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFr
         ]
         return pd.DataFrame(out, columns=["kept", "n_removed", "n_spans"])
 
-    result = joined.select("row", F.octet_length(data).cast("long").alias("n_bytes"), cleaned(data, "spans").alias("c"))
+    result = rows.select("row", F.octet_length(data).cast("long").alias("n_bytes"), cleaned(data, "spans").alias("c"))
     return result.select("row", "n_bytes", "c.kept", "c.n_removed", "c.n_spans")
 
 
@@ -378,12 +386,19 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
 
     @F.pandas_udf("string")
-    def decoded(data: pd.Series) -> pd.Series:
-        return pd.Series([d.decode("utf-8", "ignore") for d in data], dtype=object)
-
-    found = removed(docs, "text", length)
-    text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(decoded("kept"))
-    rows = found.select("row", "n_removed", text.alias("left"))
-    rows = rows.filter((F.col("n_removed") == 0) | (F.length(F.trim("left")) > 0))
+    def left(data: pd.Series, spans: pd.Series) -> pd.Series:
+        out = [
+            None if s is None else cut(d, [x["start"] for x in s], [x["stop"] for x in s])[0].decode("utf-8", "ignore")
+            for d, s in zip(data, spans)
+        ]
+        return pd.Series(out, dtype=object)
+
+    # as a filter and a column it would run twice, in workers of their own, were it not called nondeterministic;
+    # texts that stay as they are do not go there
+    touched = F.col("spans").isNotNull()
+    text = left.asNondeterministic()(F.when(touched, of_row("text")), "spans")
+    rows = with_spans(docs, "text", length).select("row", touched.alias("touched"), text.alias("left"))
+    rows = rows.filter(~F.col("touched") | (F.length(F.trim("left")) > 0))
+    rows = rows.select("row", F.when(F.col("touched"), F.col("left")).otherwise(F.col("row.text")).alias("left"))
     new = {"text": F.col("left"), "n_chars": F.length("left").cast(docs.schema["n_chars"].dataType if "n_chars" in docs.columns else "long")}
     return rows.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
