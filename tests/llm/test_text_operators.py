@@ -234,6 +234,19 @@ def test_deduplicated_texts(docs, nothing):
     assert suffix_dedup.deduplicated(nothing).collect() == []
 
 
+def test_deduplicated_texts_take_one_python_step(docs):
+    """A filter on what is left and the column of it come from one run of the function, and say what brute force says."""
+    found = suffix_dedup.deduplicated(docs, 64)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    want = []
+    for (i, text), (_, gone, _, kept) in zip(ROWS, repeats_by_force([t for _, t in ROWS], 64)):
+        left = kept.decode("utf-8", "ignore") if gone else text
+        if not gone or left.strip(" "):
+            want.append((i, left))
+    assert sorted(((r.doc_id, r.text) for r in found.collect()), key=repr) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("n,kinds", [(1, 1), (2, 1), (5, 2), (60, 1), (301, 3)])
 def test_order_of_suffixes(spark, n, kinds):
     rnd = random.Random(n)
