@@ -164,3 +164,34 @@ def test_compared_configurations_have_all_their_trees(spark, monkeypatch):
     assert all(m.config["trees"] == 80 for models in asked[2:] for m in models.values())
     catalog._trained(spark, SF)
     assert run_with == [1.0]
+
+
+class Seen(Counted):
+    """Tells which rows it was fitted on, and in which order models were fitted."""
+
+    features = ["LOC"]
+    order: list = []
+
+    def __init__(self, name, jobs):
+        super().__init__(name)
+        self.jobs = jobs
+
+    def fit(self, rows):
+        self.order.append(self.key[0])
+        assert "features" in rows.columns and "LOC" not in rows.columns
+        return super().fit(rows)
+
+
+def test_models_of_the_same_features_read_one_input_and_the_longest_begin(spark, tmp_path, monkeypatch):
+    made = []
+    monkeypatch.setattr(train, "materialise", lambda df: made.append(df) or df)
+    folded = spark.createDataFrame([(i, i % 2, i % 5, i / 20) for i in range(20)], "doc_id long, label int, fold int, LOC double").repartition(1)
+    train.out_of_fold(folded, {"a": Seen("short", 1), "b": Seen("long", 9)}, FitStore(spark, str(tmp_path)), threads=1)
+    assert len(made) == 1 and Seen.order == ["long"] * 5 + ["short"] * 5
+
+
+def test_partitions_of_the_training_frame_grow_with_its_rows(spark, tmp_path, monkeypatch):
+    for name, rows in (("none", 0), ("few", 3), ("many", 41)):
+        spark.range(rows).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    monkeypatch.setattr(catalog.models, "ROWS_PER_PARTITION", 10)
+    assert [catalog.models.partitions(spark, f"{tmp_path}/{name}") for name in ("none", "few", "many")] == [1, 1, 5]
