@@ -1,9 +1,12 @@
 """Metric records of a small code corpus, and of texts that are easy to get wrong."""
 
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from faultgauge.functions import lexical
 from faultgauge.operators.metrics import file_metrics
 
 LEDGER = """class Ledger:
@@ -146,3 +149,35 @@ def test_measuring_needs_no_shuffle_and_sends_only_python_code(spark):
     # above the grammar step, tokens are those of Python files that it could not read
     above = plan[: plan.index("ArrowEvalPython")]
     assert "content#" not in above and re.search(r"CASE WHEN isnull\(ast#\d+\.decisions\) THEN _python_code#\d+ END", above)
+
+
+def lines_by_force(text):
+    blanks = "\t\x1f \xa0   　" + "".join(map(chr, range(0x2000, 0x200B)))
+    lines = re.split("\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]", text)
+    if lines[-1] == "":
+        lines.pop()  # the text ends with a break, or is empty
+    bare = [line.lstrip(blanks) for line in lines]
+    # an empty last line is one that a break follows
+    return len(lines), bare.count(""), sum(b.startswith(("#", "//", "/*", "*")) for b in bare)
+
+
+def calls_by_force(text):
+    return len(re.findall(r"(?<!\w)[a-zA-Z_][a-zA-Z0-9_]*(?!\w)[\s]*\(", text))
+
+
+def test_lines_and_calls_equal_brute_force(spark):
+    draw = random.Random(7)
+    marks = ["\n", "\r", "\r\n", " ", "\t", "\xa0", "\x85", " ", "#", "//", "/*", "*", "/", "a", "f", "é", "1", "_", "(", ")", "\U0001f600"]
+    texts = ["", "\n", "  ", "a\n  ", "a\n", *("".join(draw.choices(marks, k=draw.randint(1, 12))) for _ in range(3000))]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = rows.select("text", lexical.line_counts(F.col("text")).alias("lines"), lexical.call_count(F.col("text")).alias("calls")).collect()
+    for r in found:
+        assert tuple(r.lines) == lines_by_force(r.text), repr(r.text)
+        assert r.calls == calls_by_force(r.text), repr(r.text)
+    assert spark.createDataFrame([(None,)], "text string").select(lexical.line_counts(F.col("text")).alias("lines")).first().lines is None
+
+
+def test_lines_are_counted_by_one_scan(spark):
+    measured = file_metrics(spark.createDataFrame([("a.js", "x\n")], "path string, content string"))
+    plan = measured._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"regexp_extract_all\(concat\(\s*, content#", plan)) == 1 and "split(content" not in plan
