@@ -30,7 +30,8 @@ def persist(analyses: DataFrame, files: DataFrame, folder: str, batch: str | Non
     snapshots.write({"analyses": _stamp(analyses.fillna(ANALYSIS_DEFAULTS), now)}, folder, one)
     # read back: an id that is drawn again by a repeated task is not the one that was written
     drawn = spark.read.parquet(one.path(folder, "analyses")).select("analysis_id", F.col("row_id").alias("parent_row_id"))
-    children = _stamp(files.fillna(FILE_DEFAULTS), now).join(drawn, "analysis_id")
+    # stamped after the join: ids are drawn at random, and a shuffle cannot pack them
+    children = _stamp(files.join(drawn, "analysis_id").fillna(FILE_DEFAULTS), now)
     snapshots.write({"analysis_files": children, **(others or {})}, folder, one)
     snapshots.publish(spark, folder, [one])
     return batch
@@ -93,7 +94,9 @@ def delete_users(spark: SparkSession, folder: str, deleted: DataFrame) -> list[s
         if "analyses" in batch.tables:
             gone = of("analyses").join(deleted, "user_id", "left_semi")
             tables["analyses"] = of("analyses").join(deleted, "user_id", "left_anti"), gone
-            tables["analysis_files"] = of("analysis_files").join(gone.select("analysis_id"), "analysis_id", "left_anti"), gone
+            # the short ids are hashed, so that the wide rows of files are not sorted
+            ids = gone.select("analysis_id").hint("shuffle_hash")
+            tables["analysis_files"] = of("analysis_files").join(ids, "analysis_id", "left_anti"), gone
         if all(gone.isEmpty() for _, gone in tables.values()):
             continue
         new = snapshots.Batch(batch.name, batch.generation + 1, batch.tables)

@@ -108,3 +108,21 @@ def test_requests_to_stored_results(spark, tmp_path):
     assert outcome[3][1:3] == (0, None) and "empty" in outcome[3][3]
     assert "No supported" in outcome[4][3] and "No supported" in outcome[5][3] and outcome[6][3].endswith(": bad") and outcome[7][0] is None
     assert seen(spark, folder) == {"analyses": [1, 2], "analysis_files": [1, 2]}
+
+
+def test_wide_rows_are_shuffled_without_drawn_ids_and_not_sorted_to_delete(spark, tmp_path, monkeypatch):
+    plans = []
+    written = snapshots.write
+
+    def write(tables, folder, batch):
+        plans.extend(t._jdf.queryExecution().optimizedPlan().toString() for n, t in tables.items() if n == "analysis_files")
+        written(tables, folder, batch)
+
+    monkeypatch.setattr(snapshots, "write", write)
+    folder = str(tmp_path)
+    stored.persist(analyses_of(spark, (1, 7), (2, 8)), files_of(spark, 1, 2), folder, "b")
+    stored.delete_users(spark, folder, spark.createDataFrame([(7,)], "user_id long"))
+    stored_plan, left_plan = plans
+    assert 0 <= stored_plan.index("uuid(") < stored_plan.index("Join ") and stored_plan.count("uuid(") == 1
+    assert "strategy=shuffle_hash" in left_plan
+    assert {r.analysis_id for r in snapshots.read(spark, folder, "analysis_files").collect()} == {2}
