@@ -461,3 +461,17 @@ def test_gaps_that_no_rates_close_are_told(spark):
     docs, known, rows = mixture(spark)
     with pytest.warns(UserWarning, match="targets are not met"):
         mixing.rates(docs, known.filter("doc_id < 0"), {"a": 0.9, "b": 0.1})
+
+
+def test_one_of_each_exact_class_can_be_asked_for(docs, monkeypatch):
+    asked = []
+
+    def grouped(rows, exact=False):
+        asked.append(exact)
+        raise InterruptedError
+
+    monkeypatch.setattr(order_minhash, "grouped", grouped)
+    for exact in (False, True):
+        with pytest.raises(InterruptedError):
+            order_minhash.deduplicated(docs, exact=exact)
+    assert asked == [False, True]
