@@ -14,13 +14,25 @@ METRIC_COLUMNS = [
 ]
 
 
-def token_counts(operators: Column, operands: Column) -> Column:
-    """Totals and distinct counts of both token kinds, in one file."""
-    return F.struct(
-        F.size(operators).alias("n1"),
-        F.size(operands).alias("n2"),
-        F.size(F.array_distinct(operators)).alias("eta1"),
-        F.size(F.array_distinct(operands)).alias("eta2"),
+def kind_counts(tokens: Column) -> Column:
+    """Total and distinct tokens."""
+    return F.struct(F.size(tokens).alias("n"), F.size(F.array_distinct(tokens)).alias("eta"))
+
+
+def token_counts(clean: Column) -> Column:
+    """Totals and distinct counts of both token kinds, in one file: keywords are operators, other words operands."""
+    once = lexical.computed_once
+    of_words = once(
+        lexical.words(clean), lambda words: F.struct(kind_counts(words).alias("all"), once(lexical.keywords(words), kind_counts).alias("keywords"))
+    )
+    return once(
+        F.struct(once(lexical.symbols(clean), kind_counts).alias("symbols"), of_words.alias("words")),
+        lambda found: F.struct(
+            (found.symbols.n + found.words.keywords.n).alias("n1"),
+            (found.words.all.n - found.words.keywords.n).alias("n2"),
+            (found.symbols.eta + found.words.keywords.eta).alias("eta1"),
+            (found.words.all.eta - found.words.keywords.eta).alias("eta2"),
+        ),
     )
 
 
@@ -39,21 +51,16 @@ def clean_text(content: Column, lang: Column) -> Column:
 
 def lexical_counts(files: DataFrame, text: str, name: str) -> DataFrame:
     """Add ``name``, the lexical counts of the column ``text`` read as ``language``; null where there is no text."""
-    clean = F.col("_clean")
-    counts = F.struct(
-        token_counts(F.col("_operators"), F.col("_operands")).alias("tokens"),
-        lexical.decision_count(clean, F.col("language")).alias("decisions"),
-        F.col("_definitions").alias("definitions"),
-        lexical.call_count(clean).alias("calls"),
-    )
-    return (
-        files.withColumn("_clean", clean_text(F.col(text), F.col("language")))
-        .withColumn("_operators", lexical.operators(clean))
-        .withColumn("_operands", lexical.operands(clean))
-        .withColumn("_definitions", lexical.definition_count(clean))
-        .withColumn(name, pinned(F.when(clean.isNotNull(), counts)))
-        .drop("_clean", "_operators", "_operands", "_definitions")
-    )
+    def counts(clean: Column) -> Column:
+        return F.struct(
+            token_counts(clean).alias("tokens"),
+            lexical.decision_count(clean, F.col("language")).alias("decisions"),
+            lexical.definition_count(clean).alias("definitions"),
+            lexical.call_count(clean).alias("calls"),
+        )
+
+    found = lexical.computed_once(clean_text(F.col(text), F.col("language")), counts)
+    return files.withColumn(name, pinned(F.when(F.col(text).isNotNull(), found)))
 
 
 def python_facts(files: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from faultgauge import constants as C
 from faultgauge.functions import lexical
-from faultgauge.operators.metrics import file_metrics
+from faultgauge.operators.metrics import file_metrics, token_counts
 
 LEDGER = """class Ledger:
     def total(self, lines):
@@ -181,3 +182,49 @@ def test_lines_are_counted_by_one_scan(spark):
     measured = file_metrics(spark.createDataFrame([("a.js", "x\n")], "path string, content string"))
     plan = measured._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"regexp_extract_all\(concat\(\s*, content#", plan)) == 1 and "split(content" not in plan
+
+
+# The counts of tokens, definitions and decisions, each by a pattern of its own. A character of two code units is a letter
+# to what comes before it alone.
+BEFORE, AFTER, NAME = r"(?<![^\W\U00010000-\U0010ffff])", r"(?!\w)", "[a-zA-Z_][a-zA-Z0-9_]*+"
+KEYWORD = f"(?:{'|'.join(C.OPERATOR_KEYWORDS)}){AFTER}"
+OPERATORS = f"{'|'.join(re.escape(s) for s in C.OPERATOR_SYMBOLS)}|{BEFORE}{KEYWORD}"
+OPERANDS = rf"{BEFORE}(?!{KEYWORD})(?:{NAME}{AFTER}|\d++(?:\.\d++)?{AFTER})"
+DEFINED = [
+    rf"{BEFORE}(?:def|function|fn)\s++{NAME}", rf"{BEFORE}class\s++{NAME}",
+    rf"{BEFORE}(?:{'|'.join(C.MEMBER_WORDS)})\s++{NAME}\s*+\(",
+]
+
+
+def decided(language):
+    words, marks = C.DECISION_WORDS[language], C.DECISION_SYMBOLS[language]
+    return f"{BEFORE}(?:{'|'.join(words)}){AFTER}|{'|'.join(re.escape(m) for m in marks)}"
+
+
+def test_tokens_definitions_and_decisions_equal_brute_force(spark):
+    draw = random.Random(11)
+    marks = [" ", "\n", "\xa0", "a", "x1", "é", "_", "1", "23", "٣", "²", ".", "(", "\U0001f600", "\U0001d400", "\U0001d7d9", "when", "String"]
+    pools = (marks + C.OPERATOR_SYMBOLS, marks + C.OPERATOR_KEYWORDS, ["class", "def", "fn", "int", "void", "name", " ", " ", " ", "(", "é"])
+    texts = ["", "\U0001d400if", "a\U0001d7d9\U0001d7d9", "1.\U0001d7d9", "7.5abc", "class class class A", "class def fn x"]
+    texts += ["".join(draw.choices(pools[i % 3], k=draw.randint(1, 14))) for i in range(6000)]
+    text = F.col("text")
+    languages = [F.struct(F.lit(n).alias("name"), lexical.decision_count(text, F.lit(n)).alias("n")) for n in C.DECISION_WORDS]
+    found = spark.createDataFrame([(t,) for t in texts], "text string").select(
+        "text", lexical.operators(text).alias("operators"), lexical.operands(text).alias("operands"),
+        lexical.definition_count(text).alias("definitions"), token_counts(text).alias("counts"), F.array(*languages).alias("decisions"),
+    )
+    for r in found.collect():
+        operators, operands = re.findall(OPERATORS, r.text), re.findall(OPERANDS, r.text)
+        assert sorted(r.operators) == sorted(operators) and r.operands == operands, repr(r.text)
+        assert tuple(r.counts) == (len(operators), len(operands), len(set(operators)), len(set(operands))), repr(r.text)
+        assert r.definitions == sum(len(re.findall(p, r.text)) for p in DEFINED), repr(r.text)
+        assert all(d.n == len(re.findall(decided(d.name), r.text)) for d in r.decisions), repr(r.text)
+
+
+def test_words_are_found_by_one_scan_and_not_copied(spark):
+    measured = file_metrics(spark.createDataFrame([("a.js", "x\n")], "path string, content string"))
+    plan = measured._jdf.queryExecution().optimizedPlan().toString()
+    # keywords are told from other words by a set, and not by trying each of them at every word
+    assert "instanceof|" not in plan and plan.count("instanceof") > 0
+    # one scan on either route for the three kinds of definitions, and no projection of texts or tokens in between
+    assert plan.count("private|protected") == 2 and "AS _clean" not in plan and "AS _operands" not in plan
