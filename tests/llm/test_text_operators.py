@@ -475,3 +475,72 @@ def test_one_of_each_exact_class_can_be_asked_for(docs, monkeypatch):
         with pytest.raises(InterruptedError):
             order_minhash.deduplicated(docs, exact=exact)
     assert asked == [False, True]
+
+
+def class_ids(texts: list[str]) -> list[int]:
+    """By brute force: pairs that share a sketch and align, and the chains of them."""
+    words = [order_minhash.word_hashes(t) for t in texts]
+    drawn = np.array([order_minhash.sketches(w) for w in words])
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if (drawn[i] == drawn[j]).any()]
+    least = list(range(len(texts)))
+    for (i, j), fine in zip(pairs, order_minhash.similar([(words[i], words[j]) for i, j in pairs])):
+        if fine:
+            x, y = sorted((least[i], least[j]))
+            least = [x if c == y else c for c in least]
+    return least
+
+
+def copies_behind_a_passage() -> list[str]:
+    """Pairs whose sketches agree in nothing but a passage that all texts have: after it, no five words of one are in the other."""
+    common, texts = prose(800, 60), []
+    for g in range(120):
+        tail = prose(1000 + g, 40)
+        texts += [" ".join(common + tail), " ".join(common + [w if i % 5 else f"new{g}" for i, w in enumerate(tail)])]
+    return texts
+
+
+@pytest.mark.parametrize("block", [order_minhash.BLOCK, 16])
+def test_no_pair_of_a_bucket_is_left_out(spark, monkeypatch, block):
+    monkeypatch.setattr(order_minhash, "BLOCK", block)
+    texts = copies_behind_a_passage()
+    want = class_ids(texts)
+    assert 120 <= len(set(want)) < 125
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in order_minhash.classes(docs).collect()} == dict(enumerate(want))
+    if block == 16:
+        assert {r.doc_id for r in order_minhash.deduplicated(docs).collect()} == set(want)
+
+
+def test_unlike_members_of_a_bucket_meet_in_a_cell(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "BLOCK", 4)
+    rnd = random.Random(8)
+    rows = [(b, 10 * b + i, rnd.choice([0, 0, 0, 1, 1, 2, 3, 10 * b + i])) for b, n in enumerate([2, 4, 5, 9, 40]) for i in range(n)]
+    rows = [(b, sum(r[0] == b for r in rows), 1000 * b + node, component) for b, node, component in rows]
+    found = {}
+    for r in order_minhash.cells(spark.createDataFrame(rows, "bucket long, n long, node long, component long")).collect():
+        found.setdefault(r.cell, []).append(r)
+    met = {
+        (x.node, y.node) for c in found.values() for x in c for y in c
+        if x.node < y.node and x.component != y.component and (x.side != y.side or x.side == 2)
+    }
+    assert met == {(x[2], y[2]) for x in rows for y in rows if x[0] == y[0] and x[2] < y[2] and x[3] != y[3]}
+    assert max(map(len, found.values())) < 40
+
+
+def test_unlike_pairs_equal_brute_force():
+    rnd = random.Random(9)
+    texts = [np.array([rnd.randrange(40) for _ in range(rnd.randint(1, 40))], np.uint64) for _ in range(60)]
+    texts += [np.array([w if rnd.random() > 0.1 else rnd.randrange(40) for w in t], np.uint64) for t in texts]
+    texts.sort(key=len)
+    node = np.array(rnd.sample(range(10_000), len(texts)))
+    component = np.array([rnd.choice([n, 1, 2]) for n in node])
+    side = np.array([rnd.choice([0, 1, 2]) for _ in texts])
+    # a bag that does not hold the counts rules nothing out
+    bags = [order_minhash.bag(t) if i % 7 else b"" for i, t in enumerate(texts)]
+    got = order_minhash.unlike_pairs(node, np.array([len(t) for t in texts]), component, side, bags)
+    want = {
+        (min(node[i], node[j]), max(node[i], node[j])) for j in range(len(texts)) for i in range(j)
+        if component[i] != component[j] and (side[j] == 2 or side[i] != side[j]) and len(texts[i]) >= (0.8 - 1e-9) * len(texts[j])
+        and order_minhash.may_align([bags[i]], [bags[j]])[0]
+    }
+    assert len(got) == len(want) > 20 and set(map(tuple, got.tolist())) == want
