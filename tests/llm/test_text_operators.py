@@ -499,16 +499,14 @@ def copies_behind_a_passage() -> list[str]:
     return texts
 
 
-@pytest.mark.parametrize("block", [order_minhash.BLOCK, 16])
-def test_no_pair_of_a_bucket_is_left_out(spark, monkeypatch, block):
-    monkeypatch.setattr(order_minhash, "BLOCK", block)
+def test_no_pair_of_a_bucket_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "BLOCK", 16)
+    monkeypatch.setattr(order_minhash, "TILE_TEXTS", 4)
     texts = copies_behind_a_passage()
     want = class_ids(texts)
     assert 120 <= len(set(want)) < 125
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in order_minhash.classes(docs).collect()} == dict(enumerate(want))
-    if block == 16:
-        assert {r.doc_id for r in order_minhash.deduplicated(docs).collect()} == set(want)
 
 
 def test_unlike_members_of_a_bucket_meet_in_a_cell(spark, monkeypatch):
@@ -544,3 +542,12 @@ def test_unlike_pairs_equal_brute_force():
         and order_minhash.may_align([bags[i]], [bags[j]])[0]
     }
     assert len(got) == len(want) > 20 and set(map(tuple, got.tolist())) == want
+
+
+def test_edits_of_any_size_are_counted():
+    rnd = random.Random(10)
+    for _ in range(200):
+        a, b = ([rnd.randint(0, 9) for _ in range(rnd.randint(0, 40))] for _ in range(2))
+        want, most = distance(a, b), rnd.randint(0, 40)
+        got = order_minhash.edits(np.array(a, np.uint64), np.array(b, np.uint64), most)
+        assert got == want if want <= most else got > most
